@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,5 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context (as --py-files would)."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_gridloom_shipped", False):
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="spark-gridloom-")
+        stage = os.path.join(folder, "stage")
+        shutil.copytree(root, os.path.join(stage, root.name), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "gridloom_package"), "zip", stage))
+        sc._gridloom_shipped = True
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
