@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact, packing, simhash, substring, warc
+from gridloom.llm import exact, packing, pii, simhash, substring, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,6 +68,10 @@ FROM d JOIN g USING (text_sha256)
 """
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_substring_dedup": op7_substring_dedup,
         "op8_warc": op8_warc,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_pii": op10_pii,
     }
 
 
