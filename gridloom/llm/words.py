@@ -17,6 +17,10 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 LANES = _rng.integers(1, 2**63, (2, 64), dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Separators for loose words: all ASCII but letters and digits.
+LOOSE = np.ones(256, dtype=bool)
+LOOSE[128:] = False
+LOOSE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -47,10 +51,10 @@ class Words:
     starts, ends: byte spans in data; first[i]:first[i+1] are the words of text i.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], separators: np.ndarray = _SPACE):
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        solid = ~_SPACE[self.data]
+        solid = ~separators[self.data]
         before = np.concatenate([[False], solid[:-1]]) if len(solid) else solid
         inner = self.offsets[1:-1]
         before = before.copy()
