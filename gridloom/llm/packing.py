@@ -3,68 +3,110 @@
 Tokenising is one pass over the texts and leaves small rows (piece, length, crc).
 Packing then is bulk-synchronous best-fit decreasing over those rows. A round
 
-1. range-sorts items and open gaps together, largest first, gaps before items,
-2. sweeps each range partition: an item takes the smallest free gap at least as
-   large (its successor), and what is left of the gap stays free for later items,
-3. resolves what the sweeps left over across partitions: every partition reports a
-   few counts, and the leftover items of a partition get, by rank, the leftover gaps
-   of the nearest earlier partitions, the smallest gaps first,
+1. deals items and open gaps together into ranges of size and sorts them, largest
+   first, gaps before items; the ranges come from a histogram of sizes, and a size
+   that very many rows have is split over several,
+2. sweeps each range: an item takes the smallest free gap at least as large (its
+   successor), and what is left of the gap stays free for later items,
+3. resolves what the sweeps left over across ranges: every range reports a few
+   counts, and its leftover items get, by rank, the tightest runs of leftover gaps,
 4. updates the gaps, opens sequences where nothing fitted, and starts over.
 
-The driver sees a few numbers per partition, never items or gaps.
+The driver sees a histogram of sizes and a few numbers per range, never items or gaps.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.session import cut
 
 CAPACITY = 4096
 EOS_ID = 1
-CACHE_CHUNKS = 400_000
-CACHE_CHARS = 48
+GENERATION_WORDS = 300_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-SWEPT = "part int, role string, id bigint, size int, seq bigint, off int, idx bigint"
-
-
-class ChunkEncoder(dict):
-    """Token ids, as little-endian bytes, of a text without white space.
-
-    The tokenizer never joins across white space, so a text's ids are those of its
-    chunks in order. Short chunks repeat and are kept; the cache is emptied when it
-    is full, which changes speed only.
+ROWS_PER_SPAN = 200
+MAX_SPANS = 20_000
+ROUND_SHARE = 0.94
+LAST_SHARE = 0.004
+SWEPT = "span int, role string, id bigint, size int, seq bigint, off int, room int, idx bigint"
+
+
+class WordEncoder(dict):
+    """Token ids of texts, as little-endian bytes, with the ids of known words kept.
+
+    The tokenizer lower-cases, splits into words by a fixed pattern and encodes each
+    word alone, closing it with a token that ends in END. So the ids of a text in
+    Latin-1 are those of its words in order, and unknown words of a text can be encoded
+    in one call and told apart by their closing tokens. Other texts, and those that
+    hold special tokens, are encoded whole. Two generations of words are kept; dropping
+    one changes speed only.
     """
 
+    END = "</w>"
+    # The tokenizer's own split pattern, with its classes spelled out for lower-case Latin-1.
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes() if chunk else b""
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = ids
+        self.older: dict[str, bytes] = {}
+        self.unknown: list[str] = []
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        closing = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        closing[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(self.END)]] = True
+        self.closing = closing
+
+    def __missing__(self, word: str) -> bytes:
+        if (ids := self.older.get(word)) is None:
+            self.unknown.append(word)
+            return b""
+        self[word] = ids
         return ids
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self) -> None:
+        words = list(dict.fromkeys(self.unknown))
+        self.unknown = []
+        ids = self._whole(" ".join(words))
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) == len(words):
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            self.update(zip(words, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        else:
+            self.update((w, self._whole(w).tobytes()) for w in words)
+
     def encode(self, text: str) -> bytes:
-        for space in "\n\t\r":
-            text = text.replace(space, " ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._whole(text).tobytes()
+        if any(s in text for s in self.special):
+            return self._whole(text).tobytes()
+        words = self.WORDS.findall(text.lower())
+        ids = b"".join(map(self.__getitem__, words))
+        if self.unknown:
+            self._learn()
+            ids = b"".join(map(self.__getitem__, words))
+            if len(self) > GENERATION_WORDS:
+                self.older = dict(self)
+                self.clear()
+        return ids
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eos_id: int = EOS_ID) -> DataFrame:
@@ -76,7 +118,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = int(eos_id).to_bytes(4, "little")
 
     def run(batches):
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, ChunkEncoder(tokenizer_path))
+        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -92,15 +134,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
 
 def _sweep(capacity: int):
-    """Best fit within one range partition; rows come largest first, gaps before items."""
+    """Best fit within each size range; rows come range by range, largest first, gaps before items."""
 
     def run(frames):
-        part = TaskContext.get().partitionId()
         sizes: list[int] = []  # the different sizes of free gaps, ascending
         free: dict[int, list[int]] = {}
-        placed: list[tuple] = []
-        left: list[tuple] = []
-        least = 0
+        rows: list[tuple] = []
+        left: list[tuple[int, int]] = []
+        now = None
 
         def push(size: int, seq: int) -> None:
             if size not in free:
@@ -108,128 +149,174 @@ def _sweep(capacity: int):
                 free[size] = []
             free[size].append(seq)
 
+        def close() -> None:
+            rows.extend((now, "item", ident, size, None, None, None, i) for i, (ident, size) in enumerate(left))
+            at: dict[int, int] = {}
+            for size in reversed(sizes):
+                room = _room_class(size)
+                for seq in free[size]:
+                    rows.append((now, "gap", seq, size, None, None, room, at.get(room, 0)))
+                    at[room] = at.get(room, 0) + 1
+            sizes.clear(), free.clear(), left.clear()
+
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["span", "role", "id", "size", "seq", "off", "room", "idx"])
+            rows.clear()
+            return out.astype({"seq": "Int64", "off": "Int32", "room": "Int32", "idx": "Int64"})
+
         for pdf in frames:
-            for is_item, ident, size in zip(pdf.is_item.tolist(), pdf.id.tolist(), pdf["size"].tolist(), strict=True):
-                least = size
+            for span, is_item, ident, size in zip(pdf.span.tolist(), pdf.is_item.tolist(), pdf.id.tolist(), pdf["size"].tolist(), strict=True):
+                if span != now:
+                    close()
+                    now = span
                 if not is_item:
                     push(size, ident)
                     continue
                 at = bisect.bisect_left(sizes, size)
                 if at == len(sizes):
-                    left.append((part, "item", ident, size, None, None, len(left)))
+                    left.append((ident, size))
                     continue
                 gap = sizes[at]
                 seq = free[gap].pop()
                 if not free[gap]:
                     del free[gap]
                     del sizes[at]
-                placed.append((part, "placed", ident, size, seq, capacity - gap, None))
+                rows.append((now, "placed", ident, size, seq, capacity - gap, None, None))
                 if gap > size:
                     push(gap - size, seq)
-        gaps: list[tuple] = []
-        for size in reversed(sizes):
-            for seq in free[size]:
-                # a gap below the partition's least size may be too small for the items of later partitions
-                gaps.append((part, "gap" if size >= least else "rest", seq, size, None, None, len(gaps) if size >= least else None))
-        for rows in (placed, left, gaps):
-            for k in range(0, len(rows), 20_000):
-                yield pd.DataFrame(rows[k : k + 20_000], columns=["part", "role", "id", "size", "seq", "off", "idx"]).astype({"seq": "Int64", "off": "Int32", "idx": "Int64"})
+            if rows:
+                yield frame()
+        close()
+        if rows:
+            yield frame()
 
     return run
 
 
-def _resolve(stats: list, capacity: int) -> list[tuple]:
-    """Which leftover items get which leftover gaps: a few segments per partition.
+def _room_class(size: int) -> int:
+    """Gaps whose sizes lie within an eighth of each other share a class."""
+    k = max(0, size.bit_length() - 4)
+    return (k << 4) + (size >> k)
+
 
-    stats: (part, items, largest item, gaps, least gap), largest sizes first. A segment
-    (part, i0, i1, gap_part, top, fit) sends item i to gap top - (i - i0) // fit.
+def _resolve(items: list[tuple], gaps: list[tuple]) -> list[tuple]:
+    """Which leftover items get which leftover gaps: best fit over runs, not rows.
+
+    items: (span, count, largest); gaps: (span, room class, count, least size). Ranges
+    with larger items go first; each takes the run of gaps with the least room that
+    holds its largest item. A gap takes one item fewer than it could, so that its last
+    one is chosen by an exact sweep of a later round. A segment (span, i0, i1, gap_span,
+    room, top, fit) sends item i to gap top - (i - i0) // fit.
     """
-    stack: list[list[int]] = []
+    runs = sorted((least, span, room, 0, count) for span, room, count, least in gaps)
     segments: list[tuple] = []
-    for part, items, largest, gaps, least in stats:
+    for span, count, largest in sorted(items, key=lambda r: (-r[2], r[0])):
         done = 0
-        while done < items and stack:
-            owner, count, room = stack[-1]
-            fit = room // largest
-            bins = min(count, -(-(items - done) // fit))
-            upto = min(items, done + bins * fit)
-            segments.append((part, done, upto, owner, count - 1, fit))
+        while done < count:
+            at = bisect.bisect_left(runs, (largest,))
+            if at == len(runs):
+                break
+            size, owner, room, low, high = runs.pop(at)
+            fit = max(1, size // largest - 1)
+            bins = min(high - low, -(-(count - done) // fit))
+            upto = min(count, done + bins * fit)
+            segments.append((span, done, upto, owner, room, high - 1, fit))
             done = upto
-            if count == bins:
-                stack.pop()
-            else:
-                stack[-1][1] -= bins
-        if gaps:
-            stack.append([part, gaps, least])
+            if bins < high - low:
+                bisect.insort(runs, (size, owner, room, low, high - bins))
     return segments
 
 
+def _spans(hist: dict[int, int], rows_per_span: int) -> list[tuple[int, int, int]]:
+    """(size, first span, spans): ranges of about equal rows, larger sizes first; a frequent size is split."""
+    out, span, room = [], 0, rows_per_span
+    for size in sorted(hist, reverse=True):
+        parts = -(-hist[size] // rows_per_span)
+        if parts > 1:
+            span += room < rows_per_span
+            out.append((size, span, parts))
+            span, room = span + parts, rows_per_span
+            continue
+        if room < hist[size]:
+            span, room = span + 1, rows_per_span
+        out.append((size, span, 1))
+        room -= hist[size]
+    return out
+
+
 def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """id, seq and off for items (id bigint, size int; 0 < size < capacity) by bulk-synchronous best fit."""
     spark = items.sparkSession
-    todo = cut(items.select("id", "size"))
-    gaps = spark.createDataFrame([], "id bigint, size int")
+    state = items.select(F.lit(True).alias("is_item"), "id", "size")
     placements: list[DataFrame] = []
-    opened = 0
-
-    def lower_bound(rows: DataFrame) -> tuple[int, int]:
-        n, total, large = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("size") * 2 > capacity)).first()
-        return n, max(-(-int(total) // capacity), int(large))
-
-    n, new = lower_bound(todo)
-    while n:
-        if new:
-            gaps = gaps.unionByName(spark.range(opened, opened + new).select("id", F.lit(capacity).alias("size")))
-            opened += new
-        pool = cut(todo.withColumn("is_item", F.lit(True)).unionByName(gaps.withColumn("is_item", F.lit(False))))
-        order = [F.col("size").desc(), F.col("is_item"), F.col("id")]
-        swept = cut(pool.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_sweep(capacity), SWEPT))
-        stats = swept.groupBy("part").agg(
-            F.count_if(F.col("role") == "item"), F.max(F.when(F.col("role") == "item", F.col("size"))),
-            F.count_if(F.col("role") == "gap"), F.min(F.when(F.col("role") == "gap", F.col("size"))),
-            F.count_if(F.col("role") == "placed"),
-        ).orderBy("part").collect()
-        segments = _resolve([r[:5] for r in stats], capacity)
-        n_placed = sum(r[5] for r in stats) + sum(b - a for _, a, b, *_ in segments)
-        placed, todo, gaps = _apply(spark, swept, segments, capacity)
-        placements.append(placed)
-        n -= n_placed
-        if n:
-            todo = cut(todo)
-            least = todo.agg(F.min("size")).first()[0]
-            gaps = gaps.filter(F.col("size") >= least)
-        # where a round places next to nothing, the rest needs sequences of its own
-        new = lower_bound(todo)[1] if n and n_placed * 50 < n else 0
+    opened, placed, mass = 0, None, None
+    while True:
+        # at most two rows a size, so the capacity bounds it
+        hist = state.groupBy("is_item", "size").count().collect()
+        todo = {r["size"]: r["count"] for r in hist if r.is_item}
+        n = sum(todo.values())
+        if not n:
+            break
+        left = sum(s * c for s, c in todo.items())
+        mass = mass or left
+        # small items fill what larger ones leave, so they wait while the rest is placed
+        least = min(todo) if left < LAST_SHARE * mass else _waiting(todo, left)
+        due = sum(c for s, c in todo.items() if s >= least)
+        gaps = {r["size"]: r["count"] for r in hist if not r.is_item and r["size"] >= min(todo)}
+        # what fits nowhere needs new sequences, and so does the rest where rounds place little
+        stuck = placed is not None and placed * 20 < due
+        homeless = {s: c for s, c in todo.items() if stuck or s > max(gaps, default=0)}
+        new = max(-(-sum(s * c for s, c in homeless.items()) // capacity), sum(c for s, c in homeless.items() if 2 * s > capacity))
+        rows = spark.range(opened, opened + new).select(F.lit(False).alias("is_item"), "id", F.lit(capacity).alias("size"))
+        opened += new
+        gaps[capacity] = gaps.get(capacity, 0) + new
+        both = {s: (todo.get(s, 0) if s >= least else 0) + gaps.get(s, 0) for s in {*todo, *gaps}}
+        both = {s: c for s, c in both.items() if c}
+        total = sum(both.values())
+        ranges = spark.createDataFrame(_spans(both, max(ROWS_PER_SPAN, total // MAX_SPANS)), "size int, first int, spans int")
+        waiting = state.filter(F.col("is_item") & (F.col("size") < least))
+        pool = state.filter(F.col("size") >= F.when(F.col("is_item"), least).otherwise(min(todo))).unionByName(rows).join(F.broadcast(ranges), "size")
+        pool = pool.withColumn("span", (F.col("first") + F.pmod(F.xxhash64("id", "is_item"), F.col("spans"))).cast("int")).select("span", "is_item", "id", "size")
+        order = [F.col("span"), F.col("size").desc(), F.col("is_item"), F.col("id")]
+        swept = cut(pool.repartition("span").sortWithinPartitions(*order).mapInPandas(_sweep(capacity), SWEPT))
+        counts = swept.groupBy("role", F.when(F.col("role") != "placed", F.col("span")).alias("span"), "room").agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min("size").alias("least")).collect()
+        segments = _resolve([(r.span, r.n, r.most) for r in counts if r.role == "item"], [(r.span, r.room, r.n, r.least) for r in counts if r.role == "gap"])
+        placed = sum(r.n for r in counts if r.role == "placed") + sum(s[2] - s[1] for s in segments)
+        across, state = _apply(swept, segments, waiting, capacity)
+        placements.append(swept.filter("role = 'placed'").select("id", "seq", "off").unionByName(across))
     out = spark.createDataFrame([], "id bigint, seq bigint, off int")
     for p in placements:
         out = out.unionByName(p)
     return out
 
 
-def _apply(spark: SparkSession, swept: DataFrame, segments: list[tuple], capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Placements, items still to place and gaps after the cross-partition matches."""
-    placed = swept.filter("role = 'placed'").select("id", "seq", "off")
-    items = swept.filter("role = 'item'").select("part", "id", "size", "idx")
-    gaps = swept.filter("role in ('gap', 'rest')").select("part", "id", "size", "idx")
-    if not segments:
-        return placed, items.select("id", "size"), gaps.select("id", "size")
-    # at most two segments a partition, so this is small whatever the input
-    plan = F.broadcast(spark.createDataFrame(segments, "part int, i0 bigint, i1 bigint, gap_part int, top bigint, fit int"))
-    sent = items.join(plan, "part", "left").filter("i0 is null or (idx >= i0 and idx < i1)").select(
-        "id", "size", "idx", "gap_part", (F.col("top") - F.floor((F.col("idx") - F.col("i0")) / F.col("fit"))).cast("bigint").alias("gap_idx")
-    )
-    upto: dict[int, int] = {}
-    for part, _, i1, *_ in segments:
-        upto[part] = i1
-    ends = F.broadcast(spark.createDataFrame(sorted(upto.items()), "part int, upto bigint"))
-    todo = items.join(ends, "part", "left").filter("upto is null or idx >= upto").select("id", "size")
-    target = gaps.select(F.col("part").alias("gap_part"), F.col("idx").alias("gap_idx"), F.col("id").alias("seq"), F.col("size").alias("room"))
-    met = sent.filter("gap_part is not null").join(target, ["gap_part", "gap_idx"])
-    before = Window.partitionBy("gap_part", "gap_idx").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    across = cut(met.select("id", "seq", "size", (F.lit(capacity) - F.col("room") + F.coalesce(F.sum("size").over(before), F.lit(0))).cast("int").alias("off")))
+def _waiting(todo: dict[int, int], left: int) -> int:
+    """The least size that takes part in a round; smaller ones hold 1 - ROUND_SHARE of the tokens."""
+    seen = 0
+    for size in sorted(todo, reverse=True):
+        seen += size * todo[size]
+        if seen >= ROUND_SHARE * left:
+            return size
+    return min(todo)
+
+
+def _apply(swept: DataFrame, segments: list[tuple], waiting: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """Placements across ranges, and the items and gaps that are left after them."""
+    spark = swept.sparkSession
+    items = swept.filter("role = 'item'").select("span", "id", "size", "idx")
+    gaps = swept.filter("role = 'gap'").select("span", "id", "size", "room", "idx")
+    # a few segments a range, and the number of ranges is bounded
+    plan = F.broadcast(spark.createDataFrame(segments, "span int, i0 bigint, i1 bigint, gap_span int, room int, top bigint, fit int"))
+    ends = F.broadcast(plan.groupBy("span").agg(F.max("i1").alias("upto")))
+    sent = items.join(plan, "span").filter("idx >= i0 and idx < i1").select("span", "id", "size", "idx", "gap_span", "room", (F.col("top") - F.floor((F.col("idx") - F.col("i0")) / F.col("fit"))).cast("bigint").alias("gap_idx"))
+    target = gaps.select(F.col("span").alias("gap_span"), "room", F.col("idx").alias("gap_idx"), F.col("id").alias("seq"), F.col("size").alias("free"))
+    before = Window.partitionBy("seq").orderBy(F.col("size").desc(), "span", "idx").rowsBetween(Window.unboundedPreceding, -1)
+    met = sent.join(target, ["gap_span", "room", "gap_idx"])
+    across = cut(met.select("id", "seq", "size", (F.lit(capacity) - F.col("free") + F.coalesce(F.sum("size").over(before), F.lit(0))).cast("int").alias("off")))
+    todo = items.join(ends, "span", "left").filter("upto is null or idx >= upto").select(F.lit(True).alias("is_item"), "id", "size")
     used = across.groupBy(F.col("seq").alias("id")).agg(F.sum("size").alias("used"))
-    gaps = gaps.join(used, "id", "left").select("id", (F.col("size") - F.coalesce("used", F.lit(0))).cast("int").alias("size")).filter("size > 0")
-    return placed.unionByName(across.select("id", "seq", "off")), todo, gaps
+    gaps = gaps.join(used, "id", "left").select(F.lit(False).alias("is_item"), "id", (F.col("size") - F.coalesce("used", F.lit(0))).cast("int").alias("size")).filter("size > 0")
+    return across.select("id", "seq", "off"), cut(todo.unionByName(gaps).unionByName(waiting))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eos_id: int = EOS_ID) -> DataFrame:
