@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontam, exact, packing, pii, simhash, substring, toxicity, warc
+from gridloom.llm import chat, decontam, exact, html_extract, packing, pii, simhash, substring, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,11 +24,39 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(_table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = """
+WITH t AS (SELECT conv_id, turn, role, min(text) AS text FROM conversations GROUP BY ALL),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS k FROM t WHERE role = 'user'),
+c AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id,
+    row_number() OVER (PARTITION BY conv_id, turn % 2, turn - 2 * k ORDER BY turn) - 1 AS level,
+    len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words FROM u),
+r AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, text AS content FROM t WHERE role = 'assistant')
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, r.result_turn, c.level,
+  CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN c.turn IS NOT NULL AND c.text IS NULL THEN ['missing prompt'] ELSE []::VARCHAR[] END AS errors,
+  '{"arguments":' || CASE WHEN c.turn IS NULL THEN 'null' WHEN c.text IS NULL THEN '{"words":0}'
+      ELSE '{"prompt":' || to_json(c.text) || ',"words":' || c.words || '}' END
+    || ',"depends_on":' || CASE WHEN c.level > 0 THEN '["' || c.conv_id || ':' || (c.turn - 2) || '"]' ELSE '[]' END
+    || ',"id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"level":' || coalesce(c.level::VARCHAR, 'null')
+    || ',"name":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '"reply"' END
+    || ',"result":' || CASE WHEN r.content IS NULL THEN 'null' ELSE to_json(r.content)::VARCHAR END || '}' AS json
+FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+"""
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", "n_items", "item_ids", "max_share")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -85,7 +113,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_toxicity": op2_toxicity,
+        "op3_chat_formatting": op3_chat_formatting,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_html_extraction": op5_html_extraction,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_warc": op8_warc,
@@ -95,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_exact_dedup": OP9_SQL}
