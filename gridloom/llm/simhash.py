@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.words import LANES, Words, mix, texts_of
 from gridloom.operators.graph import connected_components
 from gridloom.session import cut
 
@@ -29,7 +30,7 @@ SEED = 42
 HOT_BUCKET = 4096
 
 
-def shingle_hashes(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
+def shingle_hashes(words: list[bytes], n: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
     """XXH64 of every n-word shingle, repeats included; of the whole where words are fewer."""
     from xxhash import xxh64_intdigest
 
@@ -40,7 +41,7 @@ def shingle_hashes(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = min(n, len(words))
     spans = zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)
-    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in spans], dtype=np.uint64)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -105,7 +106,36 @@ def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def _bucket_links(max_bits: int, hot_bucket: int | None):
+def _stars(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Links of one bucket that are worth verifying one by one: to the nearest other and to a hub.
+
+    Hubs are taken by their number of neighbours, so the original of a family of copies
+    meets them all. At most two links a fingerprint, each within max_bits.
+    """
+    fps = np.unique(fps)
+    n = len(fps)
+    degree, nearest, distance = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for a in range(0, n, 256):
+        apart = np.bitwise_count(fps[a : a + 256, None] ^ fps[None, :]).astype(np.int64)
+        apart[np.arange(len(apart)), np.arange(a, a + len(apart))] = 99
+        degree[a : a + 256] = (apart <= max_bits).sum(axis=1)
+        nearest[a : a + 256] = apart.argmin(axis=1)
+        distance[a : a + 256] = apart.min(axis=1)
+    links = {(int(fps[i]), int(fps[nearest[i]])) for i in np.flatnonzero(distance <= max_bits)}
+    free = np.ones(n, dtype=bool)
+    for hub in np.argsort(-degree, kind="stable").tolist():
+        if not degree[hub]:
+            break
+        if free[hub]:
+            near = free & (np.bitwise_count(fps ^ fps[hub]) <= max_bits)
+            near[hub] = False
+            links.update((int(fps[hub]), x) for x in fps[near].tolist())
+            free &= ~near
+            free[hub] = False
+    return sorted({(min(a, b), max(a, b)) for a, b in links})
+
+
+def _bucket_links(max_bits: int, hot_bucket: int | None, within=_forest):
     """Links within the buckets of a partition that is sorted by key.
 
     Rows are src, dst and the bucket's key; for buckets over hot_bucket, rows with a
@@ -125,7 +155,7 @@ def _bucket_links(max_bits: int, hot_bucket: int | None):
             fps = np.concatenate(held)
             if hot_bucket and len(fps) > hot_bucket:
                 return hot(held_key, fps)
-            return frame(_forest(fps, max_bits))
+            return frame(within(fps, max_bits))
 
         for pdf in frames:
             keys, fps = pdf.key.to_numpy(), pdf.fp.to_numpy()
@@ -154,7 +184,7 @@ def _bucket_links(max_bits: int, hot_bucket: int | None):
                     if hot_bucket and e - s > hot_bucket:
                         yield hot(int(keys[s]), fps[s:e])
                     else:
-                        links.extend(_forest(fps[s:e], max_bits))
+                        links.extend(within(fps[s:e], max_bits))
                 if links:
                     yield frame(links)
                 held_key, held = int(keys[last if last >= first else first]), [fps[starts[last] :]]
@@ -167,14 +197,17 @@ def _bucket_links(max_bits: int, hot_bucket: int | None):
 LINKS = "src bigint, dst bigint, key bigint"
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """src, dst: links that join the same components as all pairs of fps within max_bits (3 at most)."""
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, within=_forest) -> DataFrame:
+    """src, dst: links of fps within max_bits (3 at most).
+
+    With _forest they join the same components as all such pairs would.
+    """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with one deleted bit find at most three differing bits")
     dealt = _variants(fps.distinct()).repartition("key").sortWithinPartitions("key")
-    found = cut(dealt.mapInPandas(_bucket_links(max_bits, HOT_BUCKET), LINKS))
+    found = cut(dealt.mapInPandas(_bucket_links(max_bits, HOT_BUCKET, within), LINKS))
     again = _rekeyed(found.filter("dst is null").select("key", F.col("src").alias("fp")))
-    again = again.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links(max_bits, None), LINKS)
+    again = again.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links(max_bits, None, within), LINKS)
     return found.filter("dst is not null").unionByName(again).select("src", "dst").distinct()
 
 
@@ -194,3 +227,91 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     names = named.join(least, "component").select("fp", "component_id")
     return marks.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+FAMILIES = ((3, 42), (2, 42), (2, 43))
+SIMILARITY = 0.8
+VERIFY_WORDS = 5
+
+
+def _families(docs: DataFrame) -> DataFrame:
+    """doc_id and a fingerprint f0, f1, ... for each (shingle words, seed) of FAMILIES."""
+    names = [f"f{i}" for i in range(len(FAMILIES))]
+
+    def run(batches):
+        for batch in batches:
+            words = [text_words(t.as_py()) for t in batch.column(1)]
+            columns = [pa.array([fingerprint(shingle_hashes(w, n, seed)) for w in words], pa.int64()) for n, seed in FAMILIES]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+
+    return docs.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id and the sorted different 32-bit hashes of its VERIFY_WORDS-word shingles."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t.lower() for t in texts_of(batch.column(1))]
+            words = Words(texts)
+            hashes = words.hashes()
+            out = []
+            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                n = min(VERIFY_WORDS, b - a)
+                own = sum((hashes[a + k : b - n + 1 + k] * LANES[0, k] for k in range(n)), np.zeros(max(0, b - a - n + 1), dtype=np.uint64))
+                out.append(np.unique((mix(own) >> np.uint64(32)).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+
+    return docs.mapInArrow(run, "doc_id bigint, shingles binary")
+
+
+def _similar(similarity: float):
+    def run(frames):
+        for pdf in frames:
+            keep = []
+            for a, b in zip(pdf.left, pdf.right, strict=True):
+                a, b = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield pdf.loc[np.array(keep, dtype=bool), ["src", "dst"]]
+
+    return run
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """src, dst: pairs of doc_ids whose five-word shingle sets are similar, found by SimHash.
+
+    Candidates come from the deletion-variant index of several fingerprints of a text
+    (FAMILIES), a few a fingerprint; each pair is verified on whole texts. doc_ids are
+    expected to be unique and not null.
+    """
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
+    marks = cut(_families(texts))
+    pairs = []
+    for i in range(len(FAMILIES)):
+        own = marks.select("doc_id", F.col(f"f{i}").alias("fp"))
+        classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+        links = near_links(classes.select("fp"), within=_stars)
+        one = classes.select(F.col("fp").alias("src"), F.col("least").alias("a"))
+        two = classes.select(F.col("fp").alias("dst"), F.col("least").alias("b"))
+        pairs.append(links.join(one, "src").join(two, "dst").select("a", "b"))
+        pairs.append(own.join(classes.filter("n > 1"), "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
+    both = pairs[0]
+    for p in pairs[1:]:
+        both = both.unionByName(p)
+    both = cut(both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+    ids = both.select(F.col("src").alias("doc_id")).unionByName(both.select(F.col("dst").alias("doc_id"))).distinct()
+    sets = cut(_shingle_sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text")))
+    left = sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("right"))
+    return both.join(left, "src").join(right, "dst").select("src", "dst", "left", "right").mapInPandas(_similar(similarity), "src bigint, dst bigint")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document, that of the least doc_id, of each group of near copies.
+
+    Rows with a null doc_id stay.
+    """
+    groups = connected_components(near_copies(docs, similarity))
+    gone = groups.filter("node <> component").select(F.col("node").alias("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
