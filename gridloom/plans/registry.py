@@ -27,8 +27,14 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
+
+
+def _load() -> None:
+    from gridloom.plans import grid_queries, spatial_queries, study_queries  # noqa: F401
