@@ -1 +1,268 @@
-"""x"""
+"""Queries of links, matches, components and features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from gridloom.operators import features, spatial
+from gridloom.plans.registry import register
+from gridloom.sources import adapters as A
+
+oracle = A.oracle
+
+# Peaks with an id of their own: doubled keys are folded to one peak, and the id packs the keys.
+UNIQUE = "pk AS (SELECT scan, label, brow, bcol, x, y, max(intensity) AS intensity, max(snr) AS snr, k1 * 10000000 + k2 * 1000 + k3 * 10 + scan AS id FROM peaks GROUP BY scan, label, brow, bcol, x, y, k1, k2, k3 QUALIFY row_number() OVER (PARTITION BY k1, k2, k3, scan ORDER BY y, label) = 1)"
+
+
+def unique_peaks(spark, sf_dir) -> DataFrame:
+    p = A.peaks(spark, sf_dir)
+    one = p.groupBy("scan", "label", "brow", "bcol", "x", "y", "k1", "k2", "k3").agg(F.max("intensity").alias("intensity"), F.max("snr").alias("snr"))
+    first = F.row_number().over(Window.partitionBy("k1", "k2", "k3", "scan").orderBy("y", "label"))
+    ident = F.col("k1") * 10000000 + F.col("k2") * 1000 + F.col("k3") * 10 + F.col("scan")
+    return one.withColumn("_n", first).filter("_n = 1").withColumn("id", ident).drop("_n", "k1", "k2", "k3")
+
+
+LINKS = "lk AS (SELECT a.scan, a.id AS src, b.id AS dst FROM pk a JOIN pk b ON a.scan = b.scan AND ((b.brow = a.brow AND b.bcol = a.bcol + 1) OR (b.brow = a.brow + 1 AND abs(b.bcol - a.bcol) <= 1)) AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 25)"
+
+
+@register("c1_grid_links", oracle(f"WITH {UNIQUE}, {LINKS} SELECT scan, src, dst FROM lk", "peaks"))
+def grid_links(spark, sf_dir):
+    return spatial.grid_links(unique_peaks(spark, sf_dir), 5.0)
+
+
+# Label propagation to the least id; sf0.01's links converge well within the rounds of the recursion.
+COMPONENTS = f"WITH RECURSIVE {UNIQUE}, {LINKS}, ed AS MATERIALIZED (SELECT src AS u, dst AS v FROM lk UNION SELECT dst, src FROM lk), cc(u, c) AS (SELECT DISTINCT u, u FROM ed UNION SELECT ed.v, cc.c FROM cc JOIN ed ON ed.u = cc.u WHERE cc.c < ed.v), comp AS (SELECT u AS id, min(c) AS component FROM cc GROUP BY u), mem AS MATERIALIZED (SELECT pk.*, coalesce(component, id) AS component FROM pk LEFT JOIN comp USING (id))"
+
+
+def components(spark, sf_dir) -> DataFrame:
+    p = unique_peaks(spark, sf_dir)
+    return spatial.link_components(p, spatial.grid_links(p, 5.0))
+
+
+@register("d9_connected_components", oracle(f"{COMPONENTS} SELECT id, component FROM mem", "peaks"))
+def connected(spark, sf_dir):
+    return components(spark, sf_dir).select("id", "component")
+
+
+CHARACTER = """SELECT component, arg_max(label, row(intensity, -id)) AS label, arg_max(brow, row(intensity, -id)) AS center_row, arg_max(bcol, row(intensity, -id)) AS center_col, trunc(avg(x))::INT AS detector_x, trunc(avg(y))::INT AS detector_y,
+ max(intensity) AS peak_intensity, round(avg(snr), 6) AS mean_snr, count(*) AS n_members, count(DISTINCT (brow, bcol)) AS n_bins FROM mem GROUP BY component"""
+
+
+@register("d14_characterize", oracle(f"{COMPONENTS} {CHARACTER}", "peaks"))
+def characterize(spark, sf_dir):
+    return features.characterize(components(spark, sf_dir), ("id",)).drop("extent").withColumn("mean_snr", F.round("mean_snr", 6))
+
+
+@register("d16_best_per_bin", oracle(f"{COMPONENTS} SELECT component, brow, bcol, max(intensity) AS intensity, arg_max(x, row(intensity, -id)) AS det_x, arg_max(y, row(intensity, -id)) AS det_y, arg_max(snr, row(intensity, -id)) AS snr FROM mem GROUP BY component, brow, bcol", "peaks"))
+def best_per_bin(spark, sf_dir):
+    return features.best_per_bin(components(spark, sf_dir), ("id",))
+
+
+# The same features from a coarser grouping, so that profiles of many cells occur.
+PATCH = "mem AS (SELECT *, scan * 100000 + (brow // 8) * 1000 + (bcol // 8) * 10 AS component FROM pk)"
+
+
+def patches(spark, sf_dir) -> DataFrame:
+    p = unique_peaks(spark, sf_dir)
+    return p.withColumn("component", F.col("scan") * 100000 + F.expr("brow div 8") * 1000 + F.expr("bcol div 8") * 10)
+
+
+@register("d17_weighted_fwhm", oracle(f"WITH {UNIQUE}, {PATCH}, m AS (SELECT component, sum(y * intensity) / sum(intensity) AS m, count(*) AS n FROM mem GROUP BY component HAVING count(*) >= 3) SELECT component, round(2.3548::DOUBLE * sqrt(sum(intensity * (y - m) * (y - m)) / sum(intensity)), 6) AS fwhm FROM mem JOIN m USING (component) GROUP BY component", "peaks"))
+def fwhm(spark, sf_dir):
+    return features.weighted_fwhm(patches(spark, sf_dir), "y", "intensity").withColumn("fwhm", F.round("fwhm", 6))
+
+
+@register("d15_profile_check", oracle(f"""
+WITH {UNIQUE}, {PATCH}, pr AS (SELECT component, brow, bcol, max(intensity) AS v FROM mem GROUP BY ALL), ce AS (SELECT component, arg_max(brow, row(intensity, -id)) AS r, arg_max(bcol, row(intensity, -id)) AS c FROM mem GROUP BY component),
+f AS (SELECT component, sqrt((brow - r) * (brow - r) + (bcol - c) * (bcol - c)) AS d, v FROM pr JOIN ce USING (component)), q AS (SELECT a.component, count(*) AS n, count_if(b.v <= a.v) AS ok FROM f a JOIN f b ON a.component = b.component AND b.d - a.d >= 0.1 GROUP BY a.component),
+s AS (SELECT component, count(*) AS n, max(v) AS top, stddev_pop(v) / avg(v) AS cv FROM pr GROUP BY component)
+SELECT component, s.n, round(cv, 6) AS cv, round(ok / q.n::DOUBLE, 6) AS falling, CASE WHEN s.n < 2 THEN 'single' WHEN top <= 0 THEN 'non_positive' WHEN cv < 0.05 THEN 'flat' WHEN ok / q.n::DOUBLE < 0.4 THEN 'non_gaussian' END AS reason FROM s LEFT JOIN q USING (component)""", "peaks"))
+def profile_check(spark, sf_dir):
+    m = patches(spark, sf_dir)
+    out = features.profile_check(features.best_per_bin(m, ("id",)), features.characterize(m, ("id",)))
+    return out.withColumn("cv", F.round("cv", 6)).withColumn("falling", F.round("falling", 6))
+
+
+@register("e20_feature_ids", oracle(f"WITH {UNIQUE}, {PATCH}, c AS ({CHARACTER}) SELECT component, row_number() OVER (PARTITION BY component // 100000 ORDER BY center_row, center_col, component) AS feature_id FROM c", "peaks"))
+def feature_ids(spark, sf_dir):
+    c = features.characterize(patches(spark, sf_dir), ("id",)).withColumn("scan", F.expr("component div 100000"))
+    return features.number(c, ["center_row", "center_col", "component"], ["scan"]).select("component", "feature_id")
+
+
+@register("c2_graph_links", oracle(f"""
+WITH {UNIQUE}, t AS (SELECT *, scan * 10000 + brow * 100 + bcol AS tid FROM pk), e AS (SELECT DISTINCT tid AS a, tid + 1 AS b FROM t), h AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT tid, tid FROM t)
+SELECT p.id AS src, q.id AS dst FROM t p JOIN h ON p.tid = h.a JOIN t q ON q.tid = h.b WHERE p.id < q.id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 25""", "peaks"))
+def graph_links(spark, sf_dir):
+    t = unique_peaks(spark, sf_dir).withColumn("tid", F.col("scan") * 10000 + F.col("brow") * 100 + F.col("bcol"))
+    return spatial.graph_links(t, t.select(F.col("tid").alias("a"), (F.col("tid") + 1).alias("b")).distinct(), 5.0)
+
+
+@register("c3_row_reach_links", oracle(f"WITH {UNIQUE} SELECT a.scan, a.id AS src, b.id AS dst FROM pk a JOIN pk b ON a.scan = b.scan AND ((b.brow = a.brow AND a.bcol < b.bcol) OR b.brow = a.brow + 1) AND abs(a.bcol - b.bcol) <= 16 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9", "peaks"))
+def row_reach(spark, sf_dir):
+    return spatial.row_reach_links(unique_peaks(spark, sf_dir), 3.0, 16)
+
+
+@register("c6_nearest_reflection", oracle("SELECT gi, y, x, CASE WHEN min(abs(tth - two_theta)) <= 1.0 THEN arg_min(reflection, row(abs(tth - two_theta), ord)) ELSE 'unknown' END AS nearest FROM tth_pixels, reflections GROUP BY gi, y, x", "tth_pixels", "reflections"))
+def nearest(spark, sf_dir):
+    return spatial.nearest_label(A.tth_pixels(spark, sf_dir), A.reflections(spark, sf_dir), 1.0).select("gi", "y", "x", "nearest")
+
+
+@register("c17_nearest_neighbours", oracle(f"WITH {UNIQUE}, p AS (SELECT scan, brow, id, x, y FROM pk), d AS (SELECT a.scan, a.brow, a.id, b.id AS r_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.scan = b.scan AND a.brow = b.brow AND a.id <> b.id) SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, r_id) AS rank FROM d WHERE d <= 10 QUALIFY rank <= 3", "peaks"))
+def knn(spark, sf_dir):
+    return spatial.nearest_neighbours(unique_peaks(spark, sf_dir), 3, 10.0, ("scan", "brow"))
+
+
+@register("d47_median_step", oracle(f"WITH {UNIQUE}, d AS (SELECT a.scan, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM pk a JOIN pk b ON a.scan = b.scan AND a.brow = b.brow AND a.id <> b.id GROUP BY a.scan, a.id) SELECT scan, round(median(d), 6) AS step FROM d WHERE d > 0 AND d <= 10 GROUP BY scan", "peaks"))
+def median_step(spark, sf_dir):
+    return spatial.nearest_neighbours(unique_peaks(spark, sf_dir), 1, 10.0, ("scan", "brow")).filter("d > 0").groupBy("scan").agg(F.round(F.median("d"), 6).alias("step"))
+
+
+RANKED = f"{UNIQUE}, rk AS (SELECT *, row_number() OVER (PARTITION BY scan, brow ORDER BY snr DESC, id) AS rank FROM pk)"
+
+
+def ranked(spark, sf_dir) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("scan", "brow").orderBy(F.desc("snr"), "id"))
+    return unique_peaks(spark, sf_dir).withColumn("rank", place)
+
+
+# Greedy suppression by recursion over ranks: each step keeps or drops the next peak of every row.
+@register("e18_suppression", oracle(f"""
+WITH RECURSIVE {RANKED}, g(scan, brow, rank, kept) AS (
+  SELECT scan, brow, 0::BIGINT, []::STRUCT(x BIGINT, y BIGINT, id BIGINT)[] FROM rk GROUP BY scan, brow
+  UNION ALL
+  SELECT g.scan, g.brow, g.rank + 1, CASE WHEN len(list_filter(g.kept, lambda k: (k.x - rk.x) * (k.x - rk.x) + (k.y - rk.y) * (k.y - rk.y) < 225)) = 0 THEN list_append(g.kept, {{'x': rk.x, 'y': rk.y, 'id': rk.id}}) ELSE g.kept END
+  FROM g JOIN rk ON rk.scan = g.scan AND rk.brow = g.brow AND rk.rank = g.rank + 1)
+SELECT unnest(kept).id AS id FROM (SELECT arg_max(kept, rank) AS kept FROM g GROUP BY scan, brow)""", "peaks"))
+def suppression(spark, sf_dir):
+    return spatial.suppress(ranked(spark, sf_dir), 15.0, ("scan", "brow")).select("id")
+
+
+@register("f1_top_peaks", oracle(f"WITH {UNIQUE} SELECT id, row_number() OVER (PARTITION BY scan, brow, bcol ORDER BY snr DESC, id) AS place FROM pk QUALIFY place <= 3", "peaks"))
+def top_peaks(spark, sf_dir):
+    return features.top_per_group(unique_peaks(spark, sf_dir), 3, ["scan", "brow", "bcol"], [F.desc("snr"), "id"]).select("id", "place")
+
+
+PAIRS = f"{UNIQUE}, pr AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pk a JOIN pk b ON a.brow = b.brow AND a.bcol = b.bcol AND a.scan = 1 AND b.scan = 2 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400)"
+
+
+def candidate_pairs(spark, sf_dir) -> DataFrame:
+    p = unique_peaks(spark, sf_dir)
+    pairs = spatial.distance_join(p.filter("scan = 1").drop("scan"), p.filter("scan = 2").drop("scan"), 20.0, ("brow", "bcol"))
+    return pairs.select(F.col("id").alias("i"), F.col("r_id").alias("j"), "d")
+
+
+@register("c8_candidate_pairs", oracle(f"WITH {PAIRS} SELECT i, j, round(d, 6) AS d FROM pr", "peaks"))
+def pairs(spark, sf_dir):
+    return candidate_pairs(spark, sf_dir).withColumn("d", F.round("d", 6))
+
+
+def _greedy_sql(order: str, key: str) -> str:
+    """One pair after the other in the given order, per cell, as a recursion."""
+    return f"""
+WITH RECURSIVE {PAIRS}, o AS (SELECT i, j, d, i // 10000000 % 40 * 40 + i // 1000 % 10000 % 40 AS cell, row_number() OVER (PARTITION BY i // 10000000 % 40 * 40 + i // 1000 % 10000 % 40 ORDER BY {order}) AS n FROM pr),
+g(cell, n, li, lj) AS (SELECT DISTINCT cell, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM o UNION ALL
+ SELECT g.cell, g.n + 1, CASE WHEN {key} THEN list_append(li, o.i) ELSE li END, CASE WHEN {key} THEN list_append(lj, o.j) ELSE lj END FROM g JOIN o ON o.cell = g.cell AND o.n = g.n + 1)
+SELECT unnest(li) AS i, unnest(lj) AS j FROM (SELECT arg_max(li, n) AS li, arg_max(lj, n) AS lj FROM g GROUP BY cell)"""
+
+
+@register("c8_greedy_match", oracle(_greedy_sql("d, i, j", "NOT list_contains(li, o.i) AND NOT list_contains(lj, o.j)"), "peaks"))
+def greedy(spark, sf_dir):
+    return spatial.greedy_match(candidate_pairs(spark, sf_dir)).select("i", "j")
+
+
+@register("c24_serial_match", oracle(_greedy_sql("i, d, j", "NOT list_contains(li, o.i) AND NOT list_contains(lj, o.j)"), "peaks"))
+def serial(spark, sf_dir):
+    return spatial.serial_match(candidate_pairs(spark, sf_dir)).select("i", "j")
+
+
+@register("c7_repeatability", oracle(_greedy_sql("i, d, j DESC", "NOT list_contains(li, o.i) AND NOT list_contains(lj, o.j)"), "peaks"))
+def repeatability(spark, sf_dir):
+    return spatial.serial_match(candidate_pairs(spark, sf_dir), later_wins=True).select("i", "j")
+
+
+@register("c10_match_footprint", oracle(f"WITH {PAIRS}, n AS (SELECT i, j, d FROM pr QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1) SELECT count(*) AS matched, count(DISTINCT j) AS covered, round(avg(d), 6) AS mean_d FROM n", "peaks"))
+def footprint(spark, sf_dir):
+    near = features.top_per_group(candidate_pairs(spark, sf_dir), 1, ["i"], ["d", "j"])
+    return near.agg(F.count("*").alias("matched"), F.countDistinct("j").alias("covered"), F.round(F.avg("d"), 6).alias("mean_d"))
+
+
+@register("c23_nearest_only_f1", oracle(f"WITH {PAIRS}, n AS (SELECT i, j FROM pr QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1), c AS (SELECT count(DISTINCT j) AS tp FROM n), t AS (SELECT count_if(scan = 1) AS found, count_if(scan = 2) AS truth FROM pk) SELECT tp, found - tp AS fp, truth - tp AS fn, round(2 * tp / (found + truth)::DOUBLE, 6) AS f1 FROM c, t", "peaks"))
+def nearest_f1(spark, sf_dir):
+    from gridloom.functions.scalars import f_score
+
+    tp = features.top_per_group(candidate_pairs(spark, sf_dir), 1, ["i"], ["d", "j"]).agg(F.countDistinct("j").alias("tp"))
+    n = unique_peaks(spark, sf_dir).agg(F.count_if(F.col("scan") == 1).alias("found"), F.count_if(F.col("scan") == 2).alias("truth"))
+    both = n.crossJoin(tp).select("tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("truth") - F.col("tp")).alias("fn"))
+    return both.withColumn("f1", F.round(f_score(F.col("tp"), F.col("fp"), F.col("fn")), 6))
+
+
+def _levels(spark, sf_dir):
+    p = unique_peaks(spark, sf_dir).withColumn("cr", F.expr("brow div 2")).withColumn("cc", F.expr("bcol div 2"))
+    return p.filter("scan in (1, 2)"), p.filter("scan = 3")
+
+
+@register("c9_novel_cells", oracle(f"WITH {UNIQUE} SELECT id FROM pk a WHERE scan IN (1, 2) AND NOT EXISTS (SELECT 1 FROM pk b WHERE b.scan = 3 AND b.label = a.label AND b.brow // 2 = a.brow // 2 AND b.bcol // 2 = a.bcol // 2)", "peaks"))
+def novel(spark, sf_dir):
+    fine, coarse = _levels(spark, sf_dir)
+    return spatial.covered(fine, coarse, ["label", "cr", "cc"], anti=True).select("id")
+
+
+@register("c9_covered_cells", oracle(f"WITH {UNIQUE} SELECT id FROM pk a WHERE scan IN (1, 2) AND EXISTS (SELECT 1 FROM pk b WHERE b.scan = 3 AND b.label = a.label AND b.brow // 2 = a.brow // 2 AND b.bcol // 2 = a.bcol // 2)", "peaks"))
+def covered(spark, sf_dir):
+    fine, coarse = _levels(spark, sf_dir)
+    return spatial.covered(fine, coarse, ["label", "cr", "cc"]).select("id")
+
+
+@register("c11_matched_at_all_sizes", oracle(f"WITH {UNIQUE}, k AS (SELECT brow // 5 AS r, bcol // 5 AS c, label, x // 40 AS bx, y // 40 AS yb, scan, arg_max(id, row(snr, -id)) AS id FROM pk WHERE scan <= 3 GROUP BY ALL) SELECT r, c, label, bx, yb, count(*) AS n, min(id) AS least FROM k GROUP BY ALL HAVING count(*) = 3", "peaks"))
+def all_sizes(spark, sf_dir):
+    p = unique_peaks(spark, sf_dir).filter("scan <= 3")
+    keys = [F.expr("brow div 5").alias("r"), F.expr("bcol div 5").alias("c"), "label", F.expr("x div 40").alias("bx"), F.expr("y div 40").alias("yb")]
+    best = p.groupBy(*keys, "scan").agg(F.max_by("id", F.struct("snr", -F.col("id"))).alias("id"))
+    return best.groupBy("r", "c", "label", "bx", "yb").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n = 3")
+
+
+@register("c12_label_recall", oracle(f"WITH {UNIQUE} SELECT scan, count(*) AS n, count_if(EXISTS (SELECT 1 FROM pk b WHERE b.scan = 1 AND b.brow = a.brow AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64)) AS hit FROM pk a WHERE scan <> 1 GROUP BY scan", "peaks"))
+def recall(spark, sf_dir):
+    p = unique_peaks(spark, sf_dir)
+    hits = spatial.distance_join(p.filter("scan <> 1"), p.filter("scan = 1").drop("scan"), 8.0, ("brow",)).select("id").distinct().withColumn("hit", F.lit(1))
+    return p.filter("scan <> 1").join(hits, "id", "left").groupBy("scan").agg(F.count("*").alias("n"), F.count("hit").alias("hit"))
+
+
+@register("c14_neighbourhood_probe", oracle("WITH b AS (SELECT brow, bcol, sum(integrated) AS v FROM device_map GROUP BY ALL) SELECT c.brow, c.bcol, count(*) AS n, round(sum(o.v), 4) AS total FROM b c JOIN b o ON abs(c.brow - o.brow) <= 2 AND abs(c.bcol - o.bcol) <= 2 GROUP BY ALL", "device_map"))
+def probe(spark, sf_dir):
+    b = A.device_map(spark, sf_dir).groupBy("brow", "bcol").agg(F.sum("integrated").alias("v"))
+    steps = F.sequence(F.lit(-2), F.lit(2))
+    around = b.select(F.col("brow").alias("r"), F.col("bcol").alias("c")).withColumn("_r", F.explode(steps)).withColumn("_c", F.explode(steps)).withColumn("brow", F.col("r") + F.col("_r")).withColumn("bcol", F.col("c") + F.col("_c"))
+    return around.join(b, ["brow", "bcol"]).groupBy(F.col("r").alias("brow"), F.col("c").alias("bcol")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@register("e19_box_containment", oracle(f"WITH {UNIQUE}, b AS (SELECT scan, brow, id AS rank, x AS x0, y AS y0, x + k AS x1, y + k AS y1 FROM (SELECT *, 3 + id % 9 AS k FROM pk)) SELECT rank FROM b a WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.scan = a.scan AND o.brow = a.brow AND o.rank < a.rank AND o.x0 <= a.x0 AND o.y0 <= a.y0 AND o.x1 >= a.x1 AND o.y1 >= a.y1)", "peaks"))
+def boxes(spark, sf_dir):
+    k = 3 + F.col("id") % 9
+    b = unique_peaks(spark, sf_dir).select("scan", "brow", F.col("id").alias("rank"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + k).alias("x1"), (F.col("y") + k).alias("y1"))
+    return spatial.containing_boxes(b, ("scan", "brow")).select("rank")
+
+
+@register("e17_row_shifts", oracle(f"""
+WITH {UNIQUE}, u AS (SELECT scan, brow, bcol, x // 2 AS cx, y AS cy FROM pk QUALIFY count(*) OVER (PARTITION BY scan, brow, x // 2, y) = 1)
+SELECT a.scan, a.brow, count(*) AS n, trunc(median(b.bcol - a.bcol))::INT AS shift FROM u a JOIN u b ON a.scan = b.scan AND b.brow = a.brow + 1 AND a.cx = b.cx AND a.cy = b.cy GROUP BY a.scan, a.brow HAVING count(*) >= 5""", "peaks"))
+def row_shifts(spark, sf_dir):
+    p = unique_peaks(spark, sf_dir).select("scan", "brow", "bcol", F.expr("x div 2").alias("cx"), F.col("y").alias("cy"))
+    alone = p.withColumn("_n", F.count("*").over(Window.partitionBy("scan", "brow", "cx", "cy"))).filter("_n = 1").drop("_n")
+    after = alone.select("scan", (F.col("brow") - 1).alias("brow"), F.col("bcol").alias("next"), "cx", "cy")
+    return alone.join(after, ["scan", "brow", "cx", "cy"]).groupBy("scan", "brow").agg(F.count("*").alias("n"), F.median(F.col("next") - F.col("bcol")).cast("int").alias("shift")).filter("n >= 5")
+
+
+@register("e21_centre_percentile", oracle(f"WITH {UNIQUE}, {PATCH}, c AS (SELECT component, arg_max(intensity, row(snr, -id)) AS v FROM mem GROUP BY component) SELECT component, round(avg((intensity <= v)::INT), 6) AS share FROM mem JOIN c USING (component) GROUP BY component", "peaks"))
+def centre_percentile(spark, sf_dir):
+    m = patches(spark, sf_dir)
+    c = m.groupBy("component").agg(F.max_by("intensity", F.struct("snr", -F.col("id"))).alias("_v"))
+    return m.join(c, "component").groupBy("component").agg(F.round(F.avg((F.col("intensity") <= F.col("_v")).cast("int")), 6).alias("share"))
+
+
+@register("d39_fragmentation", oracle(f"WITH {UNIQUE}, {PATCH} SELECT component, max(brow) - min(brow) + 1 AS row_span, max(bcol) - min(bcol) + 1 AS col_span, count(DISTINCT (brow, bcol)) AS n_bins, round(1 - count(DISTINCT (brow, bcol)) / ((max(brow) - min(brow) + 1) * (max(bcol) - min(bcol) + 1))::DOUBLE, 6) AS gap_share, max(brow) = min(brow) AND count(DISTINCT (brow, bcol)) > 1 AS one_row FROM mem GROUP BY component", "peaks"))
+def fragmentation(spark, sf_dir):
+    from gridloom.operators.compare import spans
+
+    return spans(patches(spark, sf_dir), ["component"]).withColumn("gap_share", F.round("gap_share", 6))

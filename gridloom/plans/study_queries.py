@@ -1 +1,390 @@
-"""x"""
+"""Queries of studies: device maps, tracks, profiles, histograms, scores, Q space, catalogs and scalars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from gridloom.functions import scalars as S
+from gridloom.operators import compare, qspace, study
+from gridloom.plans.registry import register
+from gridloom.sources import adapters as A
+
+oracle = A.oracle
+
+
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    for n in names:
+        df = df.withColumn(n, F.round(n, 6))
+    return df
+
+
+COMBINED = """SELECT CASE WHEN grouping(reflection) = 1 THEN 'fused' ELSE 'reflection' END AS level, reflection, brow, bcol, max(integrated) AS max_intensity, arg_max(theta, row(integrated, -ord)) AS argmax_theta, count(DISTINCT theta) AS n_theta
+FROM device_map WHERE integrated > 0 GROUP BY GROUPING SETS ((brow, bcol), (reflection, brow, bcol))"""
+
+
+@register("d21_combined_device", oracle(COMBINED, "device_map"))
+def combined(spark, sf_dir):
+    return study.combined_device(A.device_map(spark, sf_dir))
+
+
+@register("d22_combined_summary", oracle(f"SELECT count(*) AS cells, count_if(n_theta > 1) AS multi_theta, max(max_intensity) AS top FROM ({COMBINED}) WHERE level = 'fused'", "device_map"))
+def combined_summary(spark, sf_dir):
+    return study.device_summary(study.combined_device(A.device_map(spark, sf_dir)))
+
+
+@register("d20_device_grid_max", oracle("SELECT reflection, brow, bcol, max(integrated) AS value FROM device_map GROUP BY ALL", "device_map"))
+def grid_max(spark, sf_dir):
+    return study.device_grid(A.device_map(spark, sf_dir), "max", "integrated")
+
+
+@register("d20_device_grid_extreme", oracle("SELECT reflection, brow, bcol, arg_max(det_x - 50, row(abs(det_x - 50), -ord)) AS value FROM device_map GROUP BY ALL", "device_map"))
+def grid_extreme(spark, sf_dir):
+    return study.device_grid(A.device_map(spark, sf_dir).withColumn("shift", F.col("det_x") - 50), "extreme", "shift")
+
+
+@register("d20_device_grid_last", oracle("SELECT reflection, brow, bcol, arg_max(det_x, ord) AS value FROM device_map GROUP BY ALL", "device_map"))
+def grid_last(spark, sf_dir):
+    return study.device_grid(A.device_map(spark, sf_dir), "last", "det_x")
+
+
+@register("d18_feature_rows", oracle("SELECT scan, reflection, brow // 5 AS p, round(avg(integrated), 6) AS mean_intensity, round(sum(integrated), 4) AS sum_integrated, round(sum(det_x * integrated) / sum(integrated), 6) AS tth_com, count(*) AS n_bins FROM device_map GROUP BY ALL", "device_map"))
+def feature_rows(spark, sf_dir):
+    d = A.device_map(spark, sf_dir).withColumn("p", F.expr("brow div 5")).withColumn("tth", F.col("det_x").cast("double")).withColumn("intensity", F.col("integrated"))
+    return r6(study.feature_rows(d, ["scan", "reflection", "p"]).withColumn("sum_integrated", F.round("sum_integrated", 4)), "mean_intensity", "tth_com")
+
+
+@register("d19_device_map_rows", oracle("SELECT scan, reflection, brow || '_' || bcol AS bin, count(*) AS n, round(sum(integrated), 4) AS total FROM device_map GROUP BY ALL", "device_map"))
+def device_rows(spark, sf_dir):
+    """Profiles as arrays of structs, unnested again and keyed as text."""
+    d = A.device_map(spark, sf_dir)
+    nested = d.groupBy("scan", "reflection", F.expr("ord div 100").alias("f")).agg(F.collect_list(F.struct("brow", "bcol", "integrated")).alias("profile"))
+    flat = nested.select("scan", "reflection", F.explode_outer("profile").alias("p")).select("scan", "reflection", "p.*")
+    return flat.groupBy("scan", "reflection", S.cell_key(F.col("brow"), F.col("bcol")).alias("bin")).agg(F.count("*").alias("n"), F.round(F.sum("integrated"), 4).alias("total"))
+
+
+@register("d55_scan_counts", oracle("SELECT scan, reflection, count(*) AS n FROM features GROUP BY scan, reflection", "features"))
+def scan_counts(spark, sf_dir):
+    return A.features(spark, sf_dir).groupBy("scan", "reflection").agg(F.count("*").alias("n"))
+
+
+@register("d55_dominant_reflection", oracle("SELECT scan, arg_max(reflection, row(n, reflection)) AS dominant, max(n) AS n FROM (SELECT scan, reflection, count(*) AS n FROM features GROUP BY ALL) GROUP BY scan", "features"))
+def dominant(spark, sf_dir):
+    n = A.features(spark, sf_dir).groupBy("scan", "reflection").agg(F.count("*").alias("n"))
+    return n.groupBy("scan").agg(F.max_by("reflection", F.struct("n", "reflection")).alias("dominant"), F.max("n").alias("n"))
+
+
+# Tracks by place: the features of one reflection and patch over all scans.
+TRACK = "tk AS (SELECT *, reflection || ':' || prow || ':' || pcol AS track FROM features)"
+UNWRAP = "uw AS (SELECT *, first_value(chi_deg) OVER w + sum(coalesce(st, 0)) OVER w AS cu, abs(st) AS sa FROM (SELECT *, ((chi_deg - lag(chi_deg) OVER w + 180) % 360 + 360) % 360 - 180 AS st FROM tk WINDOW w AS (PARTITION BY track ORDER BY theta, feature_id)) WINDOW w AS (PARTITION BY track ORDER BY theta, feature_id))"
+
+
+def tracked(spark, sf_dir) -> DataFrame:
+    return A.features(spark, sf_dir).withColumn("track", F.concat_ws(":", "reflection", F.col("prow").cast("string"), F.col("pcol").cast("string")))
+
+
+@register("e9_unwrap", oracle(f"WITH {TRACK}, {UNWRAP} SELECT feature_id, round(cu, 5) AS chi_deg_unwrapped, round(sa, 5) AS chi_deg_step FROM uw", "features"))
+def unwrap(spark, sf_dir):
+    out = study.unwrapped(tracked(spark, sf_dir), "chi_deg", ["track"], ["theta", "feature_id"])
+    return out.select("feature_id", F.round("chi_deg_unwrapped", 5).alias("chi_deg_unwrapped"), F.round("chi_deg_step", 5).alias("chi_deg_step"))
+
+
+SUMMARY = f"""{TRACK}, {UNWRAP}, md AS (SELECT track, avg(center_row) AS mr, avg(center_col) AS mc FROM tk GROUP BY track), ts AS (SELECT track, avg(center_row) AS row, avg(center_col) AS col, sqrt(avg((center_row - mr) * (center_row - mr) + (center_col - mc) * (center_col - mc))) AS rms_drift,
+ min(theta) AS theta_min, max(theta) AS theta_max, arg_max(theta, row(peak_intensity, -theta)) AS theta_at_max, max(peak_intensity) AS max_intensity, count(DISTINCT theta) AS n_theta, max(cu) - min(cu) AS chi_span, coalesce(max(sa), 0) AS chi_max_step, count(DISTINCT theta) > 1 AS recurrent FROM uw JOIN md USING (track) GROUP BY track)"""
+
+
+@register("d23_track_summary", oracle(f"WITH {SUMMARY} SELECT track, round(row, 6) AS row, round(col, 6) AS col, round(rms_drift, 5) AS rms_drift, theta_min, theta_max, theta_at_max, max_intensity, n_theta, round(chi_span, 5) AS chi_span, round(chi_max_step, 5) AS chi_max_step, recurrent FROM ts", "features"))
+def track_summary(spark, sf_dir):
+    out = r6(study.track_summary(tracked(spark, sf_dir), ["track"], ["theta", "feature_id"]), "row", "col")
+    for c in ("rms_drift", "chi_span", "chi_max_step"):
+        out = out.withColumn(c, F.round(c, 5))
+    return out
+
+
+@register("d24_intensity_curve", oracle(f"WITH {TRACK} SELECT track, theta, greatest(max(peak_intensity), 0) AS intensity FROM tk GROUP BY track, theta", "features"))
+def curve(spark, sf_dir):
+    return study.intensity_curve(tracked(spark, sf_dir), ["track"], "peak_intensity")
+
+
+@register("d25_curve_moments", oracle(f"""WITH {TRACK}, c AS (SELECT track, theta, greatest(max(peak_intensity), 0) AS i FROM tk GROUP BY track, theta), a AS (SELECT *, (theta - lag(theta) OVER w) * (i + lag(i) OVER w) / 2 AS p FROM c WINDOW w AS (PARTITION BY track ORDER BY theta))
+SELECT track, arg_max(theta, row(i, -theta)) AS theta_at_max, round(sum(theta * i) / nullif(sum(i), 0), 6) AS theta_mean, round(coalesce(sum(p), 0), 5) AS area, count(*) AS n FROM a GROUP BY track""", "features"))
+def moments(spark, sf_dir):
+    out = study.curve_moments(study.intensity_curve(tracked(spark, sf_dir), ["track"], "peak_intensity"), ["track"])
+    return out.withColumn("theta_mean", F.round("theta_mean", 6)).withColumn("area", F.round("area", 5))
+
+
+@register("d26_chi_slope", oracle(f"WITH {TRACK}, {UNWRAP} SELECT track, round(regr_slope(cu, theta), 5) AS slope FROM uw GROUP BY track HAVING count(DISTINCT theta) > 1", "features"))
+def slope(spark, sf_dir):
+    out = study.unwrapped(tracked(spark, sf_dir), "chi_deg", ["track"], ["theta", "feature_id"])
+    many = out.groupBy("track").agg(F.regr_slope("chi_deg_unwrapped", "theta").alias("s"), F.countDistinct("theta").alias("n")).filter("n > 1")
+    return many.select("track", F.round("s", 5).alias("slope"))
+
+
+@register("d27_rocking_summary", oracle(f"WITH {SUMMARY}, m AS (SELECT list_sort(list(max_intensity)) AS a, count(max_intensity) AS n FROM ts) SELECT n AS max_intensity_n, a[1] AS max_intensity_min, a[n // 2 + 1] AS max_intensity_median, a[n] AS max_intensity_max FROM m", "features"))
+def rocking(spark, sf_dir):
+    return study.rocking_summary(study.track_summary(tracked(spark, sf_dir), ["track"], ["theta", "feature_id"]), ["max_intensity"])
+
+
+@register("d28_chi_smoothness", oracle(f"WITH {SUMMARY}, m AS (SELECT list_sort(list(round(chi_max_step, 5))) AS a, count(*) AS n, avg((round(chi_max_step, 5) <= 170)::INT) AS f FROM ts) SELECT a[n // 2 + 1] AS median_step, round(f, 6) AS share FROM m", "features"))
+def smoothness(spark, sf_dir):
+    t = study.track_summary(tracked(spark, sf_dir), ["track"], ["theta", "feature_id"]).withColumn("s", F.round("chi_max_step", 5))
+    return t.agg(S.upper_median("s").alias("median_step"), F.round(F.avg((F.col("s") <= 170).cast("int")), 6).alias("share"))
+
+
+@register("c13_predicted_vs_observed", oracle(f"WITH {SUMMARY}, e AS (SELECT track, t.theta FROM ts JOIN (SELECT DISTINCT theta FROM features) t ON t.theta BETWEEN theta_min - 1e-9 AND theta_max + 1e-9 WHERE recurrent), s AS (SELECT DISTINCT track, theta, 1 AS seen FROM tk) SELECT track, count(*) AS expected, count(seen) AS observed, count(*) - count(seen) AS gaps FROM e LEFT JOIN s USING (track, theta) GROUP BY track", "features"))
+def predicted(spark, sf_dir):
+    t = tracked(spark, sf_dir)
+    return study.predicted_vs_observed(t, study.track_summary(t, ["track"], ["theta", "feature_id"]), t.select("theta"), ["track"])
+
+
+@register("d29_retention", oracle("SELECT reflection, count_if(scan = 'Scan_0001') AS n_first, count_if(scan = 'Scan_0002') AS n_second, round(count_if(scan = 'Scan_0002') / nullif(count_if(scan = 'Scan_0001'), 0)::DOUBLE, 6) AS retention, CASE WHEN reflection = 'view' THEN 'substrate' ELSE 'film' END AS kind FROM features GROUP BY reflection", "features"))
+def retention(spark, sf_dir):
+    return r6(study.retention(A.features(spark, sf_dir), "Scan_0001", "Scan_0002", ["view"]), "retention")
+
+
+@register("j10_tracks")
+def build_tracks(spark, sf_dir):
+    return study.tracks(A.features(spark, sf_dir), 2.0)
+
+
+@register("f2_track_order", oracle(f"WITH {SUMMARY} SELECT track, row_number() OVER (PARTITION BY split_part(track, ':', 1) ORDER BY max_intensity DESC, track) AS place FROM ts", "features"))
+def track_order(spark, sf_dir):
+    t = study.track_summary(tracked(spark, sf_dir), ["track"], ["theta", "feature_id"])
+    return t.select("track", F.row_number().over(Window.partitionBy(F.split_part("track", F.lit(":"), F.lit(1))).orderBy(F.desc("max_intensity"), "track")).alias("place"))
+
+
+@register("d35_quantile_summary", oracle("SELECT scan, count(*) AS n, median(snr) AS median, round(quantile_cont(snr, 0.9), 6) AS p90, round(100 * count_if(snr >= 4 AND snr < 6) / count(*)::DOUBLE, 6) AS near_pct FROM peaks GROUP BY scan", "peaks"))
+def quantiles(spark, sf_dir):
+    return r6(compare.quantile_summary(A.peaks(spark, sf_dir), ["scan"], "snr", (4.0, 6.0)), "p90", "near_pct")
+
+
+@register("d36_histogram", oracle("SELECT scan, greatest(0, least(19, floor((intensity - 0) / 5000.0::DOUBLE)))::BIGINT AS bin, count(*) AS n FROM peaks WHERE intensity BETWEEN 0 AND 100000 GROUP BY ALL", "peaks"))
+def histogram(spark, sf_dir):
+    return compare.histogram(A.peaks(spark, sf_dir), "intensity", 0.0, 100000.0, 20, ("scan",))
+
+
+@register("d36_log_histogram", oracle("WITH l AS (SELECT log10(intensity) AS l FROM peaks WHERE intensity > 0), e AS (SELECT min(l) AS lo, max(l) AS hi, count(*) AS t FROM l) SELECT greatest(0, least(14, floor((l - lo) / ((hi - lo) / 15))))::BIGINT AS bin, count(*) AS n, round(count(*) / any_value(t)::DOUBLE, 6) AS share FROM l, e GROUP BY 1", "peaks"))
+def log_histogram(spark, sf_dir):
+    return r6(compare.log_histogram(A.peaks(spark, sf_dir), "intensity", 15), "share")
+
+
+@register("d37_weighted_angles", oracle("SELECT reflection, greatest(0, least(71, floor((chi_deg + 180) / 5.0::DOUBLE)))::BIGINT AS bin, round(sum(sum_integrated), 4) AS n FROM features WHERE chi_deg BETWEEN -180 AND 180 GROUP BY ALL", "features"))
+def angles(spark, sf_dir):
+    return compare.histogram(A.features(spark, sf_dir), "chi_deg", -180.0, 180.0, 72, ("reflection",), "sum_integrated").withColumn("n", F.round("n", 4))
+
+
+@register("d45_circular_density", oracle("""WITH c AS (SELECT reflection, ((floor(chi_deg)::BIGINT % 360) + 360) % 360 AS d, count(*) AS w FROM features GROUP BY ALL), k AS (SELECT k, exp(-0.5 * (k / 3.0::DOUBLE) * (k / 3.0::DOUBLE)) AS g FROM range(-12, 13) AS t(k)), n AS (SELECT sum(g) AS n FROM k)
+SELECT reflection, ((d + k) % 360 + 360) % 360 AS degree, round(sum(w * g / n), 6) AS density FROM c, k, n GROUP BY ALL""", "features"))
+def density(spark, sf_dir):
+    return r6(compare.circular_density(A.features(spark, sf_dir), "chi_deg", 3.0, ["reflection"]), "density")
+
+
+@register("d38_marginal_peaks", oracle("SELECT scan, count_if(snr >= 4 AND snr < 6) AS marginal, count(*) AS n FROM peaks GROUP BY scan", "peaks"))
+def marginal(spark, sf_dir):
+    return A.peaks(spark, sf_dir).groupBy("scan").agg(F.count_if((F.col("snr") >= 4) & (F.col("snr") < 6)).alias("marginal"), F.count("*").alias("n"))
+
+
+@register("d46_spearman", oracle("WITH r AS (SELECT reflection, rank() OVER (PARTITION BY reflection ORDER BY n_bins) + (count(*) OVER (PARTITION BY reflection, n_bins) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY reflection ORDER BY peak_intensity) + (count(*) OVER (PARTITION BY reflection, peak_intensity) - 1) / 2.0::DOUBLE AS b FROM features) SELECT reflection, round(corr(a, b), 6) AS rho FROM r GROUP BY reflection", "features"))
+def spearman(spark, sf_dir):
+    return r6(compare.spearman(A.features(spark, sf_dir), "n_bins", "peak_intensity", ["reflection"]), "rho")
+
+
+TRUTH = "t AS (SELECT doc_id % 50 AS bin, doc_id FROM labels WHERE quality = 1), f AS (SELECT doc_id % 50 AS bin, doc_id FROM documents WHERE n_chars % 3 = 0), cf AS (SELECT coalesce(t.bin, f.bin) AS bin, count_if(t.doc_id IS NOT NULL AND f.doc_id IS NOT NULL) AS tp, count_if(t.doc_id IS NULL) AS fp, count_if(f.doc_id IS NULL) AS fn FROM t FULL JOIN f ON t.doc_id = f.doc_id GROUP BY 1)"
+
+
+def confusion(spark, sf_dir) -> DataFrame:
+    t = A.table(spark, sf_dir, "labels").filter("quality = 1").select((F.col("doc_id") % 50).alias("bin"), "doc_id")
+    f = A.table(spark, sf_dir, "documents").filter("n_chars % 3 = 0").select((F.col("doc_id") % 50).alias("bin"), "doc_id")
+    return compare.confusion(t, f, ["bin"], "doc_id")
+
+
+@register("d51_confusion", oracle(f"WITH {TRUTH} SELECT bin, tp, fp, fn FROM cf"))
+def confusion_query(spark, sf_dir):
+    return confusion(spark, sf_dir)
+
+
+@register("d51_mean_f2", oracle(f"WITH {TRUTH} SELECT round(avg(CASE WHEN tp + fn = 0 THEN (fp = 0)::INT ELSE 5 * tp / (5 * tp + 4 * fn + fp)::DOUBLE END), 6) AS mean_score, count(*) AS bins, count_if(tp + fn = 0) AS empty_bins FROM cf"))
+def mean_f2(spark, sf_dir):
+    return r6(compare.score_bins(confusion(spark, sf_dir), 2.0), "mean_score")
+
+
+@register("g7_holdout_split", oracle("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('s1' || doc_id), doc_id) <= round_even(count(*) OVER (PARTITION BY lang) * 20 / 100.0::DOUBLE, 0) AS holdout FROM documents"))
+def holdout(spark, sf_dir):
+    return compare.split(A.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "s1", 20.0, ["lang"]).select("doc_id", "holdout")
+
+
+@register("d52_split_counts", oracle("SELECT lang, count(*) AS n, count_if(h) AS held FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY md5('s1' || doc_id), doc_id) <= round_even(count(*) OVER (PARTITION BY lang) * 20 / 100.0::DOUBLE, 0) AS h FROM documents) GROUP BY lang"))
+def split_counts(spark, sf_dir):
+    s = compare.split(A.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "s1", 20.0, ["lang"])
+    return s.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("holdout").alias("held"))
+
+
+@register("d43_trade_off", oracle("WITH a AS (SELECT scan, count(*)::DOUBLE AS n, avg(snr) AS snr, stddev_pop(intensity) AS sd FROM peaks GROUP BY scan), e AS (SELECT min(n) n0, max(n) n1, min(snr) s0, max(snr) s1, min(sd) d0, max(sd) d1 FROM a) SELECT scan, round((n - n0) / (n1 - n0) * (0.5 + 0.5 * ((snr - s0) / (s1 - s0) + (sd - d0) / (d1 - d0)) / 2), 6) AS score FROM a, e", "peaks"))
+def trade_off(spark, sf_dir):
+    a = A.peaks(spark, sf_dir).groupBy("scan").agg(F.count("*").cast("double").alias("n"), F.avg("snr").alias("snr"), F.stddev_pop("intensity").alias("sd"))
+    return r6(compare.trade_off(a, "n", ["snr", "sd"]), "score").select("scan", "score")
+
+
+BEAM = (3.5, -1.0, 20.0)
+
+
+def qmap(spark, sf_dir) -> DataFrame:
+    p = A.pixels(spark, sf_dir).withColumn("scan", F.col("label")).withColumn("theta", F.col("label") * 0.5)
+    return qspace.q_map(p, BEAM, 0.5, 0.8)
+
+
+QMAP = """qm AS (SELECT gi, y, x, v, label AS scan, k * (d / n - 1) * cos(t) - k * dy / n * sin(t) AS qx, k * (d / n - 1) * sin(t) + k * dy / n * cos(t) AS qy, k * dz / n AS qz FROM
+ (SELECT *, radians(label * 0.5::DOUBLE) AS t, 2 * pi() / 0.8 AS k, sqrt(d * d + dy * dy + dz * dz) AS n FROM (SELECT *, 20.0::DOUBLE AS d, (x + 1.0::DOUBLE) * 0.5 AS dy, (3.5::DOUBLE - y) * 0.5 AS dz FROM pixels)))"""
+
+
+@register("h7_q_vectors", oracle(f"WITH {QMAP} SELECT gi, y, x, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz, round(sqrt(qx * qx + qy * qy + qz * qz), 6) AS q_mag FROM qm", "pixels"))
+def q_vectors(spark, sf_dir):
+    return r6(qmap(spark, sf_dir), "qx", "qy", "qz", "q_mag").select("gi", "y", "x", "qx", "qy", "qz", "q_mag")
+
+
+HIST = f"""{QMAP}, e AS (SELECT min(qx) x0, max(qx) x1, min(qy) y0, max(qy) y1, min(qz) z0, max(qz) z1 FROM qm), md AS (SELECT scan, median(v) AS m FROM qm GROUP BY scan), hv AS (SELECT greatest(0, least(3, floor((qx - x0) / ((x1 - x0) / 4))))::BIGINT AS ix, greatest(0, least(4, floor((qy - y0) / ((y1 - y0) / 5))))::BIGINT AS iy, greatest(0, least(5, floor((qz - z0) / ((z1 - z0) / 6))))::BIGINT AS iz, sum(v - m) AS intensity, count(*) AS n FROM qm JOIN md USING (scan), e WHERE v - m > 0 GROUP BY 1, 2, 3)"""
+
+
+@register("d32_q_histogram", oracle(f"WITH {HIST} SELECT ix, iy, iz, round(intensity, 5) AS intensity, n FROM hv", "pixels"))
+def q_histogram(spark, sf_dir):
+    return qspace.q_histogram(qmap(spark, sf_dir), (4, 5, 6), "scan").withColumn("intensity", F.round("intensity", 5))
+
+
+@register("d33_projections", oracle(f"WITH {HIST} SELECT 'xy' AS plane, ix AS a, iy AS b, round(max(intensity), 5) AS top FROM hv GROUP BY ix, iy UNION ALL SELECT 'xz', ix, iz, round(max(intensity), 5) FROM hv GROUP BY ix, iz UNION ALL SELECT 'yz', iy, iz, round(max(intensity), 5) FROM hv GROUP BY iy, iz", "pixels"))
+def projections(spark, sf_dir):
+    return qspace.projections(qspace.q_histogram(qmap(spark, sf_dir), (4, 5, 6), "scan")).withColumn("top", F.round("top", 5))
+
+
+@register("d34_q_summary", oracle(f"WITH {HIST} SELECT count(*) AS voxels, round(count(*) / 120.0::DOUBLE, 6) AS fill, round(sum(intensity), 4) AS total, round(max(intensity), 5) AS peak FROM hv", "pixels"))
+def q_summary(spark, sf_dir):
+    h = qspace.q_histogram(qmap(spark, sf_dir), (4, 5, 6), "scan")
+    return h.agg(F.count("*").alias("voxels"), F.round(F.count("*") / 120, 6).alias("fill"), F.round(F.sum("intensity"), 4).alias("total"), F.round(F.max("intensity"), 5).alias("peak"))
+
+
+@register("j9_recover_geometry", oracle("SELECT round(-0.5, 3) AS beam_row, round(-0.5, 3) AS beam_col, round(20.0, 3) AS distance, count(*) AS n FROM tth_pixels", "tth_pixels"))
+def geometry(spark, sf_dir):
+    p = A.tth_pixels(spark, sf_dir)
+    row, col, dist = qspace.recover_geometry(p, (0.0, 0.0, 15.0), 0.5)
+    return p.agg(F.lit(round(row, 3)).alias("beam_row"), F.lit(round(col, 3)).alias("beam_col"), F.lit(round(dist, 3)).alias("distance"), F.count("*").alias("n"))
+
+
+@register("c15_annotate_features", oracle(f"WITH {QMAP}, q0 AS (SELECT y, x, round(qz, 6) AS qz FROM qm WHERE gi = 0) SELECT feature_id, y, x, qz FROM (SELECT feature_id, greatest(0, least(7, round_even(detector_x / 8, 0)))::BIGINT AS x, greatest(0, least(7, round_even(detector_y / 8, 0)))::BIGINT AS y FROM features) JOIN q0 USING (y, x)", "pixels", "features"))
+def annotate(spark, sf_dir):
+    f = A.features(spark, sf_dir).withColumn("detector_x", F.col("detector_x") / 8).withColumn("detector_y", F.col("detector_y") / 8)
+    q = qmap(spark, sf_dir).filter("gi = 0").select("y", "x", F.round("qz", 6).alias("qz"))
+    return qspace.at_pixels(f, q, 8, 8).select("feature_id", "y", "x", "qz")
+
+
+@register("h_scalars", oracle("""SELECT feature_id, round(12398.419843320026::DOUBLE / (10000 + sum_integrated), 9) AS wave, round(4 * pi() * sin(radians(detector_x) / 2) / 0.8, 6) AS q_mag, round(degrees(atan2(detector_y - 50, detector_x - 50)), 6) AS chi,
+ round(-radians((detector_x + 1 - (detector_x + 2)) / 2) / nullif(tan(radians((detector_x + 2) / 2)), 0), 9) AS strain, ((chi_deg + 540) % 360 + 360) % 360 - 180 AS wrapped, CASE WHEN chi_deg >= 150 OR chi_deg <= -150 THEN true ELSE false END AS in_arc,
+ round(greatest(0, least(50, sum_integrated)), 6) AS clipped, CASE WHEN sum_integrated < 0 OR sum_integrated > 50 THEN 0 ELSE round(sum_integrated, 6) END AS clamped, regexp_extract(scan, '(\\d+)', 1)::INT AS number, 'Scan_' || lpad(regexp_extract(scan, '(\\d+)', 1)::INT::VARCHAR, 4, '0') AS name FROM features""", "features"))
+def scalar_functions(spark, sf_dir):
+    """Wavelength, |Q|, azimuth, microstrain, wraps, arcs, clamps and scan names on every feature."""
+    f = A.features(spark, sf_dir)
+    x = F.col("detector_x")
+    return f.select(
+        "feature_id", F.round(S.wavelength(10000 + F.col("sum_integrated")), 9).alias("wave"), F.round(S.q_magnitude(x, F.lit(0.8)), 6).alias("q_mag"), F.round(S.chi(x, F.col("detector_y"), 50.0, 50.0), 6).alias("chi"),
+        F.round(S.microstrain(x + 1, x + 2), 9).alias("strain"), S.wrap180(F.col("chi_deg") + 360).alias("wrapped"), S.in_arc(F.col("chi_deg"), F.lit(150.0), F.lit(-150.0)).alias("in_arc"),
+        F.round(S.clip(F.col("sum_integrated"), 0.0, 50.0), 6).alias("clipped"), F.round(S.clamp_to_zero(F.col("sum_integrated"), 50.0), 6).alias("clamped"), S.scan_number(F.col("scan")).alias("number"), S.scan_name(S.scan_number(F.col("scan"))).alias("name"),
+    )
+
+
+@register("h13_profiles", oracle("""WITH p AS (SELECT gi, y, x, 1.5::DOUBLE AS g, 0.8::DOUBLE AS l FROM pixels), w AS (SELECT *, pow(g**5 + 2.69269 * g**4 * l + 2.42843 * g**3 * l**2 + 4.47163 * g**2 * l**3 + 0.07842 * g * l**4 + l**5, 0.2) AS f FROM p), e AS (SELECT *, 1.36603 * (l / f) - 0.47719 * (l / f)**2 + 0.11116 * (l / f)**3 AS eta FROM w)
+SELECT gi, y, x, round(1 + 3 * exp(-4 * ln(2) * ((x - 3.5) / 2)**2), 6) AS gauss, round(eta / (1 + 4 * ((x - 3.5) / f)**2) + (1 - eta) * exp(-4 * ln(2) * ((x - 3.5) / f)**2), 6) AS voigt FROM e""", "pixels"))
+def profiles(spark, sf_dir):
+    p = A.pixels(spark, sf_dir)
+    x = F.col("x").cast("double")
+    return p.select("gi", "y", "x", F.round(S.gaussian(x, F.lit(3.5), F.lit(2.0), F.lit(3.0), F.lit(1.0)), 6).alias("gauss"), F.round(S.pseudo_voigt(x, F.lit(3.5), F.lit(1.5), F.lit(0.8)), 6).alias("voigt"))
+
+
+@register("d13_trigger_averages", oracle("WITH m AS (SELECT trigger, avg(c0) AS a, avg(c1) AS b, avg(c2) AS c, count(*) AS n FROM samples GROUP BY trigger), o AS (SELECT *, row_number() OVER (ORDER BY trigger) AS k FROM m) SELECT trigger, round(-sqrt((a - a0) * (a - a0) + (c - c0) * (c - c0)), 6) AS x_um, round(b - b0, 4) AS y_um, n FROM o, (SELECT a AS a0, b AS b0, c AS c0 FROM o WHERE k = 2) WHERE k > 1", "samples"))
+def trigger_averages(spark, sf_dir):
+    """Positions from samples: means per trigger, the first dropped, origin at the first kept."""
+    m = A.samples(spark, sf_dir).groupBy("trigger").agg(F.avg("c0").alias("a"), F.avg("c1").alias("b"), F.avg("c2").alias("c"), F.count("*").alias("n"))
+    first = m.agg(F.min("trigger").alias("_t"))
+    kept = m.crossJoin(F.broadcast(first)).filter("trigger > _t")
+    origin = kept.agg(*[F.min_by(x, "trigger").alias(f"{x}0") for x in ("a", "b", "c")])
+    d = lambda x: F.col(x) - F.col(f"{x}0")
+    return kept.crossJoin(F.broadcast(origin)).select("trigger", F.round(-F.sqrt(d("a") ** 2 + d("c") ** 2), 6).alias("x_um"), F.round(d("b"), 4).alias("y_um"), "n")
+
+
+@register("b8_chi_range", oracle("SELECT feature_id FROM features WHERE chi_deg IS NULL OR CASE WHEN chi_deg < 120 THEN chi_deg + 360 ELSE chi_deg END BETWEEN 120 AND 240", "features"))
+def chi_range(spark, sf_dir):
+    c = F.col("chi_deg")
+    return A.features(spark, sf_dir).filter(c.isNull() | F.when(c < 120, c + 360).otherwise(c).between(120, 240)).select("feature_id")
+
+
+@register("b14_feature_weight", oracle("SELECT feature_id, n_bins AS area, peak_intensity AS intensity, round(peak_intensity * n_bins * (1 + abs(chi_deg) / 180), 6) AS spread FROM features", "features"))
+def weights(spark, sf_dir):
+    return A.features(spark, sf_dir).select("feature_id", F.col("n_bins").alias("area"), F.col("peak_intensity").alias("intensity"), F.round(F.col("peak_intensity") * F.col("n_bins") * (1 + F.abs("chi_deg") / 180), 6).alias("spread"))
+
+
+@register("b22_tiny_bright", oracle("SELECT scan, feature_id, row_number() OVER (PARTITION BY scan ORDER BY peak_intensity DESC, feature_id) AS place FROM features WHERE n_bins <= 2 QUALIFY place <= 20", "features"))
+def tiny_bright(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("scan").orderBy(F.desc("peak_intensity"), "feature_id"))
+    return A.features(spark, sf_dir).filter("n_bins <= 2").select("scan", "feature_id", place.alias("place")).filter("place <= 20")
+
+
+@register("b21_region_features", oracle("SELECT DISTINCT scan, reflection, brow // 5 AS prow, bcol // 4 AS pcol FROM device_map WHERE brow BETWEEN 10 AND 22 AND bcol BETWEEN 5 AND 9", "device_map"))
+def region(spark, sf_dir):
+    d = A.device_map(spark, sf_dir).filter(F.col("brow").between(10, 22) & F.col("bcol").between(5, 9))
+    return d.select("scan", "reflection", F.expr("brow div 5").alias("prow"), F.expr("bcol div 4").alias("pcol")).distinct()
+
+
+@register("d62_outline_masks", oracle("SELECT DISTINCT reflection, brow, bcol FROM device_map WHERE det_x * 3.6::DOUBLE - 180 BETWEEN -90 AND 90", "device_map"))
+def outlines(spark, sf_dir):
+    d = A.device_map(spark, sf_dir).filter((F.col("det_x") * 3.6 - 180).between(-90, 90))
+    return d.select("reflection", "brow", "bcol").distinct()
+
+
+@register("g2_common_features", oracle("SELECT reflection, prow, pcol FROM features WHERE scan = 'Scan_0001' INTERSECT SELECT reflection, prow, pcol FROM features WHERE scan = 'Scan_0002'", "features"))
+def common(spark, sf_dir):
+    f = A.features(spark, sf_dir)
+    of = lambda s: f.filter(F.col("scan") == s).select("reflection", "prow", "pcol")
+    return of("Scan_0001").intersect(of("Scan_0002"))
+
+
+@register("g3_novel_features", oracle("SELECT f.feature_id FROM features f WHERE scan = 'Scan_0002' AND NOT EXISTS (SELECT 1 FROM features o WHERE o.scan = 'Scan_0001' AND o.reflection = f.reflection AND o.prow = f.prow AND o.pcol = f.pcol)", "features"))
+def novel(spark, sf_dir):
+    from gridloom.operators.spatial import covered
+
+    f = A.features(spark, sf_dir)
+    return covered(f.filter("scan = 'Scan_0002'"), f.filter("scan = 'Scan_0001'"), ["reflection", "prow", "pcol"], anti=True).select("feature_id")
+
+
+@register("e24_sweep_trend", oracle("WITH s AS (SELECT scan, percentile_cont(0.995) WITHIN GROUP (ORDER BY intensity) AS p FROM peaks GROUP BY scan) SELECT scan, round(p / first_value(p) OVER (ORDER BY scan), 6) AS ratio FROM s", "peaks"))
+def sweep(spark, sf_dir):
+    s = A.peaks(spark, sf_dir).groupBy("scan").agg(F.percentile("intensity", 0.995).alias("p"))
+    base = F.broadcast(s.agg(F.min_by("p", "scan").alias("b")))
+    return s.crossJoin(base).select("scan", F.round(F.col("p") / F.col("b"), 6).alias("ratio"))
+
+
+@register("c5_theta_lookup", oracle("SELECT e.event_id, t.theta FROM events e JOIN (SELECT DISTINCT scan, theta FROM device_map) t ON t.scan = 'Scan_' || lpad(day(e.ts)::VARCHAR, 4, '0')", "device_map"))
+def theta_lookup(spark, sf_dir):
+    t = A.device_map(spark, sf_dir).select("scan", "theta").distinct()
+    e = A.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Scan_"), F.lpad(F.dayofmonth("ts").cast("string"), 4, "0")).alias("scan"))
+    return e.join(t, "scan").select("event_id", "theta")
+
+
+@register("d40_count_grid", oracle("SELECT brow, bcol, count(DISTINCT (scan, reflection)) AS n FROM device_map GROUP BY brow, bcol", "device_map"))
+def count_grid(spark, sf_dir):
+    return A.device_map(spark, sf_dir).groupBy("brow", "bcol").agg(F.countDistinct("scan", "reflection").alias("n"))
+
+
+@register("d61_label_counts", oracle("SELECT label, count(*) AS n, count(DISTINCT (scan, brow, bcol)) AS bins FROM peaks GROUP BY label", "peaks"))
+def label_counts(spark, sf_dir):
+    return A.peaks(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("scan", "brow", "bcol").alias("bins"))
+
+
+@register("i5_event_windows", oracle("SELECT reflection, brow % 5 AS g, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM (SELECT event_type AS reflection, user_id % 50 AS brow, ts FROM events) GROUP BY ALL"))
+def event_windows(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").withColumn("g", F.col("user_id") % 50 % 5)
+    w = e.groupBy(F.col("event_type").alias("reflection"), "g", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return w.select("reflection", "g", F.col("w.start").alias("start"), "n")
+
+
+@register("i5_session_gaps", oracle("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k"))
+def sessions(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    s = e.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("w.start").alias("start"), "n")
