@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.words import LANES, Words, mix, texts_of
 from gridloom.operators.graph import connected_components
-from gridloom.session import cut
+from gridloom.session import cut, release
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -229,20 +229,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     return marks.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-FAMILIES = ((3, 42), (2, 42), (2, 43))
+#: Fingerprints beside that of op6's shingles: two-word shingles under this many hash functions.
+PAIR_FAMILIES = 8
 SIMILARITY = 0.8
 VERIFY_WORDS = 5
 
 
 def _families(docs: DataFrame) -> DataFrame:
-    """doc_id and a fingerprint f0, f1, ... for each (shingle words, seed) of FAMILIES."""
-    names = [f"f{i}" for i in range(len(FAMILIES))]
+    """doc_id and the fingerprints f0 (XXH64 of three-word shingles), f1, ... (two-word shingles)."""
+    names = [f"f{i}" for i in range(1 + PAIR_FAMILIES)]
 
     def run(batches):
         for batch in batches:
-            words = [text_words(t.as_py()) for t in batch.column(1)]
-            columns = [pa.array([fingerprint(shingle_hashes(w, n, seed)) for w in words], pa.int64()) for n, seed in FAMILIES]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            texts = [t.lower() for t in texts_of(batch.column(1))]
+            words = Words(texts)
+            hashes = words.hashes()
+            out: list[list[int]] = [[] for _ in names]
+            for text, a, b in zip(texts, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                out[0].append(fingerprint(shingle_hashes(text.split())))
+                own = hashes[a:b]
+                pairs = own[:-1] * LANES[0, 1] + own[1:] if len(own) > 1 else own
+                for k in range(1, len(names)):
+                    out[k].append(fingerprint(mix(pairs * LANES[1, k])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", *names])
 
     return docs.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
@@ -281,21 +290,23 @@ def _similar(similarity: float):
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """src, dst: pairs of doc_ids whose five-word shingle sets are similar, found by SimHash.
 
-    Candidates come from the deletion-variant index of several fingerprints of a text
-    (FAMILIES), a few a fingerprint; each pair is verified on whole texts. doc_ids are
+    Candidates come from the deletion-variant index of several fingerprints of a text, a
+    few a fingerprint; each pair is verified on whole texts. doc_ids are
     expected to be unique and not null.
     """
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
     marks = cut(_families(texts))
     pairs = []
-    for i in range(len(FAMILIES)):
+    for i in range(1 + PAIR_FAMILIES):
         own = marks.select("doc_id", F.col(f"f{i}").alias("fp"))
         classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
         links = near_links(classes.select("fp"), within=_stars)
         one = classes.select(F.col("fp").alias("src"), F.col("least").alias("a"))
         two = classes.select(F.col("fp").alias("dst"), F.col("least").alias("b"))
-        pairs.append(links.join(one, "src").join(two, "dst").select("a", "b"))
-        pairs.append(own.join(classes.filter("n > 1"), "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
+        same = own.join(classes.filter("n > 1"), "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+        pairs.append(cut(links.join(one, "src").join(two, "dst").select("a", "b").unionByName(same)))
+        del links, one, two, classes, own, same
+        release(texts.sparkSession)
     both = pairs[0]
     for p in pairs[1:]:
         both = both.unionByName(p)
