@@ -31,7 +31,7 @@ from gridloom.session import cut
 
 CAPACITY = 4096
 EOS_ID = 1
-GENERATION_WORDS = 300_000
+GENERATION_WORDS = 600_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 ROWS_PER_SPAN = 200
 MAX_SPANS = 20_000
@@ -53,7 +53,7 @@ class WordEncoder(dict):
 
     END = "</w>"
     # The tokenizer's own split pattern, with its classes spelled out for lower-case Latin-1.
-    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+    WORDS = re.compile("[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
