@@ -58,11 +58,15 @@ def words_of(text: str | None) -> list[str]:
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and toxic (0/1) of the labelled texts outside the held-out fold, equal texts once.
 
-    Of several labels of a document or text the largest counts.
+    Of several labels of a document or text the largest counts. Equal texts are found by
+    their hashes, and of each only the row of the least doc_id (with its exact repeats)
+    is read. The joins are sort-merge joins at any size, as texts must not be collected
+    beside a table of labels that grows with them.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(~held_out(F.col("doc_id"))).join(known, "doc_id").select("text", F.col("toxic").cast("int"))
-    return rows.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    rows = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", F.xxhash64("text").alias("key"))
+    chosen = rows.select("doc_id", "key").join(known.hint("merge"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").cast("int").alias("toxic"))
+    return rows.join(chosen.hint("merge"), ["doc_id", "key"]).select("text", "toxic")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
