@@ -40,18 +40,27 @@ LAST_SHARE = 0.004
 SWEPT = "span int, role string, id bigint, size int, seq bigint, off int, room int, idx bigint"
 
 
+def byte_spelling() -> dict[int, str]:
+    """How a byte-level vocabulary spells each Latin-1 character.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on, in order.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    byte = {b: chr(b if b in plain else next(rest)) for b in range(256)}
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
+
+
 class WordEncoder(dict):
     """Token ids of texts, as little-endian bytes, with the ids of known words kept.
 
     The tokenizer lower-cases, splits into words by a fixed pattern and encodes each
-    word alone, closing it with a token that ends in END. So the ids of a text in
-    Latin-1 are those of its words in order, and unknown words of a text can be encoded
-    in one call and told apart by their closing tokens. Other texts, and those that
-    hold special tokens, are encoded whole. Two generations of words are kept; dropping
-    one changes speed only.
+    word alone. So the ids of a text in Latin-1 are those of its words in order, and the
+    tokenizer's model is asked for unknown words only. Other texts, and those that hold
+    special tokens, are encoded whole. Two generations of words are kept; dropping one
+    changes speed only.
     """
 
-    END = "</w>"
     # The tokenizer's own split pattern, with its classes spelled out for lower-case Latin-1.
     WORDS = re.compile("[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
@@ -61,33 +70,20 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.older: dict[str, bytes] = {}
-        self.unknown: list[str] = []
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        closing = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        closing[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(self.END)]] = True
-        self.closing = closing
+        self.raw = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.spelling = byte_spelling()
 
     def __missing__(self, word: str) -> bytes:
         if (ids := self.older.get(word)) is None:
-            self.unknown.append(word)
-            return b""
+            spelled = word if word.isascii() and word.isprintable() else word.translate(self.spelling)
+            ids = b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(spelled)])
         self[word] = ids
         return ids
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self) -> None:
-        words = list(dict.fromkeys(self.unknown))
-        self.unknown = []
-        ids = self._whole(" ".join(words))
-        ends = np.flatnonzero(self.closing[ids]) + 1
-        if len(ends) == len(words):
-            raw, ends = ids.tobytes(), (4 * ends).tolist()
-            self.update(zip(words, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        else:
-            self.update((w, self._whole(w).tobytes()) for w in words)
-
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
@@ -95,15 +91,10 @@ class WordEncoder(dict):
             return self._whole(text).tobytes()
         if any(s in text for s in self.special):
             return self._whole(text).tobytes()
-        words = self.WORDS.findall(text.lower())
-        ids = b"".join(map(self.__getitem__, words))
-        if self.unknown:
-            self._learn()
-            ids = b"".join(map(self.__getitem__, words))
-            if len(self) > GENERATION_WORDS:
-                self.older = dict(self)
-                self.clear()
-        return ids
+        if len(self) > GENERATION_WORDS:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, self.WORDS.findall(text.lower())))
 
 
 _encoders: dict[str, WordEncoder] = {}
