@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import cut, shared_dir
+from gridloom.session import cut, default_parallelism, shared_dir
 
 MAX_ARCHIVE_BYTES = 1 << 30
 READ_GAP_BYTES = 1 << 16
 READ_BYTES = 8 << 20
+TASK_BYTES = 128 << 20
 INDEX = "page_id bigint, url string, digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary, intact boolean"
 
@@ -148,8 +149,11 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True, gap:
             if out:
                 yield pd.DataFrame(out).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
+    # index rows are tiny, so tasks are sized by the bytes they name
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(default_parallelism(index.sparkSession), -(-int(total) // TASK_BYTES))
     order = [F.col("file"), F.col("offset")]
-    return index.select("file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, RECORDS)
+    return index.select("file", "offset", "length").repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInPandas(run, RECORDS)
 
 
 def archive_folder(spark) -> str:
