@@ -36,6 +36,8 @@ class Detector:
     separation: float = 15.0
     most: int = 25
     clip_rounds: int = 0
+    blob_sigmas: tuple[float, ...] = ()
+    blob_threshold: float = 5.0
 
 
 #: Named detectors by the parameters that tell them apart, as fixed values.
@@ -43,6 +45,7 @@ VARIANTS = {
     "band_adaptive": {},
     "dual_snr": {"smooth": 5, "hats": (11,), "tolerance": 0.35, "k_sigma": 7.0, "edge": 5},
     "multiscale": {"hats": (7, 11, 15), "tolerance": 0.35, "k_sigma": 5.8, "min_pixels": 4, "max_pixels": 200, "separation": 8.0, "clip_rounds": 2},
+    "blob_hybrid": {"hats": (15,), "tolerance": 0.35, "k_sigma": 3.5, "blob_sigmas": (2.0, 4.0, 7.0), "most": 40},
     "tight_bands": {"hats": (9, 15, 21), "tolerance": 0.30, "k_sigma": 4.8, "min_pixels": 2, "max_pixels": 200, "min_compactness": 0.08, "separation": 12.0, "most": 50, "clip_rounds": 3},
 }
 
@@ -62,6 +65,48 @@ def top_hat(image: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+def smoothed(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """A separable convolution along both axes, the border mirrored."""
+    half = len(kernel) // 2
+    for axis in (0, 1):
+        pad = [(half, half) if i == axis else (0, 0) for i in (0, 1)]
+        view = np.lib.stride_tricks.sliding_window_view(np.pad(image, pad, mode="symmetric"), len(kernel), axis=axis)
+        image = view @ kernel
+    return image
+
+
+def blob_response(image: np.ndarray, sigmas: tuple[float, ...] = (2.0, 4.0, 7.0)) -> np.ndarray:
+    """Largest scale-normalised negative Laplacian of Gaussian over sigmas, in units of its own robust noise."""
+    best = np.full(image.shape, -np.inf)
+    for s in sigmas:
+        t = np.arange(-int(4 * s + 0.5), int(4 * s + 0.5) + 1)
+        g = np.exp(-0.5 * (t / s) ** 2)
+        soft = np.pad(smoothed(image, g / g.sum()), 1, mode="symmetric")
+        response = -(s**2) * (soft[2:, 1:-1] + soft[:-2, 1:-1] + soft[1:-1, 2:] + soft[1:-1, :-2] - 4 * soft[1:-1, 1:-1])
+        level, sigma = threshold(response.ravel(), 3.0, 0)
+        best = np.maximum(best, (response - level) / max(sigma, 1e-12))
+    return best
+
+
+def profile_peaks(profile: np.ndarray, share: float = 0.03, apart: int = 3, most: int = 20) -> list[int]:
+    """Places of local maxima whose prominence is a share of the range, the highest first and not closer than apart."""
+    v = np.asarray(profile, dtype=float)
+    span = float(np.ptp(v)) if len(v) else 0.0
+    found = []
+    for k in np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] >= v[2:])) + 1:
+        sides = []
+        for side in (v[:k][::-1], v[k + 1 :]):
+            higher = np.flatnonzero(side > v[k])
+            sides.append(side[: higher[0] if len(higher) else len(side)].min(initial=v[k]))
+        if span and v[k] - max(sides) >= share * span:
+            found.append(int(k))
+    kept: list[int] = []
+    for k in sorted(found, key=lambda k: (-v[k], k)):
+        if all(abs(k - q) >= apart for q in kept):
+            kept.append(k)
+    return kept[:most]
+
+
 def radial_background(image: np.ndarray, ring: np.ndarray, smooth: int) -> np.ndarray:
     """Median of each ring, smoothed over rings, laid back on the image."""
     order = np.argsort(ring, axis=None, kind="stable")
@@ -104,6 +149,7 @@ def label_components(mask: np.ndarray) -> np.ndarray:
 def find_peaks(image: np.ndarray, tth: np.ndarray, ring: np.ndarray, bands: list[tuple[str, float]], d: Detector) -> list[tuple]:
     """(label, x, y, snr, npix, compactness, peak_val, integrated) of one image, strongest first."""
     hat = top_hat(image - radial_background(image, ring, d.smooth), d.hats)
+    blobs = blob_response(image, d.blob_sigmas) if d.blob_sigmas else None
     inside = np.zeros(image.shape, bool)
     inside[d.edge : d.height - d.edge, d.edge : d.width - d.edge] = True
     found = []
@@ -114,7 +160,10 @@ def find_peaks(image: np.ndarray, tth: np.ndarray, ring: np.ndarray, bands: list
         level, sigma = threshold(hat[band], d.k_sigma, d.clip_rounds)
         if sigma <= 0:
             continue
-        parts = label_components(band & inside & (hat > level + d.k_sigma * sigma))
+        hot = hat > level + d.k_sigma * sigma
+        if blobs is not None:  # a weaker top-hat counts where the blob filter agrees
+            hot |= (hat > level + 0.6 * d.k_sigma * sigma) & (blobs > d.blob_threshold)
+        parts = label_components(band & inside & hot)
         for k in range(1, int(parts.max()) + 1):
             y, x = np.nonzero(parts == k)
             if not d.min_pixels <= len(y) <= d.max_pixels:

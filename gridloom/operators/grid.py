@@ -111,3 +111,28 @@ def frame_index(files: DataFrame, file: str = "file_idx", count: str = "n") -> D
     start = F.sum(count).over(Window.partitionBy(F.lit(0)).orderBy(file).rowsBetween(Window.unboundedPreceding, -1))
     offsets = files.withColumn("_start", F.coalesce(start, F.lit(0)))
     return offsets.filter(F.col(count) > 0).select(file, "_start", F.explode(F.expr(f"sequence(0, cast({count} - 1 as int))")).alias("within_idx")).select(file, "within_idx", (F.col("_start") + F.col("within_idx")).alias("gi"))
+
+
+def grid_from_positions(frames: DataFrame, n_rows: int, n_cols: int, order: str = "gi") -> DataFrame:
+    """Cells from measured positions: lattice indices of y and x, flipped where they fall with the frame number.
+
+    The signs come from correlations, one aggregate over the scan; a constant correlates 0.
+    """
+    signs = frames.agg(F.coalesce(F.nanvl(F.corr(order, "y_um"), F.lit(0.0)), F.lit(0.0)).alias("_sy"), F.coalesce(F.nanvl(F.corr("within_idx", "x_um"), F.lit(0.0)), F.lit(0.0)).alias("_sx"))
+    rows = snap_to_lattice(frames, "y_um", n_rows).withColumnRenamed("index", "row")
+    cells = snap_to_lattice(rows, "x_um", n_cols).withColumnRenamed("index", "col").crossJoin(F.broadcast(signs))
+    flipped = lambda c, n, s: F.when(F.col(s) < 0, n - 1 - F.col(c)).otherwise(F.col(c))
+    return cells.withColumn("row", flipped("row", n_rows, "_sy")).withColumn("col", flipped("col", n_cols, "_sx")).drop("_sy", "_sx")
+
+
+def row_offsets(cells: DataFrame, rank: str = "rank", place: str = "col") -> DataFrame:
+    """Per row, the offset of its lattice places from their ranks: the rounded (half to even) median difference."""
+    return cells.groupBy("row").agg(F.rint(F.median(F.col(place) - F.col(rank))).cast("bigint").alias("offset"))
+
+
+def choose_source(spark_counts: dict[str, int]) -> str:
+    """Which coordinates to use: positions, else the file layout, else turns, else a raster of frame numbers."""
+    for name in ("positions", "layout", "serpentine", "synthetic"):
+        if spark_counts.get(name, 0) > 0:
+            return name
+    raise ValueError("no frames to lay out")

@@ -233,3 +233,20 @@ def window_max(spark, sf_dir):
 @register("b25_local_maximum", oracle(f"WITH {POINTS} SELECT gi, py, px, arg_max(y, row(v, -y, -x)) AS y, arg_max(x, row(v, -y, -x)) AS x, round(max(v), 6) AS v FROM pts JOIN pixels USING (gi) WHERE abs(y - py) <= 3 AND abs(x - px) <= 3 GROUP BY gi, py, px", "pixels"))
 def local_maximum(spark, sf_dir):
     return image.local_maximum(_points(spark, sf_dir), A.pixels(spark, sf_dir), 3).withColumn("v", F.round("v", 6))
+
+
+@register("e13_grid_from_positions", oracle("""
+WITH q AS (SELECT quantile_cont(x_um, 0.002) AS x0, quantile_cont(x_um, 0.998) AS x1, quantile_cont(y_um, 0.002) AS y0, quantile_cont(y_um, 0.998) AS y1, corr(gi, y_um) AS sy, corr(within_idx, x_um) AS sx FROM frames),
+c AS (SELECT gi, greatest(0, least(199, round_even((y_um - y0) / (y1 - y0) * 199, 0)))::BIGINT AS row, greatest(0, least(50, round_even((x_um - x0) / (x1 - x0) * 50, 0)))::BIGINT AS col, sx, sy FROM frames, q)
+SELECT gi, CASE WHEN sy < 0 THEN 199 - row ELSE row END AS row, CASE WHEN round(sx, 9) < 0 THEN 50 - col ELSE col END AS col FROM c""", "frames"))
+def grid_from_positions(spark, sf_dir):
+    return grid.grid_from_positions(A.frames(spark, sf_dir), 200, 51).select("gi", "row", "col")
+
+
+@register("e15_row_offsets", oracle("WITH f AS (SELECT file_idx AS row, x_um, row_number() OVER (PARTITION BY file_idx ORDER BY x_um) - 1 AS rank FROM frames) SELECT row, round_even(median(floor(x_um + 0.6)::BIGINT - rank), 0)::BIGINT AS \"offset\" FROM f GROUP BY row", "frames"))
+def row_offsets(spark, sf_dir):
+    from pyspark.sql import Window
+
+    f = A.frames(spark, sf_dir).withColumn("row", F.col("file_idx")).withColumn("col", F.floor(F.col("x_um") + 0.6))
+    ranked = f.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("x_um")) - 1)
+    return grid.row_offsets(ranked)

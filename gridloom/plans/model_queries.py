@@ -39,6 +39,11 @@ def multiscale(spark, sf_dir):
     return detect.detect(_images(spark, sf_dir), TTH, BANDS, _detector(hats=(3, 5), clip_rounds=2))
 
 
+@register("l6_blob_hybrid_peaks")
+def blob_hybrid(spark, sf_dir):
+    return detect.detect(_images(spark, sf_dir), TTH, BANDS, _detector(blob_sigmas=(1.0,)))
+
+
 @register("j1_top_hat_kernel", "SELECT vec_id AS gi, 64 AS n FROM embeddings")
 def kernel_size(spark, sf_dir):
     """The dense and the window form of the top-hat agree on every pixel of every image."""

@@ -162,3 +162,11 @@ def test_no_cross_joins_in_distance_plans(spark, data):
 
     plan = candidate_pairs(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_profile_peaks_and_blobs():
+    v = np.array([0, 1, 0, 5, 4.9, 5.2, 0, 0.1, 0, 9, 0], dtype=float)
+    assert detect.profile_peaks(v, share=0.1) == [9, 5, 1]
+    image = np.zeros((40, 40))
+    image[20, 20] = 10
+    assert np.unravel_index(detect.blob_response(image + np.random.default_rng(1).random((40, 40)) * 0.1).argmax(), image.shape) == (20, 20)
