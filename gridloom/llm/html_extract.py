@@ -263,8 +263,9 @@ def labelled_pages(pages: list[str]) -> list[tuple[list[list[int]], list[int]]]:
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Chain:
     """A chain fitted on at most `most` pages, those of the smallest hashes of their html."""
-    key = F.xxhash64("html", F.lit(SEED))
-    sample = pages.filter("html is not null and octet_length(html) < 65536").select("html", key.alias("key")).dropDuplicates(["key"]).orderBy("key").limit(most)
+    keyed = pages.filter("html is not null and octet_length(html) < 65536").select("html", F.xxhash64("html", F.lit(SEED)).alias("key"))
+    last = keyed.select("key").distinct().orderBy("key").limit(most).agg(F.max("key")).first()[0]
+    sample = keyed.filter(F.col("key") <= last).dropDuplicates(["key"]).orderBy("key") if last is not None else keyed.limit(0)
     return Chain().fit(labelled_pages([r.html for r in sample.collect()]))
 
 
