@@ -14,10 +14,14 @@ of which must be equal, which splits them over many tasks without losing a link.
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.words import LANES, Words, mix, texts_of
@@ -69,8 +73,8 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _variants(fps: DataFrame) -> DataFrame:
-    """key, fp: the 64 one-bit-deleted segments of each fingerprint.
+def _variants(fps: DataFrame, *keep: str) -> DataFrame:
+    """key, fp and the columns in keep: the 64 one-bit-deleted segments of each fingerprint.
 
     A key holds the deleted bit's place (0-63, which also names the segment) above the
     segment's other bits.
@@ -78,14 +82,18 @@ def _variants(fps: DataFrame) -> DataFrame:
     place = F.col("place")
     segment = F.when(place < 32, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
     rest = segment.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, place % 32)")))
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place")).select(F.shiftleft(place.cast("bigint"), 32).bitwiseOR(rest).alias("key"), "fp")
+    return fps.select(*keep, "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place")).select(*keep, F.shiftleft(place.cast("bigint"), 32).bitwiseOR(rest).alias("key"), "fp")
+
+
+def _other() -> Column:
+    """The segment of fp that key does not name."""
+    return F.when(F.shiftright("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
 
 
 def _rekeyed(hot: DataFrame) -> DataFrame:
     """Deal hot buckets by one byte of the other segment; three differing bits leave one of four bytes equal."""
-    other = F.when(F.shiftright("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
     byte = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("byte")
-    dealt = hot.select("key", "fp", other.alias("other"), byte).withColumn("value", F.expr("shiftrightunsigned(other, byte * 8) & 255"))
+    dealt = hot.select("key", "fp", _other().alias("other"), byte).withColumn("value", F.expr("shiftrightunsigned(other, byte * 8) & 255"))
     return dealt.select(F.xxhash64("key", "byte", "value").alias("key"), "fp")
 
 
@@ -110,7 +118,8 @@ def _stars(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links of one bucket that are worth verifying one by one: to the nearest other and to a hub.
 
     Hubs are taken by their number of neighbours, so the original of a family of copies
-    meets them all. At most two links a fingerprint, each within max_bits.
+    meets them all. At most two links a fingerprint, each within max_bits. A fingerprint
+    that has more neighbours than links is linked to itself: its other pairs are open.
     """
     fps = np.unique(fps)
     n = len(fps)
@@ -132,7 +141,9 @@ def _stars(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
             links.update((int(fps[hub]), x) for x in fps[near].tolist())
             free &= ~near
             free[hub] = False
-    return sorted({(min(a, b), max(a, b)) for a, b in links})
+    links = {(min(a, b), max(a, b)) for a, b in links}
+    linked = np.bincount(np.searchsorted(fps, [x for pair in links for x in pair]).astype(np.int64), minlength=n)
+    return sorted(links) + [(x, x) for x in fps[linked < degree].tolist()]
 
 
 def _bucket_links(max_bits: int, hot_bucket: int | None, within=_forest):
@@ -236,7 +247,7 @@ VERIFY_WORDS = 5
 
 
 def _families(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprints f0 (XXH64 of three-word shingles), f1, ... (two-word shingles)."""
+    """doc_id, a digest of the words, and the fingerprints f0 (XXH64 of three-word shingles), f1, ... (two-word shingles)."""
     names = [f"f{i}" for i in range(1 + PAIR_FAMILIES)]
 
     def run(batches):
@@ -245,15 +256,17 @@ def _families(docs: DataFrame) -> DataFrame:
             words = Words(texts)
             hashes = words.hashes()
             out: list[list[int]] = [[] for _ in names]
+            digests = []
             for text, a, b in zip(texts, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
                 out[0].append(fingerprint(shingle_hashes(text.split())))
                 own = hashes[a:b]
+                digests.append(blake2b(b" ".join(text.split()), digest_size=16).digest())
                 pairs = own[:-1] * LANES[0, 1] + own[1:] if len(own) > 1 else own
                 for k in range(1, len(names)):
                     out[k].append(fingerprint(mix(pairs * LANES[1, k])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", "digest", *names])
 
-    return docs.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return docs.mapInArrow(run, "doc_id bigint, digest binary, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -287,35 +300,141 @@ def _similar(similarity: float):
     return run
 
 
+def _apart(low: int, high: int, similarity: float):
+    """Pairs of different components in the buckets of a partition that is sorted by BUCKET, fp and node.
+
+    A pair is taken in one bucket of those it shares, and where its places in the bucket
+    are low to high - 1 apart; a row without dst says that pairs further apart are left.
+    Pairs whose sizes alone rule the similarity out are not candidates.
+    """
+    full = np.uint64(0xFFFFFFFF)
+
+    def pairs(key: int, byte: int, fps: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, parts: np.ndarray):
+        segment, bit = divmod(key >> 32, 32)
+        names, counts = np.unique(parts, return_counts=True)
+        major = names[counts.argmax()]
+        rest, place = np.flatnonzero(parts != major), np.arange(len(fps))
+        step = max(1, (1 << 20) // len(fps))
+        for k in range(0, len(rest), step):
+            i = rest[k : k + step, None]
+            x = fps[i] ^ fps[None, :]
+            own, other = (x >> np.uint64(32 * segment)) & full, (x >> np.uint64(32 * (1 - segment))) & full
+            take = (np.bitwise_count(x) <= MAX_BITS) & (parts[i] != parts[None, :]) & ((parts == major)[None, :] | (place[None, :] > i))
+            take &= (own == np.uint64(1 << bit)) | ((own == 0) & (bit == 0))
+            if segment:
+                take &= np.bitwise_count(other) > 1
+            for earlier in range(byte):
+                take &= ((other >> np.uint64(8 * earlier)) & np.uint64(255)) != 0
+            take &= np.minimum(sizes[i], sizes[None, :]) >= similarity * np.maximum(sizes[i], sizes[None, :]) - 1e-6
+            a, b = np.nonzero(take)
+            a = i[a, 0]
+            far = np.abs(a - b)
+            now = (far >= low) & (far < high)
+            if (far >= high).any():
+                yield nodes[:1], None
+            yield nodes[a[now]], nodes[b[now]]
+
+    def run(frames):
+        held = None
+        for pdf in itertools.chain(frames, [None]):
+            last = pdf is None
+            if not last:
+                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            where = held[BUCKET].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1])
+            ends = np.concatenate([starts[1:], [len(held)]])
+            if not last:
+                starts, ends = starts[:-1], ends[:-1]
+            if len(starts):
+                done = held.iloc[: ends[-1]]
+                parts = done.component.to_numpy()
+                mixed = np.minimum.reduceat(parts, starts) != np.maximum.reduceat(parts, starts)
+                fps, nodes, sizes = done.fp.to_numpy().view(np.uint64), done.node.to_numpy(), done["size"].to_numpy()
+                for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                    for src, dst in pairs(int(where[s, 1]), int(where[s, 2]), fps[s:e], nodes[s:e], sizes[s:e], parts[s:e]):
+                        if len(src):
+                            yield pd.DataFrame({"src": src, "dst": pd.array([None] * len(src) if dst is None else dst, "Int64")})
+                held = held.iloc[ends[-1] :]
+
+    return run
+
+
+#: A bucket of the rounds: family, key, and for hot keys a byte of the other segment and its value.
+BUCKET = ["family", "key", "byte", "value"]
+#: Places apart that the first round of open pairs covers; each later round covers as many times more.
+REACH = 8
+
+
+def _buckets(members: DataFrame) -> DataFrame:
+    """BUCKET, fp, node, size: members (family, fp, node, size) in all buckets that hold more than one."""
+    dealt = _variants(members, "family", "node", "size")
+    counts = dealt.groupBy("family", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    byte = F.explode(F.when(F.col("n") > HOT_BUCKET, F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(-1)))).alias("byte")
+    dealt = dealt.join(counts, ["family", "key"]).select("family", "key", "fp", "node", "size", _other().alias("other"), byte)
+    value = F.when(F.col("byte") < 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(other, greatest(byte, 0) * 8) & 255"))
+    return dealt.select("family", "key", F.col("byte").cast("bigint").alias("byte"), value.cast("bigint").alias("value"), "fp", "node", "size")
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """src, dst: pairs of doc_ids whose five-word shingle sets are similar, found by SimHash.
+    """src, dst: links of doc_ids whose five-word shingle sets are similar, found by SimHash.
 
-    Candidates come from the deletion-variant index of several fingerprints of a text, a
-    few a fingerprint; each pair is verified on whole texts. doc_ids are
-    expected to be unique and not null.
+    Candidates are all pairs within MAX_BITS in one of several fingerprints of a text. The
+    links join the same components as all candidates that are similar: texts of equal words
+    are linked outright, a few links a fingerprint are verified on whole texts first, then
+    open pairs are dealt and verified in rounds until none is left that could join two
+    components. doc_ids are expected to be unique and not null.
     """
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
     marks = cut(_families(texts))
-    pairs = []
-    for i in range(1 + PAIR_FAMILIES):
-        own = marks.select("doc_id", F.col(f"f{i}").alias("fp"))
+    names = [f"f{i}" for i in range(1 + PAIR_FAMILIES)]
+    first = marks.groupBy("digest").agg(F.min(F.struct("doc_id", *names)).alias("first"))
+    equal = marks.select("digest", "doc_id").join(first.select("digest", F.col("first.doc_id").alias("src")), "digest").filter("doc_id <> src").select("src", F.col("doc_id").alias("dst"))
+    reps = cut(first.select("first.*"))
+    pairs, members = [], []
+    for i, name in enumerate(names):
+        own = reps.select("doc_id", F.col(name).alias("fp"))
         classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
         links = near_links(classes.select("fp"), within=_stars)
-        one = classes.select(F.col("fp").alias("src"), F.col("least").alias("a"))
-        two = classes.select(F.col("fp").alias("dst"), F.col("least").alias("b"))
-        same = own.join(classes.filter("n > 1"), "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-        pairs.append(cut(links.join(one, "src").join(two, "dst").select("a", "b").unionByName(same)))
-        del links, one, two, classes, own, same
+        one = classes.select(F.col("fp").alias("src"), F.col("least").alias("a"), F.col("n").alias("n1"))
+        two = classes.select(F.col("fp").alias("dst"), F.col("least").alias("b"), F.col("n").alias("n2"))
+        across = links.join(one, "src").join(two, "dst").select("a", "b", "src", "dst", F.expr("src = dst or n1 > 1 or n2 > 1").alias("open"))
+        same = own.join(classes.filter("n > 1"), "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"), F.col("fp").alias("src"), F.col("fp").alias("dst"), (F.col("n") > 2).alias("open"))
+        found = cut(across.unionByName(same))
+        pairs.append(found.filter("a <> b").select("a", "b"))
+        open_fps = found.filter("open").select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+        members.append(own.join(open_fps, "fp", "left_semi").select(F.lit(i).cast("bigint").alias("family"), "fp", F.col("doc_id").alias("node")))
+        del links, one, two, classes, own, same, across, found, open_fps
         release(texts.sparkSession)
-    both = pairs[0]
-    for p in pairs[1:]:
-        both = both.unionByName(p)
+    both = reduce(DataFrame.unionByName, pairs)
     both = cut(both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
-    ids = both.select(F.col("src").alias("doc_id")).unionByName(both.select(F.col("dst").alias("doc_id"))).distinct()
+    members = cut(reduce(DataFrame.unionByName, members))
+    ids = both.select(F.col("src").alias("doc_id")).unionByName(both.select(F.col("dst").alias("doc_id"))).unionByName(members.select(F.col("node").alias("doc_id"))).distinct()
     sets = cut(_shingle_sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text")))
     left = sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("right"))
-    return both.join(left, "src").join(right, "dst").select("src", "dst", "left", "right").mapInPandas(_similar(similarity), "src bigint, dst bigint")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        both = candidates.join(left, "src").join(right, "dst").select("src", "dst", "left", "right")
+        return cut(both.mapInPandas(_similar(similarity), "src bigint, dst bigint"))
+
+    links = verified(both)
+    if members.limit(1).count():
+        sizes = sets.select(F.col("doc_id").alias("node"), (F.octet_length("shingles") / 4).cast("bigint").alias("size"))
+        dealt = cut(_buckets(members.join(sizes, "node")))
+        low, high = 1, REACH
+        while True:
+            parts = connected_components(links)
+            rows = dealt.join(parts, "node", "left").select(*BUCKET, "fp", "node", "size", F.coalesce("component", "node").alias("component"))
+            rows = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "fp", "node")
+            left_apart = cut(rows.mapInPandas(_apart(low, high, similarity), "src bigint, dst bigint"))
+            fresh = left_apart.filter("dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+            links = links.unionByName(verified(fresh))
+            if not left_apart.filter("dst is null").limit(1).count():
+                break
+            low, high = high, high * REACH
+    return links.unionByName(equal)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -285,3 +285,36 @@ def test_corpus_query_equals_sql(spark, duck, data, name):
     from conftest import same_as_oracle
 
     same_as_oracle(spark, duck, data, queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_near_copies_joins_all_similar_candidates(spark, monkeypatch):
+    """All texts have one fingerprint of each family, so every pair is a candidate."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    template = [word() for _ in range(60)]
+    rows, groups = [], []
+    for g in range(6):
+        own = template[:30] + [word() for _ in range(70)]
+        groups.append([])
+        for k in range(4):
+            text = list(own)
+            text[40 + 5 * k] = word()
+            groups[-1].append(g + 6 * k)
+            rows.append((g + 6 * k, " ".join(text)))
+    rows += [(900, rows[3][1].upper()), (901, None), (902, "")]
+    families = simhash._families
+
+    def few_bits(docs):
+        return families(docs).select("doc_id", *["digest"] * ("digest" in families(docs).columns), *[F.expr(f"f{i} & {mask}").alias(f"f{i}") for i in range(1 + simhash.PAIR_FAMILIES)])
+
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_families", few_bits)
+    monkeypatch.setattr(simhash, "PAIR_FAMILIES", 1)
+    owner = next(i for i, g in enumerate(groups) if rows[3][0] in g)
+    want = sorted([sorted(g + [900] * (i == owner)) for i, g in enumerate(groups)] + [[901, 902]])
+    for mask, hot in ((0, 4096), (7, 4096), (7, 4)):
+        monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
+        found: dict = {}
+        for r in simhash.connected_components(simhash.near_copies(table)).collect():
+            found.setdefault(r.component, []).append(r.node)
+        assert sorted(map(sorted, found.values())) == want
