@@ -1,14 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts are loose words: runs of ASCII letters, digits and other Unicode, lower-cased. A
-fixed mask picks 7 of 12 neighbouring words; the others are ignored, so substituted
-words don't hide a passage. Training windows and benchmark windows meet by the hash of
-the picked words, a hit names a diagonal (where the item would start in the document),
-and each diagonal is verified word by word: the best-scoring aligned region decides.
+Texts are loose words: runs of ASCII letters, digits and other Unicode, lower-cased.
+Masks pick 3 of at most 5 neighbouring words in every way; the others are ignored, so
+substituted words don't hide a passage. Training windows and benchmark windows meet by
+the hash of the picked words, and a hit names a diagonal (where the item would start in
+the document). Were no 5 neighbours to hold 3 equal words, under MIN_SHARE of the words
+would be equal, so no leak is without hits; diagonals with fewer hits than a leak must
+have are dropped, the others are verified word by word over the whole overlap.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +23,9 @@ from gridloom.llm.words import LOOSE, Words, chunked, texts_of
 from gridloom.session import cut
 
 SPAN = 12
-MASKS = ((0, 1, 2, 4, 7, 10, 11), (0, 1, 3, 5, 6, 9, 11), (0, 2, 3, 5, 8, 9, 11))
+#: All picks of 3 of 5 neighbouring words, by the first one picked.
+BLOCK = 5
+MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 MIN_SHARE = 0.6
 LONG_RUN = 20
 MISMATCH = -2
@@ -36,7 +42,7 @@ def _lane(k: int) -> int:
 def _seed_grams(words: Words, hashes: np.ndarray, short: tuple[int, ...]):
     """(starts, seeds) of every mask, and of whole windows of the lengths in short."""
     for k, mask in enumerate(MASKS):
-        at, h = words.grams(hashes, SPAN, _lane(k), list(mask))
+        at, h = words.grams(hashes, mask[-1] + 1, _lane(k), list(mask))
         yield SPAN, at, h ^ np.uint64(k + 1)
     for n in short:
         at, h = words.grams(hashes, n)
@@ -74,18 +80,33 @@ def _region(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def least_hits(n: int) -> int:
+    """Hits that the diagonal of a leak of an item of n words has at least.
+
+    Blocks of 5 words with 3, 4 and 5 equal ones have 1, 4 and 10 hits, so a run of L
+    words with m equal has m - 2 * (L // 5) - min(L % 5, 2) or more. That is 8 or more
+    for a region with LONG_RUN matches, as it has at most half as many other words.
+    """
+    if n < SPAN:
+        return 1
+    share = math.ceil(MIN_SHARE * n - 1e-9) - 2 * (n // BLOCK) - min(n % BLOCK, 2)
+    return max(1, min(share, LONG_RUN - 2 * (3 * LONG_RUN // 2 // BLOCK)))
+
+
 def leaked(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
     """start, end in the document's words and matches, if the diagonal holds a leak of the item.
 
-    A leak matches MIN_SHARE of the item's words within one region, or LONG_RUN words.
+    A leak matches MIN_SHARE of the item's words in the whole overlap, or LONG_RUN words in one region.
     """
     a, b = max(0, shift), min(len(doc), shift + len(item))
     if b <= a:
         return None
-    start, end, matches = _region(doc[a:b] == item[a - shift : b - shift])
-    if matches >= MIN_SHARE * len(item) or matches >= LONG_RUN:
-        return a + start, a + end, matches
-    return None
+    equal = doc[a:b] == item[a - shift : b - shift]
+    at = np.flatnonzero(equal)
+    if len(at) and len(at) >= MIN_SHARE * len(item):
+        return a + int(at[0]), a + int(at[-1]) + 1, len(at)
+    start, end, matches = _region(equal)
+    return (a + start, a + end, matches) if matches >= LONG_RUN else None
 
 
 LEAK = ("item", "start", "end", "matches", "item_words")
@@ -107,10 +128,11 @@ def _lookup(docs: DataFrame, seeds: pd.DataFrame) -> DataFrame:
     table = seeds.seed.to_numpy().view(np.uint64)[order]
     filled = np.zeros(1 << 20, dtype=bool)
     filled[(table >> np.uint64(44)).astype(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast((table, known[order], seeds.pos.to_numpy()[order], names, words_of, filled))
+    least = np.array([least_hits(len(w)) for w in words_of], dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((table, known[order], seeds.pos.to_numpy()[order], names, words_of, filled, least))
 
     def run(batches):
-        table, items, places, names, words_of, filled = shared.value
+        table, items, places, names, words_of, filled, least = shared.value
         for batch in batches:
             texts = texts_of(batch.column(1))
             out: list[list[dict]] = [[] for _ in texts]
@@ -129,7 +151,10 @@ def _lookup(docs: DataFrame, seeds: pd.DataFrame) -> DataFrame:
                         hits.append(np.stack([np.repeat(words.text_of_word()[at], n), items[entry], place - places[entry]], axis=1))
                 if not hits:
                     continue
-                rows = np.unique(np.concatenate(hits), axis=0)
+                rows, n = np.unique(np.concatenate(hits), axis=0, return_counts=True)
+                rows = rows[n >= least[rows[:, 1]]]
+                if not len(rows):
+                    continue
                 cuts = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
                 for part in np.split(rows, cuts):
                     t, i = int(part[0, 0]), int(part[0, 1])
@@ -156,9 +181,13 @@ def _joined(docs: DataFrame, seeds: DataFrame, short: tuple[int, ...]) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(uids[a:b][text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array(h.view(np.int64))], ["uid", "at", "seed"])
 
     grams = docs.select("uid", "text").mapInArrow(windows, "uid bigint, at int, seed bigint")
-    hits = grams.join(seeds.select("seed", "item", "pos"), "seed").select("uid", "item", (F.col("at") - F.col("pos")).alias("shift")).distinct()
-    diagonals = hits.groupBy("uid", "item").agg(F.collect_set("shift").alias("shifts"))
+    hits = grams.join(seeds.select("seed", "item", "pos"), "seed").select("uid", "item", (F.col("at") - F.col("pos")).alias("shift")).groupBy("uid", "item", "shift").agg(F.count("*").alias("hits"))
     item_words = seeds.groupBy("item").agg(F.first("words").alias("words"))
+    sizes = item_words.select("item", (F.octet_length("words") / 8).cast("int").alias("n"))
+    share = F.ceil(MIN_SHARE * F.col("n") - 1e-9) - 2 * F.floor(F.col("n") / BLOCK) - F.least(F.col("n") % BLOCK, F.lit(2))
+    least = F.when(F.col("n") < SPAN, 1).otherwise(F.greatest(F.lit(1), F.least(share, F.lit(least_hits(10**6)))))
+    hits = hits.join(sizes, "item").filter(F.col("hits") >= least)
+    diagonals = hits.groupBy("uid", "item").agg(F.collect_set("shift").alias("shifts"))
 
     def verify(frames):
         for pdf in frames:

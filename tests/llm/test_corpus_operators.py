@@ -318,3 +318,24 @@ def test_near_copies_joins_all_similar_candidates(spark, monkeypatch):
         for r in simhash.connected_components(simhash.near_copies(table)).collect():
             found.setdefault(r.component, []).append(r.node)
         assert sorted(map(sorted, found.values())) == want
+
+
+@pytest.mark.parametrize("seeds", [decontam.BROADCAST_SEEDS, 0])
+def test_substituted_passages_leak(spark, seeds):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate((12, 15, 16, 22, 31, 44, 59) * 4)]
+    docs, want = [], set()
+    for k, item in items:
+        words = item.split()
+        n = len(words)
+        plans = [[q % m == s for q in range(n)] for m in (3, 4) for s in range(m)]
+        plans += [[q in chosen for q in range(n)] for r in (0.2, 0.3, 0.4, 0.5) for chosen in [set(rng.sample(range(n), int(r * n)))]]
+        for plan in plans:
+            docs.append((len(docs), text(8) + " " + " ".join(text(1) if gone else w for w, gone in zip(words, plan, strict=True)) + " " + text(8)))
+            if n - sum(plan) >= 0.6 * n:
+                want.add((docs[-1][0], k))
+    out = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), seeds).collect()
+    got = {(r.doc_id, k) for r in out for k in r.item_ids}
+    long = {r.doc_id for r in out if any(x.matches >= decontam.LONG_RUN for x in r.leaks)}
+    assert want <= got and {d for d, _ in got - want} <= long
