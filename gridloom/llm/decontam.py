@@ -29,10 +29,12 @@ MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 MIN_SHARE = 0.6
 LONG_RUN = 20
 MISMATCH = -2
-#: Benchmarks up to this many seeds are looked up in a broadcast table (16 MB), larger ones are joined.
+#: Benchmarks up to this many seeds, and bytes of seeds and words, are looked up in a broadcast table; larger ones are joined.
 BROADCAST_SEEDS = 1_000_000
+BROADCAST_BYTES = 32 << 20
+SEED_BYTES = 8 + 8 + 4
 CHUNK_BYTES = 2 << 20
-SEEDS = "item bigint, pos int, seed bigint, words binary"
+SEEDS = "key bigint, pos int, seed bigint"
 
 
 def _lane(k: int) -> int:
@@ -49,26 +51,39 @@ def _seed_grams(words: Words, hashes: np.ndarray, short: tuple[int, ...]):
         yield n, at, h ^ np.uint64(n << 32)
 
 
+def benchmark_items(items: DataFrame) -> DataFrame:
+    """key, item and the item's word hashes: a row for each different text of an item_id.
+
+    Items with a null id or without words have none.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            texts = [(text or "").encode() for text in pdf.text]
+            raw = [Words([text], LOOSE).hashes(lower=True).tobytes() for text in texts]
+            yield pd.DataFrame({"item": pdf.item, "words": raw})
+
+    found = items.select(F.col("item_id").cast("bigint").alias("item"), "text").filter("item is not null").mapInPandas(run, "item bigint, words binary")
+    return cut(found.filter("octet_length(words) > 0").distinct().withColumn("key", F.monotonically_increasing_id()))
+
+
 def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """item, pos, seed and the item's word hashes, for every masked window of every item.
+    """key, pos and seed, for every masked window of every row of benchmark_items.
 
-    Items under SPAN words have one seed, the whole item; items without words have none.
+    Items under SPAN words have one seed, the whole item.
     """
 
     def run(frames):
         for pdf in frames:
-            out = []
-            for item, text in zip(pdf.item, pdf.text, strict=True):
-                words = Words([(text or "").encode()], LOOSE)
-                hashes = words.hashes(lower=True)
-                raw = hashes.tobytes()
-                short = () if len(words) >= SPAN else (len(words),) * (len(words) > 0)
+            for key, raw in zip(pdf.key, pdf.words, strict=True):
+                hashes = np.frombuffer(raw, dtype=np.uint64)
+                words = Words([b""], LOOSE)
+                words.first = np.array([0, len(hashes)])
+                short = () if len(hashes) >= SPAN else (len(hashes),)
                 for _, at, seeds in _seed_grams(words, hashes, short):
-                    out += [(item, int(p), int(s), raw) for p, s in zip(at, seeds.view(np.int64), strict=True)]
-            if out:
-                yield pd.DataFrame(out, columns=["item", "pos", "seed", "words"])
+                    yield pd.DataFrame({"key": key, "pos": at.astype(np.int32), "seed": seeds.view(np.int64)})
 
-    return items.select(F.col("item_id").cast("bigint").alias("item"), "text").filter("item is not null").mapInPandas(run, SEEDS)
+    return items.select("key", "words").mapInPandas(run, SEEDS)
 
 
 def _region(equal: np.ndarray) -> tuple[int, int, int]:
@@ -118,12 +133,22 @@ def _verified(doc: np.ndarray, item: int, words: np.ndarray, shifts) -> list[dic
     return [dict(zip(LEAK, (item, *best, len(words)), strict=True))] if best else []
 
 
-def _lookup(docs: DataFrame, seeds: pd.DataFrame) -> DataFrame:
+def _best(leaks: list[dict]) -> list[dict]:
+    """The leak with the largest share of each item_id, whichever of its texts leaks."""
+    best: dict[int, dict] = {}
+    for x in leaks:
+        had = best.get(x["item"])
+        if had is None or x["matches"] * had["item_words"] > had["matches"] * x["item_words"]:
+            best[x["item"]] = x
+    return list(best.values())
+
+
+def _lookup(docs: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
     """doc_id, leaks of every row, looking document windows up in a broadcast table of all seeds."""
+    seeds, items = seeds.select("seed", "key", "pos").toPandas(), items.select("key", "item", "words").toPandas().sort_values("key")
     order = np.argsort(seeds.seed.to_numpy().view(np.uint64), kind="stable")
-    names, known = np.unique(seeds.item.to_numpy(), return_inverse=True)
-    item_words = dict(zip(seeds.item.tolist(), seeds.words, strict=True))
-    words_of = [np.frombuffer(item_words[int(i)], dtype=np.uint64) for i in names]
+    names, known = items["item"].to_numpy(), np.searchsorted(items.key.to_numpy(), seeds.key.to_numpy())
+    words_of = [np.frombuffer(raw, dtype=np.uint64) for raw in items.words]
     short = tuple(sorted({len(w) for w in words_of if len(w) < SPAN}))
     table = seeds.seed.to_numpy().view(np.uint64)[order]
     filled = np.zeros(1 << 20, dtype=bool)
@@ -160,13 +185,14 @@ def _lookup(docs: DataFrame, seeds: pd.DataFrame) -> DataFrame:
                     t, i = int(part[0, 0]), int(part[0, 1])
                     first, last = words.first[t], words.first[t + 1]
                     out[a + t] += _verified(hashes[first:last], int(names[i]), words_of[i], part[:, 2] - first)
+            out = [_best(x) for x in out]
             kind = pa.list_(pa.struct([("item", pa.int64()), *((x, pa.int32()) for x in LEAK[1:])]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "leaks"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, leaks {LEAKS}")
 
 
-def _joined(docs: DataFrame, seeds: DataFrame, short: tuple[int, ...]) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, seeds: DataFrame, short: tuple[int, ...]) -> DataFrame:
     """The same by an equi-join of all document windows with all seeds, then of hits with the texts."""
     docs = cut(docs.withColumn("uid", F.monotonically_increasing_id()))
 
@@ -181,13 +207,12 @@ def _joined(docs: DataFrame, seeds: DataFrame, short: tuple[int, ...]) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(uids[a:b][text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array(h.view(np.int64))], ["uid", "at", "seed"])
 
     grams = docs.select("uid", "text").mapInArrow(windows, "uid bigint, at int, seed bigint")
-    hits = grams.join(seeds.select("seed", "item", "pos"), "seed").select("uid", "item", (F.col("at") - F.col("pos")).alias("shift")).groupBy("uid", "item", "shift").agg(F.count("*").alias("hits"))
-    item_words = seeds.groupBy("item").agg(F.first("words").alias("words"))
-    sizes = item_words.select("item", (F.octet_length("words") / 8).cast("int").alias("n"))
+    hits = grams.join(seeds.select("seed", "key", "pos"), "seed").select("uid", "key", (F.col("at") - F.col("pos")).alias("shift")).groupBy("uid", "key", "shift").agg(F.count("*").alias("hits"))
+    sizes = items.select("key", (F.octet_length("words") / 8).cast("int").alias("n"))
     share = F.ceil(MIN_SHARE * F.col("n") - 1e-9) - 2 * F.floor(F.col("n") / BLOCK) - F.least(F.col("n") % BLOCK, F.lit(2))
     least = F.when(F.col("n") < SPAN, 1).otherwise(F.greatest(F.lit(1), F.least(share, F.lit(least_hits(10**6)))))
-    hits = hits.join(sizes, "item").filter(F.col("hits") >= least)
-    diagonals = hits.groupBy("uid", "item").agg(F.collect_set("shift").alias("shifts"))
+    hits = hits.join(sizes, "key").filter(F.col("hits") >= least)
+    diagonals = hits.groupBy("uid", "key").agg(F.collect_set("shift").alias("shifts"))
 
     def verify(frames):
         for pdf in frames:
@@ -197,20 +222,24 @@ def _joined(docs: DataFrame, seeds: DataFrame, short: tuple[int, ...]) -> DataFr
                 out += [x | {"uid": uid} for x in _verified(doc, item, np.frombuffer(raw, dtype=np.uint64), shifts)]
             yield pd.DataFrame(out, columns=["uid", *LEAK])
 
-    both = diagonals.join(item_words, "item").join(docs.select("uid", "text"), "uid").select("uid", "text", "item", "words", "shifts")
+    both = diagonals.join(items, "key").join(docs.select("uid", "text"), "uid").select("uid", "text", "item", "words", "shifts")
     found = both.mapInPandas(verify, "uid bigint, item bigint, start int, end int, matches int, item_words int")
-    leaks = found.groupBy("uid").agg(F.collect_list(F.struct(*LEAK)).alias("leaks"))
+    best = F.max_by(F.struct(*LEAK), F.col("matches") / F.col("item_words")).alias("leak")
+    leaks = found.groupBy("uid", "item").agg(best).groupBy("uid").agg(F.collect_list("leak").alias("leaks"))
     return docs.select("uid", "doc_id").join(leaks, "uid", "left").select("doc_id", F.coalesce("leaks", F.expr(f"cast(array() as {LEAKS})")).alias("leaks"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id and the best leak of each item, for every row of docs; places count loose words."""
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    seeds = cut(benchmark_seeds(items).dropDuplicates(["item", "pos", "seed"]))
-    if seeds.count() <= broadcast_seeds:
-        return _lookup(rows, seeds.toPandas())
-    lengths = seeds.select((F.octet_length("words") / 8).cast("int").alias("n")).filter(F.col("n") < SPAN).distinct().collect()
-    return _joined(rows, seeds, tuple(sorted(r.n for r in lengths)))
+    known = benchmark_items(items)
+    seeds = cut(benchmark_seeds(known))
+    n = seeds.count()
+    held = n * SEED_BYTES + (known.agg(F.sum(F.octet_length("words").cast("bigint"))).first()[0] or 0)
+    if n <= broadcast_seeds and held <= broadcast_bytes:
+        return _lookup(rows, known, seeds)
+    lengths = known.select((F.octet_length("words") / 8).cast("int").alias("n")).filter(F.col("n") < SPAN).distinct().collect()
+    return _joined(rows, known, seeds, tuple(sorted(r.n for r in lengths)))
 
 
 def contamination(docs: DataFrame, items: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:

@@ -339,3 +339,19 @@ def test_substituted_passages_leak(spark, seeds):
     got = {(r.doc_id, k) for r in out for k in r.item_ids}
     long = {r.doc_id for r in out if any(x.matches >= decontam.LONG_RUN for x in r.leaks)}
     assert want <= got and {d for d, _ in got - want} <= long
+
+
+def test_benchmark_seeds_are_slim_and_texts_of_one_id_stay_apart(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    one, two, long = text(20), text(30), text(3000)
+    items = spark.createDataFrame([(7, one), (7, two), (7, one), (8, long), (9, ""), (None, one)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text(5) + " " + one), (2, two + " " + text(5)), (3, " ".join(long.split()[500:540])), (4, text(60))], "doc_id long, text string")
+    known = decontam.benchmark_items(items)
+    assert known.count() == 3 and decontam.benchmark_seeds(known).columns == ["key", "pos", "seed"]
+    looked_up = []
+    lookup = decontam._lookup
+    monkeypatch.setattr(decontam, "_lookup", lambda *a: looked_up.append(1) or lookup(*a))
+    for most, times in ((decontam.BROADCAST_BYTES, 1), (1 << 14, 1)):
+        found = {r.doc_id: sorted(x.item for x in r.leaks) for r in decontam.find_leaks(docs, items, broadcast_bytes=most).collect()}
+        assert found == {1: [7], 2: [7], 3: [8], 4: []} and len(looked_up) == times
