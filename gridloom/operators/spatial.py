@@ -94,11 +94,38 @@ def nearest_label(points: DataFrame, labels: DataFrame, most: float | None = Non
     return both.withColumn("nearest", F.when(known, best["reflection"]).otherwise("unknown")).drop("_labels")
 
 
-def nearest_neighbours(points: DataFrame, k: int, cell: float, keys: tuple[str, ...] = (), ident: str = "id") -> DataFrame:
-    """id, r_id, d, rank: up to k nearest others among those within cell; ties by id."""
-    pairs = distance_join(points.select(*keys, ident, "x", "y"), points.select(*keys, ident, "x", "y"), cell, keys).filter(F.col(ident) != F.col(f"r_{ident}"))
+def nearest_neighbours(points: DataFrame, k: int, cell: float, keys: tuple[str, ...] = (), ident: str = "id", within: float | None = None) -> DataFrame:
+    """id, r_id, d, rank: the k nearest others in the same keys, ties by id; fewer only where the keys hold fewer.
+
+    The ring starts at cell and doubles for the points that have too few others in it, until
+    none is short. With within, others further away don't count. Points without finite
+    coordinates have no neighbours.
+    """
+    finite = F.expr("abs(x) < double('infinity') and abs(y) < double('infinity')")
+    slim = points.select(*keys, ident, "x", "y").filter(finite)
     rank = F.row_number().over(Window.partitionBy(*keys, ident).orderBy("d", f"r_{ident}"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, ident, f"r_{ident}", "d", "rank")
+    best = lambda pairs: pairs.filter(F.col(ident) != F.col(f"r_{ident}")).withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, ident, f"r_{ident}", "d", "rank")
+    if within is not None:
+        return best(distance_join(slim, slim, within, keys))
+    slim = cut(slim)
+    groups = slim.groupBy(*keys).agg(F.count("*").alias("_n"), F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_extent"))
+    widest = groups.agg(F.max("_extent")).first()[0] or 0.0
+    wanted = groups.select(*keys, F.least(F.col("_n") - 1, F.lit(k)).alias("_wanted"))
+    seekers = slim.join(wanted, list(keys)) if keys else slim.crossJoin(F.broadcast(wanted))
+    found, ring = None, cell
+    while True:
+        # the seekers, few after the first ring, are the side that is dealt to nine cells
+        pairs = distance_join(slim, seekers, ring, keys)
+        pairs = pairs.select(*keys, F.col(f"r_{ident}").alias(ident), F.col(ident).alias(f"r_{ident}"), "d")
+        near = cut(best(pairs))
+        have = near.groupBy(*keys, ident).agg(F.count("*").alias("_have"))
+        short = cut(seekers.join(have, [*keys, ident], "left").filter("coalesce(_have, 0) < _wanted").drop("_have"))
+        last = ring > widest or not short.limit(1).count()
+        full = near if last else near.join(short.select(*keys, ident), [*keys, ident], "left_anti")
+        found = full if found is None else found.unionByName(full)
+        if last:
+            return found.select(*keys, ident, f"r_{ident}", "d", "rank")
+        seekers, ring = short, 2 * ring
 
 
 def suppress(peaks: DataFrame, distance: float, keys: tuple[str, ...], rank: str = "rank") -> DataFrame:

@@ -170,3 +170,14 @@ def test_profile_peaks_and_blobs():
     image = np.zeros((40, 40))
     image[20, 20] = 10
     assert np.unravel_index(detect.blob_response(image + np.random.default_rng(1).random((40, 40)) * 0.1).argmax(), image.shape) == (20, 20)
+
+
+def test_nearest_neighbours_reach_sparse_points(spark):
+    rng = random.Random(5)
+    rows = [(1, i, rng.uniform(0, 20), rng.uniform(0, 20)) for i in range(30)] + [(1, 30, 400.0, 0.0), (1, 31, 0.0, -90.0), (2, 0, 0.0, 0.0), (2, 1, 7000.0, 5.0), (3, 0, 1.0, 1.0), (1, 40, None, 0.0), (1, 41, float("nan"), 0.0)]
+    got = spatial.nearest_neighbours(spark.createDataFrame(rows, "scan long, id long, x double, y double"), 3, 2.5, ("scan",)).collect()
+    want = set()
+    for s, i, x, y in rows[:-2]:
+        others = sorted((((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for t, j, u, v in rows[:-2] if t == s and j != i)
+        want |= {(s, i, j, n + 1) for n, (_, j) in enumerate(others[:3])}
+    assert {(r.scan, r.id, r.r_id, r["rank"]) for r in got} == want and len(got) == len(want)
