@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.words import LANES, Words, mix, texts_of
+from gridloom.llm.words import CHUNK_BYTES, LANES, Words, chunked, mix, texts_of
 from gridloom.operators.graph import connected_components
 from gridloom.session import cut, release
 
@@ -32,6 +32,9 @@ SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
 HOT_BUCKET = 4096
+#: Byte lanes hold this many set bits; hashes that are counted at once.
+LANE_ROWS = 255
+COUNTED_ROWS = 1 << 16
 
 
 def shingle_hashes(words: list[bytes], n: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -45,21 +48,39 @@ def shingle_hashes(words: list[bytes], n: int = SHINGLE_WORDS, seed: int = SEED)
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = min(n, len(words))
     spans = zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)
-    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in spans], dtype=np.uint64)
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in spans), dtype=np.uint64, count=len(words) - n + 1)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """Signed 64-bit SimHash: a bit is set where over half of the hashes set it; none: 0."""
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(over, bitorder="little").view(np.int64)[0])
+def fingerprints_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Signed 64-bit SimHashes of the runs hashes[bounds[i]:bounds[i + 1]]; an empty run gives 0.
 
+    A bit is set where over half of the run's hashes set it. Bits are counted in byte lanes
+    of up to LANE_ROWS hashes, COUNTED_ROWS at a time, so long runs take no more memory.
+    """
+    sizes = np.diff(bounds)
+    out = np.zeros(len(sizes), dtype=np.int64)
+    busy = np.flatnonzero(sizes)
+    if not len(busy):
+        return out
+    parts = -(-sizes[busy] // LANE_ROWS)
+    heads = np.cumsum(parts) - parts
+    cuts = np.repeat(bounds[:-1][busy], parts) + LANE_ROWS * (np.arange(parts.sum()) - np.repeat(heads, parts))
+    ends = np.append(cuts[1:], bounds[-1])
+    lanes = np.empty((len(cuts), 64), dtype=np.uint8)
+    at = 0
+    while at < len(cuts):
+        to = max(at + 1, int(np.searchsorted(ends, cuts[at] + COUNTED_ROWS, side="right")))
+        bits = np.unpackbits(hashes[cuts[at] : ends[to - 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+        lanes[at:to] = np.add.reduceat(bits, cuts[at:to] - cuts[at], axis=0).view(np.uint8)
+        at = to
+    over = np.add.reduceat(lanes, heads, axis=0, dtype=np.int64) * 2 > sizes[busy, None]
+    out[busy] = np.packbits(over, axis=1, bitorder="little").view(np.int64)[:, 0]
+    return out
 
-def text_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return (text or "").encode().lower().split()
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of one text's shingle hashes."""
+    return int(fingerprints_of(hashes, np.array([0, len(hashes)]))[0])
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -67,8 +88,12 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(text_words(t.as_py()), shingle_words)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            texts = texts_of(batch.column(1))
+            for a, b in chunked(texts, CHUNK_BYTES):
+                hashes = [shingle_hashes(t.lower().split(), shingle_words) for t in texts[a:b]]
+                bounds = np.cumsum([0, *map(len, hashes)])
+                fps = pa.array(fingerprints_of(np.concatenate(hashes), bounds), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), fps], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
@@ -240,31 +265,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     return marks.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints beside that of op6's shingles: two-word shingles under this many hash functions.
-PAIR_FAMILIES = 8
+#: Fingerprints of a text in the near-copy stage, each over its different words under a hash function of its own.
+FAMILIES = 8
 SIMILARITY = 0.8
 VERIFY_WORDS = 5
 
 
+def _lowered(batches):
+    """Batches (doc_id, text) as (doc_ids, texts, Words) of about CHUNK_BYTES each, A-Z lower-cased."""
+    for batch in batches:
+        texts = texts_of(batch.column(1))
+        for a, b in chunked(texts, CHUNK_BYTES):
+            part = [t.lower() for t in texts[a:b]]
+            yield batch.column(0).slice(a, b - a), part, Words(part)
+
+
 def _families(docs: DataFrame) -> DataFrame:
-    """doc_id, a digest of the words, and the fingerprints f0 (XXH64 of three-word shingles), f1, ... (two-word shingles)."""
-    names = [f"f{i}" for i in range(1 + PAIR_FAMILIES)]
+    """doc_id, a digest of the words, and FAMILIES fingerprints f0, f1, ... of its different words."""
+    names = [f"f{i}" for i in range(FAMILIES)]
 
     def run(batches):
-        for batch in batches:
-            texts = [t.lower() for t in texts_of(batch.column(1))]
-            words = Words(texts)
-            hashes = words.hashes()
-            out: list[list[int]] = [[] for _ in names]
-            digests = []
-            for text, a, b in zip(texts, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                out[0].append(fingerprint(shingle_hashes(text.split())))
-                own = hashes[a:b]
-                digests.append(blake2b(b" ".join(text.split()), digest_size=16).digest())
-                pairs = own[:-1] * LANES[0, 1] + own[1:] if len(own) > 1 else own
-                for k in range(1, len(names)):
-                    out[k].append(fingerprint(mix(pairs * LANES[1, k])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", "digest", *names])
+        for ids, texts, words in _lowered(batches):
+            owner, hashes = words.text_of_word(), words.hashes()
+            order = np.lexsort((hashes, owner))
+            owner, hashes = owner[order], hashes[order]
+            new = np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))[: len(owner)]
+            hashes, bounds = hashes[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+            fps = [pa.array(fingerprints_of(mix(hashes * LANES[1, k]), bounds), pa.int64()) for k in range(len(names))]
+            digests = [blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), *fps], ["doc_id", "digest", *names])
 
     return docs.mapInArrow(run, "doc_id bigint, digest binary, " + ", ".join(f"{n} bigint" for n in names))
 
@@ -273,16 +302,14 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     """doc_id and the sorted different 32-bit hashes of its VERIFY_WORDS-word shingles."""
 
     def run(batches):
-        for batch in batches:
-            texts = [t.lower() for t in texts_of(batch.column(1))]
-            words = Words(texts)
+        for ids, texts, words in _lowered(batches):
             hashes = words.hashes()
             out = []
             for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
                 n = min(VERIFY_WORDS, b - a)
                 own = sum((hashes[a + k : b - n + 1 + k] * LANES[0, k] for k in range(n)), np.zeros(max(0, b - a - n + 1), dtype=np.uint64))
                 out.append(np.unique((mix(own) >> np.uint64(32)).astype("<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], ["doc_id", "shingles"])
 
     return docs.mapInArrow(run, "doc_id bigint, shingles binary")
 
@@ -384,11 +411,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links join the same components as all candidates that are similar: texts of equal words
     are linked outright, a few links a fingerprint are verified on whole texts first, then
     open pairs are dealt and verified in rounds until none is left that could join two
-    components. doc_ids are expected to be unique and not null.
+    components. Rows without a doc_id are left out. A doc_id with several texts is one
+    document, which links where any of its texts does.
     """
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
     marks = cut(_families(texts))
-    names = [f"f{i}" for i in range(1 + PAIR_FAMILIES)]
+    names = [f"f{i}" for i in range(FAMILIES)]
     first = marks.groupBy("digest").agg(F.min(F.struct("doc_id", *names)).alias("first"))
     equal = marks.select("digest", "doc_id").join(first.select("digest", F.col("first.doc_id").alias("src")), "digest").filter("doc_id <> src").select("src", F.col("doc_id").alias("dst"))
     reps = cut(first.select("first.*"))
@@ -440,7 +468,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document, that of the least doc_id, of each group of near copies.
 
-    Rows with a null doc_id stay.
+    Rows with a null doc_id stay; the rows of a repeated doc_id stay or go together.
+    Null and empty texts are near copies of each other. Other columns come back unchanged.
     """
     groups = connected_components(near_copies(docs, similarity))
     gone = groups.filter("node <> component").select(F.col("node").alias("doc_id"))

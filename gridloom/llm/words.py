@@ -15,6 +15,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 LANES = _rng.integers(1, 2**63, (2, 64), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+#: A second byte table, for hashes that check the first.
+CHECK = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Separators for loose words: all ASCII but letters and digits.
@@ -23,17 +25,19 @@ LOOSE[128:] = False
 LOOSE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+#: Bytes hashed at once, and the longest table of powers that is kept.
+BLOCK = 1 << 18
+#: Bytes of texts that operators hand to Words at once.
+CHUNK_BYTES = 1 << 20
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(1 << 20, 1 << int(np.ceil(np.log2(n))))
-        have = np.full(size, _BASE if kind == "up" else _INVERSE, dtype=np.uint64)
-        have[0] = 1
-        _powers[kind] = have = np.cumprod(have, dtype=np.uint64)
-    return have
+def _power_table(base: np.uint64, n: int) -> np.ndarray:
+    table = np.full(n, base, dtype=np.uint64)
+    table[:1] = 1
+    return np.cumprod(table, dtype=np.uint64)
+
+
+_UP, _DOWN = _power_table(_BASE, BLOCK), _power_table(_INVERSE, BLOCK)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,6 +49,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each span of data; spans are in order and do not overlap.
+
+    Works through blocks of BLOCK bytes, each from the start of a span, so that memory is
+    bounded by a block or by the longest span, whichever is more.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
+        n = int(ends[to - 1] - low)
+        up, down = (_UP, _DOWN) if n <= BLOCK else (_power_table(_BASE, n), _power_table(_INVERSE, n))
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(table[data[low : low + n]] * up[:n], dtype=np.uint64, out=total[1:])
+        first, last = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix((total[last] - total[first]) * down[first])
+        at = to
+    return out
+
+
 class Words:
     """Words of a list of texts.
 
@@ -72,11 +97,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word, with A-Z lower-cased if lower."""
-        n = len(self.data)
-        table = _BYTE[_LOWER] if lower else _BYTE
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(table[self.data] * _power("up", max(n, 1))[:n], dtype=np.uint64, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * _power("down", max(n, 1))[self.starts])
+        return span_hashes(self.data, self.starts, self.ends, _BYTE[_LOWER] if lower else _BYTE)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

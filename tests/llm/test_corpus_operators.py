@@ -305,11 +305,11 @@ def test_near_copies_joins_all_similar_candidates(spark, monkeypatch):
     families = simhash._families
 
     def few_bits(docs):
-        return families(docs).select("doc_id", *["digest"] * ("digest" in families(docs).columns), *[F.expr(f"f{i} & {mask}").alias(f"f{i}") for i in range(1 + simhash.PAIR_FAMILIES)])
+        return families(docs).select("doc_id", "digest", *[F.expr(f"f{i} & {mask}").alias(f"f{i}") for i in range(simhash.FAMILIES)])
 
     table = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(simhash, "_families", few_bits)
-    monkeypatch.setattr(simhash, "PAIR_FAMILIES", 1)
+    monkeypatch.setattr(simhash, "FAMILIES", 2)
     owner = next(i for i, g in enumerate(groups) if rows[3][0] in g)
     want = sorted([sorted(g + [900] * (i == owner)) for i, g in enumerate(groups)] + [[901, 902]])
     for mask, hot in ((0, 4096), (7, 4096), (7, 4)):
