@@ -18,7 +18,9 @@ The driver sees a histogram of sizes and a few numbers per range, never items or
 from __future__ import annotations
 
 import bisect
-import re
+import itertools
+import json
+import unicodedata
 import zlib
 
 import numpy as np
@@ -27,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.words import CHECK, CHUNK_BYTES, chunked, span_hashes
 from gridloom.session import cut
 
 CAPACITY = 4096
 EOS_ID = 1
-GENERATION_WORDS = 600_000
+#: Words whose ids a task keeps; about 20 MB.
+KNOWN_WORDS = 500_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 ROWS_PER_SPAN = 200
 MAX_SPANS = 20_000
+#: Rows of a few bytes that one task of a round holds.
+ROWS_PER_TASK = 500_000
 ROUND_SHARE = 0.94
 LAST_SHARE = 0.004
 SWEPT = "span int, role string, id bigint, size int, seq bigint, off int, room int, idx bigint"
@@ -51,50 +57,144 @@ def byte_spelling() -> dict[int, str]:
     return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
 
 
-class WordEncoder(dict):
-    """Token ids of texts, as little-endian bytes, with the ids of known words kept.
-
-    The tokenizer lower-cases, splits into words by a fixed pattern and encodes each
-    word alone. So the ids of a text in Latin-1 are those of its words in order, and the
-    tokenizer's model is asked for unknown words only. Other texts, and those that hold
-    special tokens, are encoded whole. Two generations of words are kept; dropping one
-    changes speed only.
+# The rules of the tokenizers whose texts can be encoded word by word.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
+
+SPACE, LETTER, DIGIT, OTHER = range(4)
+
+
+def _kind(c: int) -> int:
+    if chr(c) in "\t\n\v\f\r \x85\xa0":
+        return SPACE
+    return {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], OTHER)
+
+
+_KIND = np.array([_kind(c) for c in range(256)], dtype=np.uint8)
+_LOWER = np.array([ord(chr(c).lower()) for c in range(256)], dtype=np.uint8)
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """starts and ends of the words that SPLIT finds in lower-case Latin-1 bytes that end in a space."""
+    kind = _KIND[data]
+    before = np.append(SPACE, kind[:-1])
+    start = (kind == DIGIT) | ((kind != SPACE) & (kind != before))
+    quotes = np.flatnonzero((data == ord("'")) & start)
+    if len(quotes):  # a quote that starts a word takes the ending of a contraction with it
+        quotes = quotes[quotes + 3 < len(data)]
+        one, two = data[quotes + 1], data[quotes + 2]
+        short, long = np.zeros(len(quotes), dtype=bool), np.zeros(len(quotes), dtype=bool)
+        for c in SHORT:
+            short |= one == ord(c)
+        for a, b in LONG:
+            long |= (one == ord(a)) & (two == ord(b))
+        for at, size in ((quotes[short], 2), (quotes[long], 3)):
+            start[at + 1] = False
+            start[at + size] |= kind[at + size] == LETTER
+    bounds = np.flatnonzero(start | (kind == SPACE))
+    firsts = np.flatnonzero(start[bounds])
+    return bounds[firsts], bounds[firsts + 1]
+
+
+class KnownWords:
+    """Token ids of words under two 64-bit hashes of each, in sorted arrays; about 40 bytes a word."""
+
+    def __init__(self):
+        self.key, self.check, self.begin = (np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64))
+        self.count, self.ids = np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4")
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def missing(self, key: np.ndarray) -> np.ndarray:
+        """Places in key (ascending) of words that are not known."""
+        at = np.searchsorted(self.key, key)
+        inside = at < len(self.key)
+        inside[inside] = self.key[at[inside]] == key[inside]
+        return np.flatnonzero(~inside)
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: list[bytes]) -> None:
+        """Take up words that are not known yet; key is ascending."""
+        at, count = np.searchsorted(self.key, key), np.array([len(x) // 4 for x in ids], dtype=np.int32)
+        begin = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u4")])
+        for name, values in (("key", key), ("check", check), ("begin", begin), ("count", count)):
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+
+
+class WordEncoder:
+    """Token ids of texts, as little-endian 32-bit arrays, with the ids of known words kept.
+
+    Tokenizers of the rules above lower-case, split into words and encode each word alone.
+    So the ids of a text in Latin-1 are those of its words in order, and the model is asked
+    for unknown words only. Words are found and told apart by numpy over many texts at
+    once, by 128 bits of hashes. Other texts, those that hold special tokens, and all texts
+    of other tokenizers are encoded whole. Dropping the known words changes speed only.
     """
 
-    # The tokenizer's own split pattern, with its classes spelled out for lower-case Latin-1.
-    WORDS = re.compile("[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.older: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.raw = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.known = KnownWords()
         self.spelling = byte_spelling()
-
-    def __missing__(self, word: str) -> bytes:
-        if (ids := self.older.get(word)) is None:
-            spelled = word if word.isascii() and word.isprintable() else word.translate(self.spelling)
-            ids = b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(spelled)])
-        self[word] = ids
-        return ids
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        rules = json.loads(self.tokenizer.to_str())
+        parts = {"normalizer": {"type": "Sequence", "normalizers": NORMALIZERS}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, BYTES]}}
+        self.by_words = rules["model"]["type"] == "BPE" and all(rules[name] == part for name, part in parts.items())
+
+    def _ids(self, word: bytes) -> bytes:
+        text = word.decode("latin-1")
+        if not (text.isascii() and text.isprintable()):
+            text = text.translate(self.spelling)
+        return b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(text)])
+
+    def _plain(self, text: str) -> bytes | None:
+        """The text in Latin-1 if its words can be encoded alone."""
+        if not self.by_words or any(s in text for s in self.special):
+            return None
+        try:
+            return text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def encode(self, text: str) -> bytes:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self._whole(text).tobytes()
-        if any(s in text for s in self.special):
-            return self._whole(text).tobytes()
-        if len(self) > GENERATION_WORDS:
-            self.older = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, self.WORDS.findall(text.lower())))
+    def _by_words(self, texts: list[bytes]) -> list[np.ndarray] | None:
+        """Ids of each text; None if two different words share the first hash."""
+        data = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)]
+        starts, ends = word_spans(data)
+        first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        check = span_hashes(data, starts, ends, CHECK)
+        key, example, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        known = self.known
+        new = known.missing(key)
+        if len(new):
+            lower = data.tobytes()
+            words = [lower[a:b] for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)]
+            known.add(key[new], check[example[new]], list(map(self._ids, words)))
+        at = np.searchsorted(known.key, key)[which]
+        if (known.check[at] != check).any():
+            return None
+        count = known.count[at].astype(np.int64)
+        total = np.append(0, np.cumsum(count))
+        out = known.ids[np.arange(total[-1]) + np.repeat(known.begin[at] - total[:-1], count)]
+        return [out[a:b] for a, b in itertools.pairwise(total[first].tolist())]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known = KnownWords()
+        plain = [self._plain(t) for t in texts]
+        done = self._by_words([t for t in plain if t is not None])
+        if done is None:
+            return [self._whole(t) for t in texts]
+        rest = iter(done)
+        return [self._whole(t) if p is None else next(rest) for t, p in zip(texts, plain, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -112,12 +212,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in chunked(texts, CHUNK_BYTES):
+                for doc, ids in zip(docs[a:b], encoder.encode(texts[a:b]), strict=True):
+                    ids = ids.tobytes() + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -266,15 +368,19 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         total = sum(both.values())
         ranges = spark.createDataFrame(_spans(both, max(ROWS_PER_SPAN, total // MAX_SPANS)), "size int, first int, spans int")
         waiting = state.filter(F.col("is_item") & (F.col("size") < least))
+        held = n - due
         pool = state.filter(F.col("size") >= F.when(F.col("is_item"), least).otherwise(min(todo))).unionByName(rows).join(F.broadcast(ranges), "size")
         pool = pool.withColumn("span", (F.col("first") + F.pmod(F.xxhash64("id", "is_item"), F.col("spans"))).cast("int")).select("span", "is_item", "id", "size")
         order = [F.col("span"), F.col("size").desc(), F.col("is_item"), F.col("id")]
-        swept = cut(pool.repartition("span").sortWithinPartitions(*order).mapInPandas(_sweep(capacity), SWEPT))
+        swept = pool.repartition("span").sortWithinPartitions(*order).mapInPandas(_sweep(capacity), SWEPT)
+        swept = cut(swept.coalesce(max(1, -(-total // ROWS_PER_TASK))))
         counts = swept.groupBy("role", F.when(F.col("role") != "placed", F.col("span")).alias("span"), "room").agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min("size").alias("least")).collect()
         segments = _resolve([(r.span, r.n, r.most) for r in counts if r.role == "item"], [(r.span, r.room, r.n, r.least) for r in counts if r.role == "gap"])
         placed = sum(r.n for r in counts if r.role == "placed") + sum(s[2] - s[1] for s in segments)
-        across, state = _apply(swept, segments, waiting, capacity)
-        placements.append(swept.filter("role = 'placed'").select("id", "seq", "off").unionByName(across))
+        held += sum(r.n for r in counts if r.role != "placed")
+        after = _apply(swept, segments, waiting, capacity, max(1, -(-held // ROWS_PER_TASK)))
+        state = after.filter("seq is null").select("is_item", "id", "size")
+        placements += [swept.filter("role = 'placed'").select("id", "seq", "off"), after.filter("seq is not null").select("id", "seq", "off")]
     out = spark.createDataFrame([], "id bigint, seq bigint, off int")
     for p in placements:
         out = out.unionByName(p)
@@ -291,8 +397,11 @@ def _waiting(todo: dict[int, int], left: int) -> int:
     return min(todo)
 
 
-def _apply(swept: DataFrame, segments: list[tuple], waiting: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """Placements across ranges, and the items and gaps that are left after them."""
+def _apply(swept: DataFrame, segments: list[tuple], waiting: DataFrame, capacity: int, tasks: int) -> DataFrame:
+    """is_item, id, size, seq, off: items placed across ranges (with seq), and the items and gaps that are left.
+
+    Written in as many partitions as its rows need, so rounds over few rows make few files.
+    """
     spark = swept.sparkSession
     items = swept.filter("role = 'item'").select("span", "id", "size", "idx")
     gaps = swept.filter("role = 'gap'").select("span", "id", "size", "room", "idx")
@@ -303,11 +412,12 @@ def _apply(swept: DataFrame, segments: list[tuple], waiting: DataFrame, capacity
     target = gaps.select(F.col("span").alias("gap_span"), "room", F.col("idx").alias("gap_idx"), F.col("id").alias("seq"), F.col("size").alias("free"))
     before = Window.partitionBy("seq").orderBy(F.col("size").desc(), "span", "idx").rowsBetween(Window.unboundedPreceding, -1)
     met = sent.join(target, ["gap_span", "room", "gap_idx"])
-    across = cut(met.select("id", "seq", "size", (F.lit(capacity) - F.col("free") + F.coalesce(F.sum("size").over(before), F.lit(0))).cast("int").alias("off")))
-    todo = items.join(ends, "span", "left").filter("upto is null or idx >= upto").select(F.lit(True).alias("is_item"), "id", "size")
-    used = across.groupBy(F.col("seq").alias("id")).agg(F.sum("size").alias("used"))
-    gaps = gaps.join(used, "id", "left").select(F.lit(False).alias("is_item"), "id", (F.col("size") - F.coalesce("used", F.lit(0))).cast("int").alias("size")).filter("size > 0")
-    return across.select("id", "seq", "off"), cut(todo.unionByName(gaps).unionByName(waiting))
+    across = met.select(F.lit(True).alias("is_item"), "id", "size", "seq", (F.lit(capacity) - F.col("free") + F.coalesce(F.sum("size").over(before), F.lit(0))).cast("int").alias("off"))
+    used = met.groupBy(F.col("seq").alias("id")).agg(F.sum("size").alias("used"))
+    open_ = [F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("int").alias("off")]
+    todo = items.join(ends, "span", "left").filter("upto is null or idx >= upto").select(F.lit(True).alias("is_item"), "id", "size", *open_)
+    gaps = gaps.join(used, "id", "left").select(F.lit(False).alias("is_item"), "id", (F.col("size") - F.coalesce("used", F.lit(0))).cast("int").alias("size"), *open_).filter("size > 0")
+    return cut(across.unionByName(todo).unionByName(gaps).unionByName(waiting.select("is_item", "id", "size", *open_)).coalesce(tasks))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eos_id: int = EOS_ID) -> DataFrame:
