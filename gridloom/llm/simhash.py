@@ -15,7 +15,6 @@ of which must be equal, which splits them over many tasks without losing a link.
 from __future__ import annotations
 
 import itertools
-from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -99,27 +98,29 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
 
 
 def _variants(fps: DataFrame, *keep: str) -> DataFrame:
-    """key, fp and the columns in keep: the 64 one-bit-deleted segments of each fingerprint.
+    """key, family, fp and the columns in keep: the 64 one-bit-deleted segments of each fingerprint.
 
-    A key holds the deleted bit's place (0-63, which also names the segment) above the
-    segment's other bits.
+    A key holds, from the top, the family (under 2**20; fingerprints meet within theirs only),
+    the deleted bit's place (0-63, which also names the segment) and the segment's other bits.
     """
     place = F.col("place")
     segment = F.when(place < 32, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
     rest = segment.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, place % 32)")))
-    return fps.select(*keep, "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place")).select(*keep, F.shiftleft(place.cast("bigint"), 32).bitwiseOR(rest).alias("key"), "fp")
+    head = F.shiftleft(F.col("family").cast("bigint") * 64 + place, 32)
+    return fps.select("family", *keep, "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place")).select(head.bitwiseOR(rest).alias("key"), "family", *keep, "fp")
 
 
 def _other() -> Column:
     """The segment of fp that key does not name."""
-    return F.when(F.shiftright("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    first = F.expr("shiftright(key, 32) & 63") < 32
+    return F.when(first, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
 
 
 def _rekeyed(hot: DataFrame) -> DataFrame:
     """Deal hot buckets by one byte of the other segment; three differing bits leave one of four bytes equal."""
     byte = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("byte")
-    dealt = hot.select("key", "fp", _other().alias("other"), byte).withColumn("value", F.expr("shiftrightunsigned(other, byte * 8) & 255"))
-    return dealt.select(F.xxhash64("key", "byte", "value").alias("key"), "fp")
+    dealt = hot.select("key", "family", "fp", _other().alias("other"), byte).withColumn("value", F.expr("shiftrightunsigned(other, byte * 8) & 255"))
+    return dealt.select(F.xxhash64("key", "byte", "value").alias("key"), "family", "fp")
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -171,70 +172,66 @@ def _stars(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return sorted(links) + [(x, x) for x in fps[linked < degree].tolist()]
 
 
+def _whole_buckets(frames, where: list[str]):
+    """(rows, starts, ends) of buckets that are complete; rows come sorted by the columns in where."""
+    held: list[pd.DataFrame] = []
+    for pdf in itertools.chain(frames, [None]):
+        if pdf is not None:
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            if (pdf[where].iloc[-1] == held[0][where].iloc[0]).all():
+                continue  # one bucket so far
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+        at = rows[where].to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1])
+        ends = np.append(starts[1:], len(rows))
+        if pdf is not None:
+            held = [rows.iloc[starts[-1] :]]
+            starts, ends = starts[:-1], ends[:-1]
+        if len(starts):
+            yield rows, starts, ends
+
+
 def _bucket_links(max_bits: int, hot_bucket: int | None, within=_forest):
     """Links within the buckets of a partition that is sorted by key.
 
-    Rows are src, dst and the bucket's key; for buckets over hot_bucket, rows with a
-    key and src only, to be dealt again.
+    Rows are family, src and dst; for buckets over hot_bucket, rows with a key and src
+    but no dst, to be dealt again.
     """
 
-    def frame(links: list[tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame({"src": [a for a, _ in links], "dst": pd.array([b for _, b in links], "Int64"), "key": pd.array([None] * len(links), "Int64")})
-
-    def hot(key: int, fps: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"src": fps, "dst": pd.array([None] * len(fps), "Int64"), "key": pd.array([key] * len(fps), "Int64")})
+    def frame(family, src, dst, key) -> pd.DataFrame:
+        none = [None] * len(src)
+        return pd.DataFrame({"family": family, "src": src, "dst": pd.array(none if dst is None else dst, "Int64"), "key": pd.array(none if key is None else [key] * len(src), "Int64")})
 
     def run(frames):
-        held_key, held = None, []
-
-        def close():
-            fps = np.concatenate(held)
-            if hot_bucket and len(fps) > hot_bucket:
-                return hot(held_key, fps)
-            return frame(within(fps, max_bits))
-
-        for pdf in frames:
-            keys, fps = pdf.key.to_numpy(), pdf.fp.to_numpy()
-            if not len(keys):
-                continue
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-            first = 0
-            if held_key is not None:
-                if keys[0] == held_key:
-                    held.append(fps[: ends[0]])
-                    first = 1
-                if first == 0 or len(starts) > 1:
-                    if sum(map(len, held)) > 1:
-                        yield close()
-                    held_key, held = None, []
-            if held_key is None:
-                last = len(starts) - 1
-                starts_in, ends_in = starts[first:last], ends[first:last]
-                size = ends_in - starts_in
-                two = starts_in[size == 2]
-                a, b = fps[two], fps[two + 1]
-                near = (np.bitwise_count(a ^ b) <= max_bits) & (a != b)
-                links = list(zip(a[near].tolist(), b[near].tolist(), strict=True))
-                for s, e in zip(starts_in[size > 2].tolist(), ends_in[size > 2].tolist(), strict=True):
-                    if hot_bucket and e - s > hot_bucket:
-                        yield hot(int(keys[s]), fps[s:e])
-                    else:
-                        links.extend(within(fps[s:e], max_bits))
-                if links:
-                    yield frame(links)
-                held_key, held = int(keys[last if last >= first else first]), [fps[starts[last] :]]
-        if held_key is not None and sum(map(len, held)) > 1:
-            yield close()
+        for rows, starts, ends in _whole_buckets(frames, ["key"]):
+            fps, families = rows.fp.to_numpy(), rows.family.to_numpy()
+            size = ends - starts
+            two = starts[size == 2]
+            a, b = fps[two], fps[two + 1]
+            near = (np.bitwise_count(a ^ b) <= max_bits) & (a != b)
+            links = [(families[two][near], a[near], b[near])]
+            for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+                if hot_bucket and e - s > hot_bucket:
+                    yield frame(families[s:e], fps[s:e], None, int(rows.key.iat[s]))
+                else:
+                    found = np.array(within(fps[s:e], max_bits), dtype=np.int64).reshape(-1, 2).T
+                    links.append((np.full(found.shape[1], families[s]), found[0], found[1]))
+            family, src, dst = (np.concatenate(x) for x in zip(*links, strict=True))
+            if len(src):
+                yield frame(family, src, dst, None)
 
     return run
 
 
-LINKS = "src bigint, dst bigint, key bigint"
+LINKS = "family int, src bigint, dst bigint, key bigint"
 
 
 def near_links(fps: DataFrame, max_bits: int = MAX_BITS, within=_forest) -> DataFrame:
-    """src, dst: links of fps within max_bits (3 at most).
+    """family, src, dst: links of fps (family int, fp bigint) within max_bits (3 at most).
 
     With _forest they join the same components as all such pairs would.
     """
@@ -242,9 +239,12 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, within=_forest) -> Data
         raise ValueError("two segments with one deleted bit find at most three differing bits")
     dealt = _variants(fps.distinct()).repartition("key").sortWithinPartitions("key")
     found = cut(dealt.mapInPandas(_bucket_links(max_bits, HOT_BUCKET, within), LINKS))
-    again = _rekeyed(found.filter("dst is null").select("key", F.col("src").alias("fp")))
-    again = again.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links(max_bits, None, within), LINKS)
-    return found.filter("dst is not null").unionByName(again).select("src", "dst").distinct()
+    links = found.filter("dst is not null")
+    hot = found.filter("dst is null")
+    if hot.limit(1).count():
+        again = _rekeyed(hot.select("key", "family", F.col("src").alias("fp"))).repartition("key").sortWithinPartitions("key")
+        links = links.unionByName(again.mapInPandas(_bucket_links(max_bits, None, within), LINKS))
+    return links.select("family", "src", "dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     """
     marks = cut(fingerprints(docs, shingle_words))
     classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = near_links(classes.select("fp"), max_bits)
+    links = near_links(classes.select(F.lit(0).alias("family"), "fp"), max_bits)
     parts = connected_components(links).select(F.col("node").alias("fp"), "component")
     named = classes.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
 
 
 #: Fingerprints of a text in the near-copy stage, each over its different words under a hash function of its own.
-FAMILIES = 8
+FAMILIES = 6
 SIMILARITY = 0.8
 VERIFY_WORDS = 5
 
@@ -337,7 +337,7 @@ def _apart(low: int, high: int, similarity: float):
     full = np.uint64(0xFFFFFFFF)
 
     def pairs(key: int, byte: int, fps: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, parts: np.ndarray):
-        segment, bit = divmod(key >> 32, 32)
+        segment, bit = divmod((key >> 32) & 63, 32)
         names, counts = np.unique(parts, return_counts=True)
         major = names[counts.argmax()]
         rest, place = np.flatnonzero(parts != major), np.arange(len(fps))
@@ -362,28 +362,14 @@ def _apart(low: int, high: int, similarity: float):
             yield nodes[a[now]], nodes[b[now]]
 
     def run(frames):
-        held = None
-        for pdf in itertools.chain(frames, [None]):
-            last = pdf is None
-            if not last:
-                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if held is None or not len(held):
-                continue
-            where = held[BUCKET].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1])
-            ends = np.concatenate([starts[1:], [len(held)]])
-            if not last:
-                starts, ends = starts[:-1], ends[:-1]
-            if len(starts):
-                done = held.iloc[: ends[-1]]
-                parts = done.component.to_numpy()
-                mixed = np.minimum.reduceat(parts, starts) != np.maximum.reduceat(parts, starts)
-                fps, nodes, sizes = done.fp.to_numpy().view(np.uint64), done.node.to_numpy(), done["size"].to_numpy()
-                for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-                    for src, dst in pairs(int(where[s, 1]), int(where[s, 2]), fps[s:e], nodes[s:e], sizes[s:e], parts[s:e]):
-                        if len(src):
-                            yield pd.DataFrame({"src": src, "dst": pd.array([None] * len(src) if dst is None else dst, "Int64")})
-                held = held.iloc[ends[-1] :]
+        for rows, starts, ends in _whole_buckets(frames, BUCKET):
+            where, parts = rows[BUCKET].to_numpy(), rows.component.to_numpy()
+            mixed = np.minimum.reduceat(parts[: ends[-1]], starts) != np.maximum.reduceat(parts[: ends[-1]], starts)
+            fps, nodes, sizes = rows.fp.to_numpy().view(np.uint64), rows.node.to_numpy(), rows["size"].to_numpy()
+            for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                for src, dst in pairs(int(where[s, 1]), int(where[s, 2]), fps[s:e], nodes[s:e], sizes[s:e], parts[s:e]):
+                    if len(src):
+                        yield pd.DataFrame({"src": src, "dst": pd.array([None] * len(src) if dst is None else dst, "Int64")})
 
     return run
 
@@ -396,7 +382,7 @@ REACH = 8
 
 def _buckets(members: DataFrame) -> DataFrame:
     """BUCKET, fp, node, size: members (family, fp, node, size) in all buckets that hold more than one."""
-    dealt = _variants(members, "family", "node", "size")
+    dealt = _variants(members, "node", "size")
     counts = dealt.groupBy("family", "key").agg(F.count("*").alias("n")).filter("n > 1")
     byte = F.explode(F.when(F.col("n") > HOT_BUCKET, F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(-1)))).alias("byte")
     dealt = dealt.join(counts, ["family", "key"]).select("family", "key", "fp", "node", "size", _other().alias("other"), byte)
@@ -420,24 +406,20 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = marks.groupBy("digest").agg(F.min(F.struct("doc_id", *names)).alias("first"))
     equal = marks.select("digest", "doc_id").join(first.select("digest", F.col("first.doc_id").alias("src")), "digest").filter("doc_id <> src").select("src", F.col("doc_id").alias("dst"))
     reps = cut(first.select("first.*"))
-    pairs, members = [], []
-    for i, name in enumerate(names):
-        own = reps.select("doc_id", F.col(name).alias("fp"))
-        classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-        links = near_links(classes.select("fp"), within=_stars)
-        one = classes.select(F.col("fp").alias("src"), F.col("least").alias("a"), F.col("n").alias("n1"))
-        two = classes.select(F.col("fp").alias("dst"), F.col("least").alias("b"), F.col("n").alias("n2"))
-        across = links.join(one, "src").join(two, "dst").select("a", "b", "src", "dst", F.expr("src = dst or n1 > 1 or n2 > 1").alias("open"))
-        same = own.join(classes.filter("n > 1"), "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"), F.col("fp").alias("src"), F.col("fp").alias("dst"), (F.col("n") > 2).alias("open"))
-        found = cut(across.unionByName(same))
-        pairs.append(found.filter("a <> b").select("a", "b"))
-        open_fps = found.filter("open").select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-        members.append(own.join(open_fps, "fp", "left_semi").select(F.lit(i).cast("bigint").alias("family"), "fp", F.col("doc_id").alias("node")))
-        del links, one, two, classes, own, same, across, found, open_fps
-        release(texts.sparkSession)
-    both = reduce(DataFrame.unionByName, pairs)
+    own = reps.select("doc_id", F.posexplode(F.array(*names)).alias("family", "fp"))
+    classes = cut(own.groupBy("family", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    links = near_links(classes.select("family", "fp"), within=_stars)
+    one = classes.select("family", F.col("fp").alias("src"), F.col("least").alias("a"), F.col("n").alias("n1"))
+    two = classes.select("family", F.col("fp").alias("dst"), F.col("least").alias("b"), F.col("n").alias("n2"))
+    across = links.join(one, ["family", "src"]).join(two, ["family", "dst"]).select("family", "a", "b", "src", "dst", F.expr("src = dst or n1 > 1 or n2 > 1").alias("open"))
+    same = own.join(classes.filter("n > 1"), ["family", "fp"]).filter("doc_id <> least").select("family", F.col("least").alias("a"), F.col("doc_id").alias("b"), F.col("fp").alias("src"), F.col("fp").alias("dst"), (F.col("n") > 2).alias("open"))
+    found = cut(across.unionByName(same))
+    both = found.filter("a <> b").select("a", "b")
+    open_fps = found.filter("open").select("family", F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    members = cut(own.join(open_fps, ["family", "fp"], "left_semi").select("family", "fp", F.col("doc_id").alias("node")))
+    del links, one, two, across, same
+    release(texts.sparkSession)
     both = cut(both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
-    members = cut(reduce(DataFrame.unionByName, members))
     ids = both.select(F.col("src").alias("doc_id")).unionByName(both.select(F.col("dst").alias("doc_id"))).unionByName(members.select(F.col("node").alias("doc_id"))).distinct()
     sets = cut(_shingle_sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text")))
     left = sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("left"))
