@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gridloom.session import cut
 
+#: Edges that one task of a round takes. In one partition Spark needs no shuffle for the round.
+ROWS_PER_TASK = 500_000
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (the least node reachable) for every node of an undirected edge table.
@@ -20,8 +23,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     loops = pairs.filter("u = v").select(F.col("u").alias("node")).distinct()
     cur = cut(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    seen = (cur.count(),)
     while True:
+        cur = cur.coalesce(max(1, -(-seen[0] // ROWS_PER_TASK)))
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
