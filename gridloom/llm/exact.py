@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from gridloom.session import cut
 SLOTS = 4
 MAX_KICKS = 256
 LIVE_DIGESTS_PER_SHARD = 50_000
+#: A keeper that is not known, and the rank of a null doc_id.
+UNKNOWN = -(2**63)
+LOWEST = UNKNOWN + 1
 STATE = "shard int, n_buckets int, slots binary, digests binary, counts array<bigint>, keep_ids array<bigint>"
 
 
@@ -106,9 +110,12 @@ class Shard:
         if not self.filter.insert(digest):
             self._resize()
 
-    def delete(self, digest: bytes, n: int) -> None:
+    def delete(self, digest: bytes, n: int, keep: int) -> None:
+        """Take n rows away, keep being the largest doc_id among them; the keeper of what is left may be unknown then."""
         if self.filter.contains(digest) and (known := self.content.get(digest)):
             known[0] -= n
+            if keep >= known[1]:
+                known[1] = UNKNOWN
             if known[0] <= 0:
                 del self.content[digest]
                 self.filter.delete(digest)
@@ -141,7 +148,7 @@ def _update(change: str):
             if change == "insert":
                 shard.insert(bytes(digest), int(n), int(keep))
             else:
-                shard.delete(bytes(digest), int(n))
+                shard.delete(bytes(digest), int(n), int(keep))
         return shard.frame(int(key[0]))
 
     return fn
@@ -150,9 +157,11 @@ def _update(change: str):
 class CuckooIndex:
     """Index of live digests, a DataFrame of shards.
 
-    insert() and delete() take rows of (digest binary(32), n, keep_id) with one row
-    per digest, and return a new index. entries() gives its live content. may_contain()
-    is the filter's answer without the content: no false negatives.
+    insert() and delete() take rows of (digest binary(32), n, keep_id), as many a digest
+    as there are, and return a new index: a row whose digest the filter knows is looked
+    up in the content and merged there, any other enters both. Where the keeper itself is
+    deleted, delete() looks the next one up in the rows that are left. entries() gives the
+    live content. may_contain() is the filter's answer without it: no false negatives.
     """
 
     def __init__(self, spark: SparkSession, shards: int, state: DataFrame | None = None):
@@ -170,8 +179,14 @@ class CuckooIndex:
     def insert(self, batch: DataFrame) -> CuckooIndex:
         return self._changed(batch, "insert")
 
-    def delete(self, batch: DataFrame) -> CuckooIndex:
-        return self._changed(batch, "delete")
+    def delete(self, batch: DataFrame, left: DataFrame | None = None) -> CuckooIndex:
+        """left: rows of the digests that are still live after the deletion."""
+        index = CuckooIndex(self.spark, self.shards, cut(self._changed(batch, "delete").state))
+        if left is None:
+            return index
+        open_ = index.entries().filter(F.col("keep_id") == UNKNOWN).select("digest")
+        found = left.join(open_, "digest", "left_semi").groupBy("digest").agg(F.lit(0).cast("bigint").alias("n"), F.max("keep_id").alias("keep_id"))
+        return index.insert(found)
 
     def entries(self) -> DataFrame:
         """digest, n, keep_id of every live digest."""
@@ -204,20 +219,25 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def digest_groups(docs: DataFrame) -> DataFrame:
-    """One row per different text: digest, n, keep_id (the largest doc_id; null ids rank lowest)."""
-    lowest = F.lit(-(2**63)).cast("bigint")
-    return (
-        docs.select(digest_of(F.col("text")).alias("digest"), F.coalesce("doc_id", lowest).alias("doc_id"))
-        .groupBy("digest")
-        .agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
-    )
+def digest_rows(docs: DataFrame) -> DataFrame:
+    """digest, n and keep_id (the largest doc_id; null ids rank lowest), once per text and Arrow batch.
+
+    Copies are counted together before anything is shuffled, so a text that a third of all
+    rows repeat comes to its shard once a batch.
+    """
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).group_by("digest").aggregate([("doc_id", "count"), ("doc_id", "max")])
+            yield from table.select(["digest", "doc_id_count", "doc_id_max"]).rename_columns(["digest", "n", "keep_id"]).to_batches()
+
+    rows = docs.select(digest_of(F.col("text")).alias("digest"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("doc_id"))
+    return rows.mapInArrow(run, "digest binary, n bigint, keep_id bigint")
 
 
 def build_index(docs: DataFrame, digests_per_shard: int = LIVE_DIGESTS_PER_SHARD) -> CuckooIndex:
-    """Index of all live digests of docs."""
-    groups = cut(digest_groups(docs))
-    return CuckooIndex(docs.sparkSession, max(1, -(-groups.count() // digests_per_shard))).insert(groups)
+    """Index of all live digests of docs; shards are sized as if all texts were different."""
+    return CuckooIndex(docs.sparkSession, max(1, -(-docs.count() // digests_per_shard))).insert(digest_rows(docs))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -231,7 +251,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     entries = build_index(docs).entries()
-    lowest = F.lit(-(2**63)).cast("bigint")
+    lowest = F.lit(LOWEST).cast("bigint")
     rows = docs.select("doc_id", digest_of(F.col("text")).alias("digest"))
     twin = Window.partitionBy("doc_id", "digest").orderBy(F.lit(0))
     rows = rows.withColumn("_twin", F.row_number().over(twin))
@@ -251,10 +271,11 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     Only doc_ids and digests are shuffled; texts meet the decision in one join.
     Repeated rows of a kept doc_id and text collapse to one.
     """
-    keep = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    marked = docs.withColumn("_digest", digest_of(F.col("text")))
     from pyspark.sql import Window
 
-    one = Window.partitionBy("doc_id", "_digest").orderBy(F.lit(0))
-    found = marked.join(keep, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (marked["_digest"] == keep["_digest"]), "left_semi")
-    return found.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    keep = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("keep_id"), F.unhex("text_sha256").alias("keep_digest"))
+    # the row travels whole, so that none of its names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").alias("id"), digest_of(F.col("row.text")).alias("digest"))
+    one = Window.partitionBy("id", "digest").orderBy(F.lit(0))
+    found = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest")), "left_semi")
+    return found.withColumn("place", F.row_number().over(one)).filter("place = 1").select("row.*")

@@ -244,7 +244,7 @@ def test_cuckoo_index_inserts_deletes_and_resizes(spark):
         shard.insert(d, 1, k)
     assert all(shard.filter.contains(d) for d in digests) and shard.filter.n >= 1024
     for d in digests[:2500]:
-        shard.delete(d, 1)
+        shard.delete(d, 1, 0)
     assert all(shard.filter.contains(d) for d in digests[2500:]) and len(shard.content) == 2500
     assert sum(shard.filter.contains(d) for d in digests[:2500]) < 100
     batch = spark.createDataFrame([(bytearray(d), 1, k) for k, d in enumerate(digests[:300])], "digest binary, n long, keep_id long")
@@ -254,6 +254,24 @@ def test_cuckoo_index_inserts_deletes_and_resizes(spark):
     assert index.may_contain(batch.filter("keep_id < 200")).count() == 200
 
 
+def test_deleting_the_keeper_finds_the_next(spark):
+    digests = [bytearray(hashlib.sha256(str(k).encode()).digest()) for k in range(3)]
+    rows = [(d, 1, doc) for d in digests for doc in (3, 8, 9)]
+    frame = lambda x: spark.createDataFrame(x, "digest binary, n long, keep_id long")
+    gone = [(digests[0], 1, 9), (digests[1], 1, 3), (digests[2], 3, 9)]
+    left = frame([r for r in rows if (r[0], r[2]) not in [(digests[0], 9), (digests[1], 3)] and r[0] != digests[2]])
+    index = exact.CuckooIndex(spark, 2).insert(frame(rows)).delete(frame(gone), left)
+    assert {bytes(r.digest): (r.n, r.keep_id) for r in index.entries().collect()} == {bytes(digests[0]): (2, 8), bytes(digests[1]): (2, 9)}
+
+
+def test_exact_stage_keeps_clashing_columns(spark):
+    rows = [(1, "a", "p", 7, 1), (2, "a", "q", 8, 2), (2, "a", "q", 8, 2), (None, "b", "r", 9, 3), (3, None, "s", 1, 4), (4, "", "t", 1, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest string, _n int, _id long")
+    out = exact.drop_exact_duplicates(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted([(2, "a", "q", 8, 2), (None, "b", "r", 9, 3), (4, "", "t", 1, 5)], key=str)
+    assert exact.drop_exact_duplicates(docs.limit(0)).count() == 0
+
+
 def test_pii_base_spans(spark, docs):
     odd = ["a@b.c@d.e a@b.c_x@d.e", "1.2.3.4.5.6.7.8 999.1.1.1 007.0.0.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1111", "+1 (974) 555-3436 +12 +1 2) 3", "😀 x@y.zz é +4 123 456 789 0", "9" * 30000, None, ""]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
