@@ -30,8 +30,7 @@ TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{6})(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_
 
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
-ROUNDS = 3
-CONTEXT_CHARS = 80
+WHITE = r"\x20\x09-\x0D"
 
 
 def _spans(text: Column, pattern: str) -> tuple[Column, Column, Column]:
@@ -47,8 +46,9 @@ def _spans(text: Column, pattern: str) -> tuple[Column, Column, Column]:
         value = F.get(F.col("_hits"), i)
         start = acc["at"] + F.char_length(F.get(F.col("_gaps"), i))
         end = start + F.char_length(value)
-        before = F.right(F.get(F.col("_gaps"), i), F.lit(CONTEXT_CHARS))
-        after = F.left(F.get(F.col("_gaps"), i + 1), F.lit(CONTEXT_CHARS))
+        # the last two words before and the first word after, of any length; read backwards to start at the match
+        before = F.reverse(F.regexp_extract(F.reverse(F.get(F.col("_gaps"), i)), f"^[{WHITE}]*+[^{WHITE}]*+[{WHITE}]*+[^{WHITE}]*+", 0))
+        after = F.regexp_extract(F.get(F.col("_gaps"), i + 1), f"^[{WHITE}]*+[^{WHITE}]*+", 0)
         row = F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), value.alias("value"), before.alias("before"), after.alias("after"))
         return F.struct(end.cast("bigint").alias("at"), F.array_append(acc["out"], row).alias("out"))
 
@@ -115,23 +115,26 @@ def _instances(found: DataFrame) -> DataFrame:
     return found.filter(F.size(base) + F.size("token") > 0).select("uid", F.explode(both).alias("i")).select("uid", "i.*")
 
 
-def discovered(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def discovered(found: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """uid, start, end of identifiers that trusted patterns reveal.
 
     A pattern is trusted with min_support different known values and min_confidence as
     the share of known among all its different values. A value is known if it is a seed
-    or stands in a trusted pattern. All scores are aggregates over the whole graph.
+    or stands in a trusted pattern. All scores are aggregates over the whole graph; rounds
+    go on until they reveal no new value.
     """
     graph = cut(_instances(found))
     links = graph.select("value", F.explode("patterns").alias("pattern")).groupBy("value", "pattern").agg(F.lit(1).alias("one")).drop("one")
     links = cut(links)
-    known = graph.filter("known").select("value").distinct()
-    for _ in range(rounds):
+    known = cut(graph.filter("known").select("value").distinct())
+    before, count = -1, known.count()
+    while count > before:
         marked = links.join(known.withColumn("is_known", F.lit(1)), "value", "left")
         score = marked.groupBy("pattern").agg(F.count("is_known").alias("support"), F.count("*").alias("n"))
         trusted = score.filter((F.col("support") >= min_support) & (F.col("support") >= min_confidence * F.col("n"))).select("pattern")
         reached = links.join(trusted, "pattern", "left_semi").select("value")
         known = cut(known.unionByName(reached).distinct())
+        before, count = count, known.count()
     return graph.filter(~F.col("known")).join(known, "value", "left_semi").select("uid", "start", "end").distinct()
 
 
