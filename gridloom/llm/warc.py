@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import cut, default_parallelism, shared_dir
 
+EPOCH = "1970-01-01T00:00:00Z"
 MAX_ARCHIVE_BYTES = 1 << 30
 READ_GAP_BYTES = 1 << 16
 READ_BYTES = 8 << 20
@@ -32,43 +35,69 @@ def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _one_line(text: str) -> str:
-    return "".join(c if c > " " else f"%{ord(c):02X}" for c in text)
+def _uri(url: str) -> str:
+    """url with white space, controls and characters beyond ASCII percent-encoded."""
+    return "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def format_record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
-    """A WARC/1.1 resource record as bytes; a revisit carries no payload."""
-    name = "" if page_id is None or pd.isna(page_id) else int(page_id)
+def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    head = "".join(f"{name}: {value}\r\n" for name, value in [*fields, ("Content-Length", str(len(block)))])
+    return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def format_info(date: str) -> bytes:
+    """The warcinfo record that an archive starts with."""
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{uuid.uuid4().urn}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+    return _record(fields, b"software: gridloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def format_record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, date: str = EPOCH) -> bytes:
+    """A WARC/1.1 response with an HTTP block, or a revisit without one.
+
+    Record ids are new for every record, as page_ids may repeat or be null; page_id and
+    refers_to travel in extension fields, and so does a url that is null or no URI as it is.
+    """
+    name = None if page_id is None or pd.isna(page_id) else int(page_id)
     revisit = refers_to is not None
-    body = b"" if revisit else payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Target-URI: {_one_line(url or '')}", f"WARC-Payload-Digest: sha1:{digest}"]
+    uri = _uri(url or "") or f"urn:page:{name}"
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{uuid.uuid4().urn}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{int(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Page-Refers-To", str(int(refers_to)))]
+    if name is not None:
+        fields.append(("Page-ID", str(name)))
+    if uri != url:
+        fields.append(("Page-URL", json.dumps(url)))
+    fields.append(("Content-Type", "application/http;msgtype=response"))
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return _record(fields, b"" if revisit else http + payload)
 
 
 def parse_record(raw: bytes) -> dict:
     """Fields of one record; intact is false where the payload doesn't match its digest."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
-    payload = rest[: int(fields["Content-Length"])]
-    urn = lambda k: (lambda v: int(v) if v else None)(fields.get(k, "")[len("<urn:page:") : -1])
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    _, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    number = lambda k: int(fields[k]) if k in fields else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     revisit = fields["WARC-Type"] == "revisit"
     return {
-        "page_id": urn("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload_bytes": None if revisit else len(payload), "payload_digest": digest,
-        "record_type": fields["WARC-Type"], "refers_to": urn("WARC-Refers-To"), "payload": None if revisit else payload, "intact": revisit or base32_digest(payload) == digest,
+        "page_id": number("Page-ID"), "url": json.loads(fields["Page-URL"]) if "Page-URL" in fields else fields["WARC-Target-URI"], "payload_bytes": None if revisit else len(payload), "payload_digest": digest,
+        "record_type": fields["WARC-Type"], "refers_to": number("Page-Refers-To"), "payload": None if revisit else payload, "intact": revisit or base32_digest(payload) == digest,
     }
 
 
+def _packed(record: bytes, level: int) -> bytes:
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
 def _filesystem(uri: str):
     from pyarrow.fs import FileSystem
 
     return FileSystem.from_uri(uri)
 
 
-def _write(folder: str, level: int, max_archive_bytes: int):
+def _write(folder: str, level: int, max_archive_bytes: int, date: str):
     def run(frames):
         fs, base = _filesystem(folder)
         name, sink, at = None, None, 0
@@ -79,13 +108,13 @@ def _write(folder: str, level: int, max_archive_bytes: int):
                     if sink is None or at >= max_archive_bytes:
                         if sink is not None:
                             sink.close()
-                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                        sink = fs.open_output_stream(f"{base}/{name}", compression=None)
+                        name, info = f"{uuid.uuid4().hex}.warc.gz", _packed(format_info(date), level)
+                        sink, at = fs.open_output_stream(f"{base}/{name}", compression=None), len(info)
+                        sink.write(info)
                     payload = (html or "").encode()
                     digest = base32_digest(payload)
                     refers = None if pd.isna(refers) else int(refers)
-                    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    raw = packer.compress(format_record(page, url, payload, digest, refers)) + packer.flush()
+                    raw = _packed(format_record(page, url, payload, digest, refers, date), level)
                     sink.write(raw)
                     rows.append((page, url, digest, "response" if refers is None else "revisit", refers, name, at, len(raw)))
                     at += len(raw)
@@ -112,7 +141,8 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, le
     owners = rows.filter(F.col("n") >= min_revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("owner"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "owner")
     typed = rows.join(owners, "sha", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("owner"), F.col("owner")))
     chosen = typed.select("page_id", "url", "html", "refers_to")
-    return cut(chosen.mapInPandas(_write(folder, level, max_archive_bytes), INDEX))
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return cut(chosen.mapInPandas(_write(folder, level, max_archive_bytes, date), INDEX))
 
 
 def _ranges(rows: list, gap: int, most: int):
