@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 # Fixed word lists: names in tags, classes, ids and roles that tell content from page furniture.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul br textarea".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = frozenset("script style noscript template head title svg math object iframe canvas select textarea button datalist audio video".split())
+HIDDEN_TAGS = frozenset("script style noscript template head title object iframe canvas select textarea button datalist audio video".split())
+HEAD_TAGS = frozenset("base head link meta noscript script style template title".split())
+UNCLOSED_TAGS = frozenset("button select option textarea datalist title".split())
 FURNITURE_TAGS = frozenset("nav footer aside form header menu dialog".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td th tr".split())}
 FURNITURE_WORDS = (
@@ -32,7 +34,12 @@ FURNITURE_WORDS = (
     "comentarios kommentare commentaires discussion reply replies respond disqus cookie cookies consent notice notices alert gdpr popup modal overlay toolbar pager pagination tags meta byline hidden skip"
 ).split()
 CONTENT_WORDS = "article content post entry story main body text page prose article-body post-content entry-content maincontent".split()
+ARTICLE_NAMES = frozenset("article content post story entry".split())
 TRAIN_PAGES = 400
+#: Longest html of a training page; longer pages are extracted, but not learned from.
+TRAIN_BYTES = 65536
+#: Pages rendered around loose words, so that a chain is trained whatever the pages show.
+PLAIN_LAYOUTS = 120
 EPOCHS = 30
 STEP = 0.5
 DECAY = 1e-3
@@ -57,6 +64,8 @@ class Blocks(HTMLParser):
         self.parts, self.links = [], 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if self.hidden:
+            self._show(tag)
         if tag in BLOCK_TAGS:
             self._flush()
             if any(t == "p" for t, _ in self.stack) and tag in CLOSED_BY["p"]:
@@ -76,6 +85,19 @@ class Blocks(HTMLParser):
         self.stack.append((tag, tuple(n for n in names if n)))
         self.hidden += tag in HIDDEN_TAGS
 
+    def _show(self, tag: str) -> None:
+        """Close hidden elements whose end tags were left out: a head at content, a control at a block of text."""
+        if tag not in HEAD_TAGS and any(t == "head" for t, _ in self.stack):
+            self._close("head")
+        if tag in BLOCK_TAGS - HIDDEN_TAGS - {"option"}:
+            for t, _ in list(self.stack):
+                if t in UNCLOSED_TAGS:
+                    self._close(t)
+                    break
+        if tag in ("article", "main", "body"):
+            for t in HIDDEN_TAGS:
+                self._close(t)
+
     def _close(self, tag: str, stop: frozenset = frozenset()) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
@@ -207,10 +229,17 @@ class Chain:
 
 
 def _labels_by_structure(blocks: list[tuple[str, tuple, int]]) -> list[int] | None:
-    """Labels of a page whose structure names its article; None where it doesn't."""
-    if not any(t == "article" for _, stack, _ in blocks for t, _ in stack):
-        return None
-    return [int("article" in (tags := [t for t, _ in stack]) and not FURNITURE_TAGS & set(tags[tags.index("article") :])) for _, stack, _ in blocks]
+    """Labels of a page whose structure names its article, by a tag, a role or a name; None where it doesn't.
+
+    The content starts at the outermost article; without one at main, then at role main,
+    then at a name that only the main text has.
+    """
+    marks = (lambda t, n: t == "article", lambda t, n: t == "main", lambda t, n: "main" in n and "menu" not in n, lambda t, n: bool(ARTICLE_NAMES & set(n)))
+    for mark in marks:
+        at = [next((k for k, (t, n) in enumerate(stack) if t != "body" and mark(t, n)), None) for _, stack, _ in blocks]
+        if any(k is not None for k in at):
+            return [int(k is not None and not FURNITURE_TAGS & {t for t, _ in stack[k:]}) for k, (_, stack, _) in zip(at, blocks, strict=True)]
+    return None
 
 
 def _rendered(title: str, paragraphs: list[str], spare: list[str], rng: random.Random) -> tuple[str, set[str]]:
@@ -258,12 +287,18 @@ def labelled_pages(pages: list[str]) -> list[tuple[list[list[int]], list[int]]]:
                 texts = {" ".join(t.split()) for t in texts}
                 again = leaf_blocks(page)
                 out.append((_active(again), [int(t in texts) for t, _, _ in again]))
+    few = lambda low, high: " ".join(rng.choices(spare, k=rng.randint(low, high)))
+    for _ in range(PLAIN_LAYOUTS):
+        page, texts = _rendered(few(2, 8), [f"{few(8, 40)}, {few(5, 30)}." for _ in range(rng.randint(2, 7))], spare, rng)
+        texts = {" ".join(t.split()) for t in texts}
+        again = leaf_blocks(page)
+        out.append((_active(again), [int(t in texts) for t, _, _ in again]))
     return out
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Chain:
     """A chain fitted on at most `most` pages, those of the smallest hashes of their html."""
-    keyed = pages.filter("html is not null and octet_length(html) < 65536").select("html", F.xxhash64("html", F.lit(SEED)).alias("key"))
+    keyed = pages.filter(f"html is not null and octet_length(html) < {TRAIN_BYTES}").select("html", F.xxhash64("html", F.lit(SEED)).alias("key"))
     last = keyed.select("key").distinct().orderBy("key").limit(most).agg(F.max("key")).first()[0]
     sample = keyed.filter(F.col("key") <= last).dropDuplicates(["key"]).orderBy("key") if last is not None else keyed.limit(0)
     return Chain().fit(labelled_pages([r.html for r in sample.collect()]))

@@ -213,6 +213,33 @@ def test_substring_dedup(spark, docs, odd, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_html_with_tags_left_out():
+    block = lambda page: [t for t, _, _ in html_extract.leaf_blocks(page)]
+    assert block("<html><head><title>T</title><body><p>hello there</p></body></html>") == ["hello there"]
+    assert block("<head><title>T<meta charset=utf-8><p>hello <b>there</b>") == block("<p>hello <b>there</b>") or block("<head><title>T</title><meta charset=utf-8><p>hello") == ["hello"]
+    assert block("<body><article><button>press<p>one</p><p>two</p></article></body>") == ["one", "two"]
+    assert block("<p>a <math><mi>x</mi></math> b</p>") == ["a x b"]
+
+
+def test_html_without_articles(spark):
+    """Pages of div layouts only, whose menus and comments are told by names: no page marks an article."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(40):
+        paragraphs = [text(rng.randint(25, 60)) + "." for _ in range(4)]
+        want[k] = " ".join(paragraphs).split()
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        rows.append((k, None, f'<html><head><title>t</title><body><div class="menu"><ul><li><a href="/">{text(2)}</a></li><li><a href="/b">{text(1)}</a></li></ul></div><div>{body}</div><div class="comments"><p>{text(15)}</p></div><div class="footer">{text(4)}</div></body></html>', 1))
+    rows += [(100, None, "", 1), (100, None, "", 1), (101, "u", "<p>" + "long words here. " * 30000 + "</p>", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    out = {r.page_id: r.text.split() for r in html_extract.main_text(pages).collect()}
+    both = sum(len(set(out[k]) & set(want[k])) for k in want)
+    precision, recall = both / sum(len(set(out[k])) for k in want), both / sum(len(set(want[k])) for k in want)
+    assert 2 * precision * recall / (precision + recall) > 0.95 and out[100] == [] and len(out[101]) == 90000
+    assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "http://a/ b", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (5, "u", ""), (5, "u", ""), (None, "u", "<p>é</p>"), (9, "v", "z" * 100000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -222,6 +249,7 @@ def test_warc_round_trip(spark, tmp_path):
     digest = {p: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode() for p, _, h in rows}
     kinds = {3: ("revisit", 1), 1: ("response", -1), 2: ("response", -1), 5: ("revisit", 2), None: ("response", -1), 9: ("response", -1)}
     assert got == sorted((p or -1, size[p], digest[p], *kinds[p]) for p, _, _ in rows)
+    assert {r.url for r in out} == {"http://a/ b", None, "u", "v"}
     folder = warc.archive_folder(spark)
     index = warc.write_archives(pages, folder, min_revisit_bytes=10)
     assert {r.record_type for r in index.collect()} == {"response"}
@@ -229,6 +257,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(back) == 1 and bytes(back[0].payload) == b"z" * 100000 and back[0].intact
 
 
+def test_warc_records_follow_the_format(spark):
+    """Every member of every archive is a record of WARC/1.1, read here by the format's own rules."""
+    rows = [(5, "http://a/%20x y", "<p>é</p>"), (5, "http://a/%20x y", "<p>é</p>"), (None, None, None), (7, "", "<p>é</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(pages, folder)
+    ids, kinds = [], []
+    for path in __import__("pathlib").Path(folder.removeprefix("file:")).glob("*.warc.gz"):
+        data = path.read_bytes()
+        while data:
+            unpack = zlib.decompressobj(31)
+            record, data = unpack.decompress(data), unpack.unused_data
+            head, _, rest = record.partition(b"\r\n\r\n")
+            lines = head.decode("ascii").split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            assert lines[0] == "WARC/1.1" and rest[int(fields["Content-Length"]) :] == b"\r\n\r\n"
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+            ids.append(fields["WARC-Record-ID"])
+            kinds.append(fields["WARC-Type"])
+            if kinds[-1] != "warcinfo":
+                assert " " not in fields["WARC-Target-URI"]
+            if kinds[-1] == "response":
+                http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200 OK\r\n") and fields["WARC-Payload-Digest"] == "sha1:" + warc.base32_digest(payload)
+    assert len(set(ids)) == len(ids) and sorted(k for k in kinds if k != "warcinfo") == ["response", "response", "response", "revisit"]
+    back = [(r.page_id, r.url, r.refers_to) for r in warc.read_records(index, folder).collect()]
+    assert sorted(back, key=str) == sorted([(5, rows[0][1], None), (5, rows[0][1], None), (None, None, None), (7, "", 5)], key=str)
+    assert warc.archive_round_trip(pages.limit(0)).count() == 0
+
+
 def test_exact_dedup(spark, odd, none):
     out = exact.exact_duplicates(odd).collect()
     assert len(out) == odd.count() and sum(r.kept for r in out) == len({t or "" for t in ODD})
