@@ -116,12 +116,13 @@ def frame_index(files: DataFrame, file: str = "file_idx", count: str = "n") -> D
 def grid_from_positions(frames: DataFrame, n_rows: int, n_cols: int, order: str = "gi") -> DataFrame:
     """Cells from measured positions: lattice indices of y and x, flipped where they fall with the frame number.
 
-    The signs come from correlations, one aggregate over the scan; a constant correlates 0.
+    The signs come from correlations, one aggregate over the scan; a constant, or float noise
+    below a billionth, correlates 0.
     """
     signs = frames.agg(F.coalesce(F.nanvl(F.corr(order, "y_um"), F.lit(0.0)), F.lit(0.0)).alias("_sy"), F.coalesce(F.nanvl(F.corr("within_idx", "x_um"), F.lit(0.0)), F.lit(0.0)).alias("_sx"))
     rows = snap_to_lattice(frames, "y_um", n_rows).withColumnRenamed("index", "row")
     cells = snap_to_lattice(rows, "x_um", n_cols).withColumnRenamed("index", "col").crossJoin(F.broadcast(signs))
-    flipped = lambda c, n, s: F.when(F.col(s) < 0, n - 1 - F.col(c)).otherwise(F.col(c))
+    flipped = lambda c, n, s: F.when(F.round(F.col(s), 9) < 0, n - 1 - F.col(c)).otherwise(F.col(c))
     return cells.withColumn("row", flipped("row", n_rows, "_sy")).withColumn("col", flipped("col", n_cols, "_sx")).drop("_sy", "_sx")
 
 

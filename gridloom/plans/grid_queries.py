@@ -238,7 +238,7 @@ def local_maximum(spark, sf_dir):
 @register("e13_grid_from_positions", oracle("""
 WITH q AS (SELECT quantile_cont(x_um, 0.002) AS x0, quantile_cont(x_um, 0.998) AS x1, quantile_cont(y_um, 0.002) AS y0, quantile_cont(y_um, 0.998) AS y1, corr(gi, y_um) AS sy, corr(within_idx, x_um) AS sx FROM frames),
 c AS (SELECT gi, greatest(0, least(199, round_even((y_um - y0) / (y1 - y0) * 199, 0)))::BIGINT AS row, greatest(0, least(50, round_even((x_um - x0) / (x1 - x0) * 50, 0)))::BIGINT AS col, sx, sy FROM frames, q)
-SELECT gi, CASE WHEN sy < 0 THEN 199 - row ELSE row END AS row, CASE WHEN round(sx, 9) < 0 THEN 50 - col ELSE col END AS col FROM c""", "frames"))
+SELECT gi, CASE WHEN round(sy, 9) < 0 THEN 199 - row ELSE row END AS row, CASE WHEN round(sx, 9) < 0 THEN 50 - col ELSE col END AS col FROM c""", "frames"))
 def grid_from_positions(spark, sf_dir):
     return grid.grid_from_positions(A.frames(spark, sf_dir), 200, 51).select("gi", "row", "col")
 

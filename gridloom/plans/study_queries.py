@@ -83,10 +83,10 @@ def tracked(spark, sf_dir) -> DataFrame:
     return A.features(spark, sf_dir).withColumn("track", F.concat_ws(":", "reflection", F.col("prow").cast("string"), F.col("pcol").cast("string")))
 
 
-@register("e9_unwrap", oracle(f"WITH {TRACK}, {UNWRAP} SELECT feature_id, round(cu, 5) AS chi_deg_unwrapped, round(sa, 5) AS chi_deg_step FROM uw", "features"))
+@register("e9_unwrap", oracle(f"WITH {TRACK}, {UNWRAP} SELECT feature_id, round(cu, 5) + 0.0::DOUBLE AS chi_deg_unwrapped, round(sa, 5) AS chi_deg_step FROM uw", "features"))
 def unwrap(spark, sf_dir):
     out = study.unwrapped(tracked(spark, sf_dir), "chi_deg", ["track"], ["theta", "feature_id"])
-    return out.select("feature_id", F.round("chi_deg_unwrapped", 5).alias("chi_deg_unwrapped"), F.round("chi_deg_step", 5).alias("chi_deg_step"))
+    return out.select("feature_id", (F.round("chi_deg_unwrapped", 5) + F.lit(0.0)).alias("chi_deg_unwrapped"), F.round("chi_deg_step", 5).alias("chi_deg_step"))
 
 
 SUMMARY = f"""{TRACK}, {UNWRAP}, md AS (SELECT track, avg(center_row) AS mr, avg(center_col) AS mc FROM tk GROUP BY track), ts AS (SELECT track, avg(center_row) AS row, avg(center_col) AS col, sqrt(avg((center_row - mr) * (center_row - mr) + (center_col - mc) * (center_col - mc))) AS rms_drift,
@@ -261,7 +261,7 @@ def q_summary(spark, sf_dir):
     return h.agg(F.count("*").alias("voxels"), F.round(F.count("*") / 120, 6).alias("fill"), F.round(F.sum("intensity"), 4).alias("total"), F.round(F.max("intensity"), 5).alias("peak"))
 
 
-@register("j9_recover_geometry", oracle("SELECT round(-0.5, 3) AS beam_row, round(-0.5, 3) AS beam_col, round(20.0, 3) AS distance, count(*) AS n FROM tth_pixels", "tth_pixels"))
+@register("j9_recover_geometry", oracle("SELECT (-0.5)::DOUBLE AS beam_row, (-0.5)::DOUBLE AS beam_col, 20.0::DOUBLE AS distance, count(*) AS n FROM tth_pixels", "tth_pixels"))
 def geometry(spark, sf_dir):
     p = A.tth_pixels(spark, sf_dir)
     row, col, dist = qspace.recover_geometry(p, (0.0, 0.0, 15.0), 0.5)
@@ -297,15 +297,15 @@ def profiles(spark, sf_dir):
     return p.select("gi", "y", "x", F.round(S.gaussian(x, F.lit(3.5), F.lit(2.0), F.lit(3.0), F.lit(1.0)), 6).alias("gauss"), F.round(S.pseudo_voigt(x, F.lit(3.5), F.lit(1.5), F.lit(0.8)), 6).alias("voigt"))
 
 
-@register("d13_trigger_averages", oracle("WITH m AS (SELECT trigger, avg(c0) AS a, avg(c1) AS b, avg(c2) AS c, count(*) AS n FROM samples GROUP BY trigger), o AS (SELECT *, row_number() OVER (ORDER BY trigger) AS k FROM m) SELECT trigger, round(-sqrt((a - a0) * (a - a0) + (c - c0) * (c - c0)), 6) AS x_um, round(b - b0, 4) AS y_um, n FROM o, (SELECT a AS a0, b AS b0, c AS c0 FROM o WHERE k = 2) WHERE k > 1", "samples"))
+@register("d13_trigger_averages", oracle("WITH m AS (SELECT trigger, avg(c0) AS a, avg(c1) AS b, avg(c2) AS c, count(*) AS n FROM samples GROUP BY trigger), o AS (SELECT *, row_number() OVER (ORDER BY trigger) AS k FROM m) SELECT trigger, round(0 - sqrt((a - a0) * (a - a0) + (c - c0) * (c - c0)), 6) + 0.0::DOUBLE AS x_um, round(b - b0 + 1e-8::DOUBLE, 4) AS y_um, n FROM o, (SELECT a AS a0, b AS b0, c AS c0 FROM o WHERE k = 2) WHERE k > 1", "samples"))
 def trigger_averages(spark, sf_dir):
-    """Positions from samples: means per trigger, the first dropped, origin at the first kept."""
+    """Positions from samples: means per trigger, the first dropped, origin at the first kept. Half steps round up in any order of sums."""
     m = A.samples(spark, sf_dir).groupBy("trigger").agg(F.avg("c0").alias("a"), F.avg("c1").alias("b"), F.avg("c2").alias("c"), F.count("*").alias("n"))
     first = m.agg(F.min("trigger").alias("_t"))
     kept = m.crossJoin(F.broadcast(first)).filter("trigger > _t")
     origin = kept.agg(*[F.min_by(x, "trigger").alias(f"{x}0") for x in ("a", "b", "c")])
     d = lambda x: F.col(x) - F.col(f"{x}0")
-    return kept.crossJoin(F.broadcast(origin)).select("trigger", F.round(-F.sqrt(d("a") ** 2 + d("c") ** 2), 6).alias("x_um"), F.round(d("b"), 4).alias("y_um"), "n")
+    return kept.crossJoin(F.broadcast(origin)).select("trigger", (F.round(F.lit(0.0) - F.sqrt(d("a") ** 2 + d("c") ** 2), 6) + F.lit(0.0)).alias("x_um"), F.round(d("b") + 1e-8, 4).alias("y_um"), "n")
 
 
 @register("b8_chi_range", oracle("SELECT feature_id FROM features WHERE chi_deg IS NULL OR CASE WHEN chi_deg < 120 THEN chi_deg + 360 ELSE chi_deg END BETWEEN 120 AND 240", "features"))
