@@ -214,12 +214,13 @@ def covered(spark, sf_dir):
     return spatial.covered(fine, coarse, ["label", "cr", "cc"]).select("id")
 
 
-@register("c11_matched_at_all_sizes", oracle(f"WITH {UNIQUE}, k AS (SELECT brow // 5 AS r, bcol // 5 AS c, label, x // 40 AS bx, y // 40 AS yb, scan, arg_max(id, row(snr, -id)) AS id FROM pk WHERE scan <= 3 GROUP BY ALL) SELECT r, c, label, bx, yb, count(*) AS n, min(id) AS least FROM k GROUP BY ALL HAVING count(*) = 3", "peaks"))
+@register("c11_matched_at_all_sizes", oracle(f"WITH {UNIQUE}, k AS (SELECT brow // 5 AS r, bcol // 5 AS c, label, x // 40 AS bx, y // 40 AS yb, scan, arg_max(id, row(snr, -id)) AS id FROM pk GROUP BY ALL) SELECT r, c, label, bx, yb, count(*) AS n, min(id) AS least FROM k GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT scan) FROM pk)", "peaks"))
 def all_sizes(spark, sf_dir):
-    p = unique_peaks(spark, sf_dir).filter("scan <= 3")
+    p = unique_peaks(spark, sf_dir)
+    scans = p.agg(F.countDistinct("scan").alias("scans"))
     keys = [F.expr("brow div 5").alias("r"), F.expr("bcol div 5").alias("c"), "label", F.expr("x div 40").alias("bx"), F.expr("y div 40").alias("yb")]
     best = p.groupBy(*keys, "scan").agg(F.max_by("id", F.struct("snr", -F.col("id"))).alias("id"))
-    return best.groupBy("r", "c", "label", "bx", "yb").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n = 3")
+    return best.groupBy("r", "c", "label", "bx", "yb").agg(F.count("*").alias("n"), F.min("id").alias("least")).crossJoin(F.broadcast(scans)).filter("n = scans").drop("scans")
 
 
 @register("c12_label_recall", oracle(f"WITH {UNIQUE} SELECT scan, count(*) AS n, count_if(EXISTS (SELECT 1 FROM pk b WHERE b.scan = 1 AND b.brow = a.brow AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64)) AS hit FROM pk a WHERE scan <> 1 GROUP BY scan", "peaks"))

@@ -45,19 +45,22 @@ def is_recreated(spark: SparkSession, path: str, marker: str = "# recreated") ->
     return spark.read.text(path, wholetext=True).select(F.lower("value").startswith(marker).alias("recreated"))
 
 
-def read_peaks(spark: SparkSession, path: str) -> DataFrame:
-    """Peaks of {"peaks_by_bin": {"r_c": [...]}} files, one row a peak with its cell and place in the list."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"peaks_by_bin map<string,{PEAK}>").alias("j"))
-    flat = raw.select(F.explode("j.peaks_by_bin").alias("key", "peaks")).select("key", F.posexplode("peaks").alias("peak_idx", "p"))
+def read_peaks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Peaks of {"peaks_by_bin": {"r_c": [...]}} texts, a file or (lines) a line each, one row a peak with its cell and place in the list."""
+    raw = spark.read.text(path, wholetext=not lines)
+    keep = [c for c in raw.columns if c != "value"]
+    raw = raw.select(*keep, F.from_json("value", f"peaks_by_bin map<string,{PEAK}>").alias("j"))
+    flat = raw.select(*keep, F.explode("j.peaks_by_bin").alias("key", "peaks")).select(*keep, "key", F.posexplode("peaks").alias("peak_idx", "p"))
     cell = F.split("key", "_")
-    return flat.select(cell[0].try_cast("int").alias("brow"), cell[1].try_cast("int").alias("bcol"), "peak_idx", "p.*")
+    return flat.select(*keep, cell[0].try_cast("int").alias("brow"), cell[1].try_cast("int").alias("bcol"), "peak_idx", "p.*")
 
 
-def peak_json(peaks: DataFrame) -> DataFrame:
-    """The same as JSON text: one row of {"peaks_by_bin": ...} per scan."""
+def peak_json(peaks: DataFrame, rows_per_text: int = 8) -> DataFrame:
+    """The same as JSON text: a {"peaks_by_bin": ...} per scan and block of bin rows, so that no text grows with its scan."""
     fields = [c for c in ("x", "y", "snr", "label", "intensity") if c in peaks.columns]
     cells = peaks.groupBy("scan", "brow", "bcol").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("p"))
-    keyed = cells.groupBy("scan").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat_ws("_", F.col("brow").cast("string"), F.col("bcol").cast("string")), "p")))).alias("peaks_by_bin"))
+    key = F.concat_ws("_", F.col("brow").cast("string"), F.col("bcol").cast("string"))
+    keyed = cells.groupBy("scan", F.floor(F.col("brow") / rows_per_text).alias("block")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "p")))).alias("peaks_by_bin"))
     return keyed.select("scan", F.to_json(F.struct("peaks_by_bin")).alias("value"))
 
 
