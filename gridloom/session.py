@@ -16,12 +16,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is read from the session. Only where the cluster names none, as in tests
-    on one machine, a temporary folder takes its place.
+    It is read from the session. Only a session on one machine, as in tests, may name
+    none; a temporary folder takes its place there.
     """
     sc = spark.sparkContext
     path = sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-gridloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
