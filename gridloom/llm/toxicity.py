@@ -100,8 +100,8 @@ def log_odds(counts: DataFrame, n1: int, n0: int) -> DataFrame:
 def karlin(scores: np.ndarray, probs: np.ndarray) -> tuple[float, float]:
     """lambda and K of the extreme-value law of segment scores of independent words.
 
-    lambda solves E[exp(lambda s)] = 1; K is the usual first-order value
-    lambda * E[s exp(lambda s)] * (1 - sum of exp(lambda s) below 0) kept within (0, 1].
+    lambda solves E[exp(lambda s)] = 1. K is an approximation, lambda * |E[s]| * P(s > 0) kept
+    within (0, 1], so e-values rank passages; their level is set by the label rates.
     """
     low, high = 1e-6, 1.0
     value = lambda x: float(np.dot(probs, np.exp(x * scores))) - 1
