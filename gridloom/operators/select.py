@@ -81,3 +81,15 @@ def variant_name(base: Column, sensitivity: Column, row_noise: Column) -> Column
     """Name of a frozen variant: base, sensitivity with p for the point, and nr where row noise is off."""
     sens = F.regexp_replace(F.format_string("%.1f", sensitivity), r"\.", "p")
     return F.concat(base, F.lit("__sens"), sens, F.when(row_noise, F.lit("")).otherwise(F.lit("__nr")))
+
+
+def clipped_window(y: Column, x: Column, half: int, rows: int, cols: int) -> Column:
+    """Bounds y0, y1, x0, x1 (both ends inside) of the window around a place, clipped to the frame."""
+    low = lambda c: F.greatest(c - half, F.lit(0)).cast("bigint")
+    high = lambda c, n: F.least(c + half, F.lit(n - 1)).cast("bigint")
+    return F.struct(low(y).alias("y0"), high(y, rows).alias("y1"), low(x).alias("x0"), high(x, cols).alias("x1"))
+
+
+def summed_frames(images: DataFrame, chosen: DataFrame, frame: str = "gi") -> DataFrame:
+    """Pixel sums over the frames chosen for each gallery; chosen has gallery and frame."""
+    return images.join(chosen.select("gallery", frame).distinct(), frame).groupBy("gallery", "y", "x").agg(F.sum("v").alias("v"), F.count("*").alias("n_frames"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import report, select
 from gridloom.plans.registry import register
-from gridloom.plans.study_queries import TRACK, r6, tracked
+from gridloom.plans.study_queries import QMAP, TRACK, qmap, r6, tracked
 from gridloom.sources import adapters as A
 
 oracle = A.oracle
@@ -230,3 +230,24 @@ def records_by_size(spark, sf_dir):
     size = F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("bin_size")
     rows = A.peaks(spark, sf_dir).select("*", size).groupBy("bin_size", "label", F.expr("brow div bin_size").alias("r"), F.expr("bcol div bin_size").alias("c"), "x", "y").agg(F.max("intensity").alias("intensity"), F.max("snr").alias("snr"))
     return rows.groupBy("bin_size", "label").agg(F.count("*").alias("n"), F.round(F.avg("intensity"), 4).alias("intensity"), F.round(F.avg("snr"), 6).alias("snr"))
+
+
+@register("b11_clipped_window", oracle("SELECT gi, label, greatest(gi % 8 - 2, 0)::BIGINT AS y0, least(gi % 8 + 2, 7)::BIGINT AS y1, greatest(gi % 5 - 2, 0)::BIGINT AS x0, least(gi % 5 + 2, 7)::BIGINT AS x1, round(sum(v), 5) AS total FROM pixels WHERE abs(y - gi % 8) <= 2 AND abs(x - gi % 5) <= 2 GROUP BY gi, label", "pixels"))
+def clipped_window(spark, sf_dir):
+    p = A.pixels(spark, sf_dir).withColumn("w", select.clipped_window(F.col("gi") % 8, F.col("gi") % 5, 2, 8, 8))
+    return p.filter("y between w.y0 and w.y1 and x between w.x0 and w.x1").groupBy("gi", "label", "w.y0", "w.y1", "w.x0", "w.x1").agg(F.round(F.sum("v"), 5).alias("total"))
+
+
+@register("d59_qmap_summary", oracle(f"WITH {QMAP} SELECT gi % 4 AS scan, round(min(qx), 6) AS qx_min, round(max(qx), 6) AS qx_max, round(min(qz), 6) AS qz_min, round(max(qz), 6) AS qz_max, count(*) AS n FROM qm GROUP BY gi % 4", "pixels"))
+def qmap_summary(spark, sf_dir):
+    q = qmap(spark, sf_dir)
+    ends = [F.round(f(c), 6).alias(f"{c}_{name}") for c in ("qx", "qz") for f, name in ((F.min, "min"), (F.max, "max"))]
+    return q.groupBy((F.col("gi") % 4).alias("scan")).agg(*ends, F.count("*").alias("n"))
+
+
+@register("d63_summed_frames", oracle("SELECT label AS gallery, y, x, round(sum(v), 5) + 0.0::DOUBLE AS v, count(*) AS n_frames FROM pixels WHERE gi % 3 > 0 GROUP BY ALL", "pixels"))
+def summed_frames(spark, sf_dir):
+    """Sum images of the frames chosen for each gallery."""
+    p = A.pixels(spark, sf_dir)
+    chosen = p.filter("gi % 3 > 0").select(F.col("label").alias("gallery"), "gi")
+    return select.summed_frames(p.drop("label"), chosen).withColumn("v", F.round("v", 5) + F.lit(0.0))
