@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from gridloom.session import cut
 
-#: Edges that one task of a round takes. In one partition Spark needs no shuffle for the round.
+#: Edges that one task of a round takes. A round over one partition needs no shuffle.
 ROWS_PER_TASK = 500_000
 
 
+def _ends(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """u, v: every edge in both directions."""
+    there = F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    back = F.struct(F.col(b).alias("u"), F.col(a).alias("v"))
+    return edges.select(F.explode(F.array(there, back)).alias("e")).select("e.u", "e.v")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (the least node reachable) for every node of an undirected edge table.
 
@@ -25,12 +32,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     cur = cut(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = (cur.count(),)
     while True:
-        cur = cur.coalesce(max(1, -(-seen[0] // ROWS_PER_TASK)))
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = max(1, -(-seen[0] // ROWS_PER_TASK))
+        cur = cur.coalesce(tasks)
+        both = _ends(cur, "u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if tasks == 1:
+            large = large.coalesce(1)  # a join hides from Spark that its rows are in one partition
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         cur = cut(small.select("e.u", "e.v").filter("u <> v").distinct())
         state = tuple(cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen:
