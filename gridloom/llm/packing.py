@@ -78,12 +78,12 @@ _LOWER = np.array([ord(chr(c).lower()) for c in range(256)], dtype=np.uint8)
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """starts and ends of the words that SPLIT finds in lower-case Latin-1 bytes that end in a space."""
+    data = np.append(data, np.full(2, ord(" "), dtype=np.uint8))  # every quote has three bytes after it
     kind = _KIND[data]
     before = np.append(SPACE, kind[:-1])
     start = (kind == DIGIT) | ((kind != SPACE) & (kind != before))
     quotes = np.flatnonzero((data == ord("'")) & start)
     if len(quotes):  # a quote that starts a word takes the ending of a contraction with it
-        quotes = quotes[quotes + 3 < len(data)]
         one, two = data[quotes + 1], data[quotes + 2]
         short, long = np.zeros(len(quotes), dtype=bool), np.zeros(len(quotes), dtype=bool)
         for c in SHORT:
@@ -253,9 +253,9 @@ def _sweep(capacity: int):
             sizes.clear(), free.clear(), left.clear()
 
         def frame() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["span", "role", "id", "size", "seq", "off", "room", "idx"])
+            out = pd.DataFrame(rows, columns=["span", "role", "id", "size", "seq", "off", "room", "idx"], dtype=object)
             rows.clear()
-            return out.astype({"seq": "Int64", "off": "Int32", "room": "Int32", "idx": "Int64"})
+            return out.astype({"id": "int64", "seq": "Int64", "off": "Int32", "room": "Int32", "idx": "Int64"})
 
         for pdf in frames:
             for span, is_item, ident, size in zip(pdf.span.tolist(), pdf.is_item.tolist(), pdf.id.tolist(), pdf["size"].tolist(), strict=True):
