@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
 from datetime import UTC, datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,16 @@ INDEX = "page_id bigint, url string, digest string, record_type string, refers_t
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary, intact boolean"
 
 
+KINDS = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch of the schema; integers keep all digits beside nulls."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = [pa.array([r[i] for r in rows], KINDS[kind]) for i, (_, kind) in enumerate(fields)]
+    return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+
+
 def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -57,7 +68,7 @@ def format_record(page_id, url: str | None, payload: bytes, digest: str, refers_
     Record ids are new for every record, as page_ids may repeat or be null; page_id and
     refers_to travel in extension fields, and so does a url that is null or no URI as it is.
     """
-    name = None if page_id is None or pd.isna(page_id) else int(page_id)
+    name = None if page_id is None else int(page_id)
     revisit = refers_to is not None
     uri = _uri(url or "") or f"urn:page:{name}"
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{uuid.uuid4().urn}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}")]
@@ -98,13 +109,13 @@ def _filesystem(uri: str):
 
 
 def _write(folder: str, level: int, max_archive_bytes: int, date: str):
-    def run(frames):
+    def run(batches):
         fs, base = _filesystem(folder)
         name, sink, at = None, None, 0
         try:
-            for pdf in frames:
+            for batch in batches:
                 rows = []
-                for page, url, html, refers in zip(pdf.page_id, pdf.url, pdf.html, pdf.refers_to, strict=True):
+                for page, url, html, refers in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                     if sink is None or at >= max_archive_bytes:
                         if sink is not None:
                             sink.close()
@@ -113,13 +124,12 @@ def _write(folder: str, level: int, max_archive_bytes: int, date: str):
                         sink.write(info)
                     payload = (html or "").encode()
                     digest = base32_digest(payload)
-                    refers = None if pd.isna(refers) else int(refers)
                     raw = _packed(format_record(page, url, payload, digest, refers, date), level)
                     sink.write(raw)
                     rows.append((page, url, digest, "response" if refers is None else "revisit", refers, name, at, len(raw)))
                     at += len(raw)
                 if rows:
-                    yield pd.DataFrame(rows, columns=["page_id", "url", "digest", "record_type", "refers_to", "file", "offset", "length"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield _batch(rows, INDEX)
         finally:
             if sink is not None:
                 sink.close()
@@ -142,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, le
     typed = rows.join(owners, "sha", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("owner"), F.col("owner")))
     chosen = typed.select("page_id", "url", "html", "refers_to")
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    return cut(chosen.mapInPandas(_write(folder, level, max_archive_bytes, date), INDEX))
+    return cut(chosen.mapInArrow(_write(folder, level, max_archive_bytes, date), INDEX))
 
 
 def _ranges(rows: list, gap: int, most: int):
@@ -164,26 +174,26 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True, gap:
     neighbouring records. payload is null for revisits or without with_payload.
     """
 
-    def run(frames):
+    def run(batches):
         fs, base = _filesystem(folder)
-        for pdf in frames:
+        for batch in batches:
             out = []
-            for file, part in pdf.groupby("file", sort=False):
+            for file, part in itertools.groupby(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True), key=lambda row: row[0]):
                 with fs.open_input_file(f"{base}/{file}") as source:
-                    for group in _ranges(list(zip(part.file, part.offset.tolist(), part.length.tolist(), strict=True)), gap, most):
+                    for group in _ranges(list(part), gap, most):
                         first = group[0][1]
                         raw = source.read_at(group[-1][1] + group[-1][2] - first, first)
                         for _, at, n in group:
                             record = parse_record(zlib.decompress(raw[at - first : at - first + n], 31))
-                            out.append(record if with_payload else record | {"payload": None})
+                            out.append(list((record if with_payload else record | {"payload": None}).values()))
             if out:
-                yield pd.DataFrame(out).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+                yield _batch(out, RECORDS)
 
     # index rows are tiny, so tasks are sized by the bytes they name
     total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(default_parallelism(index.sparkSession), -(-int(total) // TASK_BYTES))
     order = [F.col("file"), F.col("offset")]
-    return index.select("file", "offset", "length").repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInPandas(run, RECORDS)
+    return index.select("file", "offset", "length").repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, RECORDS)
 
 
 def archive_folder(spark) -> str:
