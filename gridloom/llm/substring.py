@@ -280,7 +280,8 @@ def _removed(n_buckets: int):
                         lost = int(mine.sum())
                         kept = [w for w, x in zip(kept, mine.tolist(), strict=True) if not x]
                     out.append((None if block.null_ids[i] else int(block.ids[i]), b - a, lost, hashlib.sha256(b" ".join(kept)).hexdigest(), b" ".join(kept).decode()))
-                yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]).astype({"doc_id": "Int64"})
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+                yield pd.DataFrame(out, columns=names, dtype=object).astype({"doc_id": "Int64"})  # never floats, which lose digits of ids
 
     return run
 
