@@ -15,7 +15,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,14 +195,10 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 stat = statistic(runs, len(words), model)
                 spans = [{"start": a, "end": b, "score": s, "e_value": e} for a, b, s in runs if (e := model.k * max(1, len(words)) * math.exp(-min(600.0, model.lam * s))) <= MAX_E]
                 rows.append((doc, len(words), stat, _bin(stat), spans))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "stat", "bin", "passages"]).astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_words", "stat", "bin", "passages"])
 
-    def arrow(batches):
-        for pdf in run(batches):
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(pdf[c].tolist() if c == "passages" else pdf[c], k) for c, k in zip(pdf.columns, kinds, strict=True)], list(pdf.columns))
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(arrow, SCANNED)
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))]
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCANNED)
 
 
 def _rates(table: list[tuple[int, int, int]]) -> list[float]:
