@@ -167,7 +167,7 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
     base = rng.integers(-(2**62), 2**62, 60)
     values = np.unique([int(b) ^ (1 << int(k)) for b in base for k in rng.integers(0, 62, 12)])
     monkeypatch.setattr(simhash, "HOT_BUCKET", 4)
-    links = simhash.near_links(spark.createDataFrame([(int(v),) for v in values], "fp long")).collect()
+    links = simhash.near_links(spark.createDataFrame([(0, int(v)) for v in values], "family int, fp long")).collect()
     group = {int(v): int(v) for v in values}
 
     def joined(pairs):
@@ -216,7 +216,8 @@ def test_substring_dedup(spark, docs, odd, none):
 def test_html_with_tags_left_out():
     block = lambda page: [t for t, _, _ in html_extract.leaf_blocks(page)]
     assert block("<html><head><title>T</title><body><p>hello there</p></body></html>") == ["hello there"]
-    assert block("<head><title>T<meta charset=utf-8><p>hello <b>there</b>") == block("<p>hello <b>there</b>") or block("<head><title>T</title><meta charset=utf-8><p>hello") == ["hello"]
+    assert block("<head><title>T</title><meta charset=utf-8><p>hello <b>there</b>") == block("<p>hello <b>there</b>")
+    assert block("<head><title>T</title><meta charset=utf-8><p>hello") == ["hello"]
     assert block("<body><article><button>press<p>one</p><p>two</p></article></body>") == ["one", "two"]
     assert block("<p>a <math><mi>x</mi></math> b</p>") == ["a x b"]
 
