@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import chat, decontam, exact, html_extract, packing, pii, simhash, substring, toxicity, warc
+from gridloom.llm import chat, decontam, exact, html_extract, packing, pieces, pii, simhash, substring, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +110,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokens_and_text(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -127,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
+        "op11_sentencepiece": op11_sentencepiece,
         "pipeline": pipeline,
     }
 
