@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import chat, decontam, divergence, exact, html_extract, packing, pieces, pii, simhash, substring, toxicity, warc
+from gridloom.llm import chat, decontam, divergence, exact, html_extract, negatives, packing, pieces, pii, simhash, substring, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -139,6 +139,23 @@ SELECT lang, source, part, item, value, rank FROM z WHERE part = 'pair' OR rank
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS id, a.label = e.label AS same, list_dot_product(a.q, e.q)::BIGINT AS score
+  FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)::INT AS rank,
+  s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -159,9 +176,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pii": op10_pii,
         "op11_sentencepiece": op11_sentencepiece,
         "op12_source_divergence": op12_source_divergence,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL, "op13_hard_negatives": OP13_SQL}
