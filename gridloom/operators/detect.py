@@ -146,6 +146,28 @@ def label_components(mask: np.ndarray) -> np.ndarray:
         out = best
 
 
+def sparse_components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Component numbers from 0 of pixels given by their places in reading order; side neighbours connect."""
+    n = len(y)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    at = y.astype(np.int64) * (int(x.max()) + 2) + x
+    pairs = []
+    for step in (1, int(x.max()) + 2):
+        to = np.searchsorted(at, at + step)
+        hit = np.flatnonzero((to < n) & (at[np.minimum(to, n - 1)] == at + step))
+        pairs.append((hit, to[hit]))
+    a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    root = np.arange(n)
+    while True:  # hang the larger root under the smaller, then point every pixel at its root
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return np.unique(root, return_inverse=True)[1]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def find_peaks(image: np.ndarray, tth: np.ndarray, ring: np.ndarray, bands: list[tuple[str, float]], d: Detector) -> list[tuple]:
     """(label, x, y, snr, npix, compactness, peak_val, integrated) of one image, strongest first."""
     hat = top_hat(image - radial_background(image, ring, d.smooth), d.hats)
