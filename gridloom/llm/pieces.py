@@ -167,6 +167,7 @@ class PieceEncoder:
         charmap = CharMap(rules.precompiled_charsmap) if rules.precompiled_charsmap else None
         self.normalizer = Normalizer(charmap, user, rules.remove_extra_whitespaces, rules.add_dummy_prefix, proto.trainer_spec.treat_whitespace_as_suffix, rules.escape_whitespaces)
         self.size = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in pieces], dtype=np.int64)
+        self.library = SentencePieceProcessor(model_proto=model)
         plain = ModelProto.FromString(model)
         plain.normalizer_spec.Clear()
         plain.normalizer_spec.name, plain.normalizer_spec.add_dummy_prefix, plain.normalizer_spec.remove_extra_whitespaces = "identity", False, False
@@ -241,9 +242,16 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
+def _texts(library, ids: np.ndarray, upto: np.ndarray) -> list[str]:
+    return [library.decode(ids[a:b].tolist()) if b > a else "" for a, b in itertools.pairwise(upto.tolist())]
+
+
+def encode(docs: DataFrame, model_path: str, with_text: bool = False) -> DataFrame:
     """doc_id, ids, begins and ends of every row of docs: a piece i stands for text bytes begins[i] to ends[i].
 
+    with_text adds decoded, the library's text of the ids, as decode does, without another
+    pass of Python workers.
+
     Ids are those of the library without begin and end ids. Null and empty texts have no
     pieces. Rows that repeat a doc_id are encoded one by one; doc_id may be null. Texts
     may be of any length. Pieces of a character that is spelled in bytes are empty but for
@@ -251,17 +259,19 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     name the model on every executor.
     """
 
+    names = ["doc_id", "ids", "begins", "ends", *["decoded"] * with_text]
+
     def run(batches):
         encoder = _encoders.get(model_path) or _encoders.setdefault(model_path, PieceEncoder(_model(model_path)))
         for batch in batches:
             docs, texts = batch.column(0), texts_of(batch.column(1))
             for a, b in chunked(texts, CHUNK_BYTES):
                 ids, begins, ends, upto = encoder.encode(texts[a:b])
-                upto = pa.array(upto, pa.int32())
-                lists = [pa.ListArray.from_arrays(upto, pa.array(x, pa.int32())) for x in (ids, begins, ends)]
-                yield pa.RecordBatch.from_arrays([docs.slice(a, b - a), *lists], ["doc_id", "ids", "begins", "ends"])
+                lists = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(x, pa.int32())) for x in (ids, begins, ends)]
+                back = [pa.array(_texts(encoder.library, ids, upto), pa.string())] if with_text else []
+                yield pa.RecordBatch.from_arrays([docs.slice(a, b - a), *lists, *back], names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, TOKENS)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, TOKENS + ", decoded string" * with_text)
 
 
 def decode(tokens: DataFrame, model_path: str) -> DataFrame:
@@ -278,8 +288,8 @@ def decode(tokens: DataFrame, model_path: str) -> DataFrame:
         library = SentencePieceProcessor(model_file=model_path)
         for batch in batches:
             ids = batch.column(column)
-            flat, offsets = ids.flatten().to_numpy(), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()))
-            texts = [library.decode(flat[a:b].tolist()) if b > a else "" for a, b in itertools.pairwise(offsets.tolist())]
+            upto = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()))
+            texts = _texts(library, ids.flatten().to_numpy(), upto)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
@@ -287,6 +297,6 @@ def decode(tokens: DataFrame, model_path: str) -> DataFrame:
 
 def tokens_and_text(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_hash (64 bits over begins and ends) of every row."""
-    rows = decode(encode(docs, model_path), model_path)
+    rows = encode(docs, model_path, with_text=True)
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha(F.array_join("ids", ",")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"), F.xxhash64("begins", "ends").alias("spans_hash"))

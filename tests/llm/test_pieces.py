@@ -105,6 +105,8 @@ def test_encode_and_decode_tables(spark, data):
     got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.tokens_and_text(both, PATH).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert pieces.tokens_and_text(both.limit(0), PATH).count() == 0
+    again = [(r.doc_id, sha(r.decoded)) for r in pieces.decode(pieces.encode(both, PATH), PATH).collect()]
+    assert sorted(again, key=str) == sorted([(w[0], w[3]) for w in want], key=str)
 
 
 def test_columns_of_other_names_pass(spark):
