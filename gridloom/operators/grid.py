@@ -12,10 +12,10 @@ def regular_grid(frames: DataFrame, n_cols: int, index: str = "gi") -> DataFrame
     return frames.withColumn("row", row).withColumn("col", F.when(row % 2 == 0, place).otherwise(n_cols - 1 - place))
 
 
-def file_rows(frames: DataFrame, file: str = "file_idx", order: str = "within_idx") -> DataFrame:
-    """One file a row: the column is the frame's rank in its file, reversed on odd files."""
-    rank = F.row_number().over(Window.partitionBy(file).orderBy(order)) - 1
-    n = F.count("*").over(Window.partitionBy(file))
+def file_rows(frames: DataFrame, file: str = "file_idx", order: str = "within_idx", keys: tuple[str, ...] = ()) -> DataFrame:
+    """One file (of the same keys) a row: the column is the frame's rank in its file, reversed on odd files."""
+    rank = F.row_number().over(Window.partitionBy(*keys, file).orderBy(order)) - 1
+    n = F.count("*").over(Window.partitionBy(*keys, file))
     return frames.withColumn("row", F.col(file)).withColumn("col", F.when(F.col(file) % 2 == 0, rank).otherwise(n - 1 - rank))
 
 
@@ -130,10 +130,3 @@ def row_offsets(cells: DataFrame, rank: str = "rank", place: str = "col") -> Dat
     """Per row, the offset of its lattice places from their ranks: the rounded (half to even) median difference."""
     return cells.groupBy("row").agg(F.rint(F.median(F.col(place) - F.col(rank))).cast("bigint").alias("offset"))
 
-
-def choose_source(spark_counts: dict[str, int]) -> str:
-    """Which coordinates to use: positions, else the file layout, else turns, else a raster of frame numbers."""
-    for name in ("positions", "layout", "serpentine", "synthetic"):
-        if spark_counts.get(name, 0) > 0:
-            return name
-    raise ValueError("no frames to lay out")

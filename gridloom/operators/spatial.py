@@ -188,6 +188,32 @@ def serial_match(pairs: DataFrame, later_wins: bool = False) -> DataFrame:
         live = cut(live.join(refused, ["i", "j"], "left_anti"))
 
 
+def expand_seeds(peaks: DataFrame, seeds: DataFrame, tolerance: float = 5.0, reach: int = 10, keys: tuple[str, ...] = ("scan",), ident: str = "id") -> DataFrame:
+    """seed, id, brow, bcol, x, y, snr, step: the peaks that grow from each seed, itself at step 0.
+
+    In every cell within reach of the seed's, the strongest peak of its label within tolerance of the
+    seed on the detector counts (ties: the smaller id). A search goes out from all seeds at
+    once, one ring of neighbouring cells a round, through cells that hold such a peak; it ends when no
+    seed finds another, so a seed keeps what is connected to it. seeds: keys, label, id, brow, bcol, x, y, snr.
+    """
+    slim = [*keys, "label", ident, "brow", "bcol", "x", "y", "snr"]
+    near = distance_join(peaks.select(*slim), seeds.select(*slim), tolerance, (*keys, "label"))
+    apart = F.greatest(F.abs(F.col("brow") - F.col("r_brow")), F.abs(F.col("bcol") - F.col("r_bcol")))
+    near = near.filter((apart > 0) & (apart <= reach)).withColumnRenamed(f"r_{ident}", "seed")
+    best = F.row_number().over(Window.partitionBy("seed", "brow", "bcol").orderBy(F.desc("snr"), ident))
+    cells = cut(near.withColumn("_n", best).filter("_n = 1").select("seed", ident, "brow", "bcol", "x", "y", "snr"))
+    found = cut(seeds.select(F.col(ident).alias("seed"), ident, "brow", "bcol", "x", "y", "snr", F.lit(0).alias("step")))
+    ring, step = found, 0
+    around = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]))
+    while ring.limit(1).count():
+        step += 1
+        beside = ring.select("seed", "brow", "bcol", around.alias("_d")).select("seed", (F.col("brow") + F.col("_d.r")).alias("brow"), (F.col("bcol") + F.col("_d.c")).alias("bcol")).distinct()
+        open_cells = cells.join(found.select("seed", "brow", "bcol"), ["seed", "brow", "bcol"], "left_anti")
+        ring = cut(open_cells.join(beside, ["seed", "brow", "bcol"], "left_semi").withColumn("step", F.lit(step)))
+        found = found.unionByName(ring)
+    return found
+
+
 def covered(fine: DataFrame, coarse: DataFrame, keys: list[str], anti: bool = False) -> DataFrame:
     """fine rows with (or, anti, without) a coarse row in the same keys; repeats stay."""
     return fine.join(coarse.select(*keys).distinct(), keys, "left_anti" if anti else "left_semi")

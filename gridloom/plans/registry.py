@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from gridloom.plans import grid_queries, model_queries, report_queries, spatial_queries, study_queries  # noqa: F401
+    from gridloom.plans import combined_queries, grid_queries, model_queries, report_queries, spatial_queries, study_queries  # noqa: F401

@@ -148,3 +148,29 @@ def test_refinement_and_close_points_equal_a_serial_version(spark):
         if all(g != moved[o][0] or (x - moved[o][1]) ** 2 + (y - moved[o][2]) ** 2 >= 64 for o in kept):
             kept.append(k)
     assert sorted(r.id for r in combined.best_of_close(out, 8.0).collect()) == sorted(kept)
+
+
+def test_seeds_grow_through_connected_cells(spark):
+    from gridloom.operators import spatial
+
+    rng = np.random.default_rng(2)
+    rows = [(k, int(rng.integers(1, 3)), "ab"[int(rng.integers(0, 2))], int(rng.integers(0, 26)), int(rng.integers(0, 26)), float(rng.integers(0, 30)), float(rng.integers(0, 30)), float(rng.integers(1, 9))) for k in range(2500)]
+    peaks = spark.createDataFrame(rows, "id long, scan int, label string, brow int, bcol int, x double, y double, snr double")
+    seeds = [rows[k] for k in (3, 77, 400, 1200)]
+    want = set()
+    for s in seeds:
+        best: dict = {}
+        for p in sorted(rows, key=lambda p: (-p[7], p[0])):
+            if p[1:3] == s[1:3] and math.hypot(p[5] - s[5], p[6] - s[6]) <= 14 and 0 < max(abs(p[3] - s[3]), abs(p[4] - s[4])) <= 10:
+                best.setdefault((p[3], p[4]), p[0])
+        seen, todo = {(s[3], s[4]): (s[0], 0)}, [(s[3], s[4])]
+        while todo:
+            r, c = todo.pop(0)
+            for cell in [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+                if cell in best and cell not in seen:
+                    seen[cell] = (best[cell], seen[r, c][1] + 1)
+                    todo.append(cell)
+        want |= {(s[0], i, step) for i, step in seen.values()}
+    got = spatial.expand_seeds(peaks, peaks.filter(peaks.id.isin([s[0] for s in seeds])), 14.0).collect()
+    assert {(r.seed, r.id, r.step) for r in got} == want and len(got) == len(want) > 20
+    assert spatial.expand_seeds(peaks, peaks.limit(0)).count() == 0
