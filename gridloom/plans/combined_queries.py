@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import combined, image, mapping, regions, spatial, voigt
+from gridloom.operators import batch, combined, grid, image, mapping, regions, spatial, voigt
 from gridloom.plans.grid_queries import _opened
 from gridloom.plans.model_queries import BANDS, TTH
 from gridloom.plans.registry import register
 from gridloom.plans.spatial_queries import PATCH, UNIQUE, patches, unique_peaks
+from gridloom.session import shared_dir
 from gridloom.sources import adapters as A
 
 oracle = A.oracle
@@ -305,3 +308,17 @@ SELECT sp.scan, gi, CASE WHEN serp THEN 'serpentine' ELSE 'file_per_row' END AS
   CASE WHEN serp THEN scol WHEN file_idx % 2 = 0 THEN f.rk ELSE nf - 1 - f.rk END AS col FROM sp JOIN y USING (scan) JOIN f USING (gi)""", "frames"))
 def grid_mapping(spark, sf_dir):
     return mapping.grid_mapping(scan_frames(spark, sf_dir), reach=20, box=20).select("scan", "gi", "coordinate_source", "row", "col")
+
+
+@register("k4_batch_bins", oracle("""
+WITH f AS (SELECT (file_idx // 100)::VARCHAR AS scan, gi, file_idx - file_idx // 100 * 100 AS row, within_idx, file_idx % 2 AS odd, v, count(*) OVER (PARTITION BY file_idx) AS n, row_number() OVER (PARTITION BY file_idx ORDER BY within_idx) - 1 AS rk FROM frames)
+SELECT scan, row // 5 AS brow, (CASE WHEN odd = 0 THEN rk ELSE n - 1 - rk END) // 5 AS bcol, round(sum(v), 5) AS total, count(*) AS n_frames FROM f GROUP BY ALL""", "frames"))
+def batch_bins(spark, sf_dir):
+    """Scans of 100 files laid out and binned one after the other as a resumable batch."""
+    f = A.frames(spark, sf_dir)
+    frames = f.select(F.expr("file_idx div 100").cast("string").alias("scan"), "gi", "file_idx", "within_idx", "x_um", "y_um", F.lit(False).alias("recreated"), "v")
+    scans = [r.scan for r in frames.select("scan").distinct().orderBy("scan").collect()]  # names of scans, a few hundred frames each at least
+    bins = ("bins", lambda scan, done: grid.bin_sum(done["grid"], 5))
+    work = batch.Batch(spark, f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}")
+    work.run(scans, [batch.grid_stage(frames), bins])
+    return work.output("bins").select("scan", "brow", "bcol", F.round("total", 5).alias("total"), "n_frames")

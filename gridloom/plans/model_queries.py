@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import detect, fit, image, study, territory
+from gridloom.plans.grid_queries import _opened
 from gridloom.plans.registry import register
 from gridloom.session import shared_dir
 from gridloom.sources import adapters as A
@@ -44,9 +45,9 @@ def blob_hybrid(spark, sf_dir):
     return detect.detect(_images(spark, sf_dir), TTH, BANDS, _detector(blob_sigmas=(1.0,)))
 
 
-@register("j1_top_hat_kernel", "SELECT vec_id AS gi, 64 AS n FROM embeddings")
-def kernel_size(spark, sf_dir):
-    """The dense and the window form of the top-hat agree on every pixel of every image."""
+@register("j1_top_hat_kernel", oracle(f"SELECT gi, y, x, round(v - o, 6) AS hat FROM {_opened(3)}", "pixels"))
+def kernel_top_hat(spark, sf_dir):
+    """The dense top-hat of every frame, by pixel."""
     def run(frames):
         import pandas as pd
 
@@ -55,8 +56,7 @@ def kernel_size(spark, sf_dir):
             yield pd.DataFrame({"gi": pdf.gi, "hats": hats})
 
     dense = _images(spark, sf_dir).select("gi", "pixels").mapInPandas(run, "gi bigint, hats array<double>").select("gi", F.posexplode("hats").alias("pos", "a"))
-    sparse = image.top_hat(A.pixels(spark, sf_dir), 3).select("gi", (F.col("y") * 8 + F.col("x")).alias("pos"), F.col("hat").alias("b"))
-    return dense.join(sparse, ["gi", "pos"]).groupBy("gi").agg(F.count_if(F.abs(F.col("a") - F.col("b")) < 1e-9).cast("int").alias("n"))
+    return dense.select("gi", F.expr("cast(pos div 8 as bigint)").alias("y"), (F.col("pos") % 8).cast("bigint").alias("x"), F.round("a", 6).alias("hat"))
 
 
 @register("d1_dense_bin_images", oracle("SELECT label, p - 1 AS pos, round(sum(embedding[p]::DOUBLE), 5) AS v, count(*) AS n FROM embeddings, unnest(range(1, 65)) AS r(p) GROUP BY label, p"))

@@ -179,12 +179,17 @@ def mean_offset(spark, sf_dir):
     return r6(report.mean_offset(pairs, ["reflection"]), "dx", "dy", "length")
 
 
-@register("d54_aperture_sums", oracle("""WITH c AS (SELECT DISTINCT gi, gi * 10 + label AS feature_id, 2 + gi % 4 AS cy, 2 + gi % 3 AS cx FROM pixels), b AS (SELECT gi, median(v) AS background FROM pixels GROUP BY gi)
+def brightest_pixels(p: DataFrame) -> DataFrame:
+    best = F.struct("v", -F.col("y"), -F.col("x"))
+    return p.groupBy("gi").agg(F.max(F.col("gi") * 10 + F.col("label")).alias("feature_id"), F.max_by("y", best).alias("cy"), F.max_by("x", best).alias("cx"), F.max("v").alias("top"))
+
+
+@register("d54_aperture_sums", oracle("""WITH c AS (SELECT gi, any_value(gi * 10 + label) AS feature_id, arg_max(y, row(v, -y, -x)) AS cy, arg_max(x, row(v, -y, -x)) AS cx FROM pixels GROUP BY gi), b AS (SELECT gi, median(v) AS background FROM pixels GROUP BY gi)
 SELECT feature_id, gi, round(sum(v - background), 5) AS net, count(*) AS n FROM c JOIN pixels USING (gi) JOIN b USING (gi) WHERE abs(y - cy) <= 2 AND abs(x - cx) <= 2 GROUP BY ALL""", "pixels"))
 def aperture_sums(spark, sf_dir):
+    """Windows around the brightest pixel of every frame."""
     p = A.pixels(spark, sf_dir)
-    centres = p.select("gi", (F.col("gi") * 10 + F.col("label")).alias("feature_id"), (2 + F.col("gi") % 4).alias("cy"), (2 + F.col("gi") % 3).alias("cx")).distinct()
-    return report.aperture_sums(centres, p, 2).withColumn("net", F.round("net", 5))
+    return report.aperture_sums(brightest_pixels(p), p, 2).withColumn("net", F.round("net", 5))
 
 
 @register("d56_component_counts", oracle("SELECT scan, count_if(n_bins = 1) AS n_single, count_if(n_bins > 1) AS n_multi FROM features GROUP BY scan", "features"))
@@ -192,11 +197,15 @@ def component_counts(spark, sf_dir):
     return A.features(spark, sf_dir).groupBy("scan").agg(F.count_if(F.col("n_bins") == 1).alias("n_single"), F.count_if(F.col("n_bins") > 1).alias("n_multi"))
 
 
-@register("d60_footprint_fidelity", oracle("SELECT reflection, round(corr(sum_integrated, mean_intensity * n_bins), 6) AS fidelity, count(*) AS n FROM features GROUP BY reflection", "features"))
+@register("d60_footprint_fidelity", oracle("""WITH c AS (SELECT gi, any_value(label) AS label, arg_max(y, row(v, -y, -x)) AS cy, arg_max(x, row(v, -y, -x)) AS cx, max(v) AS top FROM pixels GROUP BY gi), b AS (SELECT gi, median(v) AS background FROM pixels GROUP BY gi),
+m AS (SELECT gi, any_value(c.label) AS label, any_value(top) AS top, sum(v - background) AS net FROM c JOIN pixels USING (gi) JOIN b USING (gi) WHERE abs(y - cy) <= 1 AND abs(x - cx) <= 1 GROUP BY gi)
+SELECT label, round(corr(net, top), 6) AS fidelity, count(*) AS n FROM m GROUP BY label""", "pixels"))
 def footprint_fidelity(spark, sf_dir):
-    """Correlation of measured sums and stored intensities."""
-    f = A.features(spark, sf_dir)
-    return r6(f.groupBy("reflection").agg(F.corr("sum_integrated", F.col("mean_intensity") * F.col("n_bins")).alias("fidelity"), F.count("*").alias("n")), "fidelity")
+    """Correlation of net sums measured around each frame's brightest pixel with its stored intensity, by label."""
+    p = A.pixels(spark, sf_dir)
+    stored = brightest_pixels(p)
+    both = report.aperture_sums(stored, p, 1).join(stored.select("gi", "top"), "gi").join(p.select("gi", "label").distinct(), "gi")
+    return r6(both.groupBy("label").agg(F.corr("net", "top").alias("fidelity"), F.count("*").alias("n")), "fidelity")
 
 
 @register("g1_union_of_catalogs", oracle("SELECT scan, source, count(*) AS n, round(sum(intensity), 2) AS total FROM (SELECT scan::VARCHAR AS scan, 'peaks' AS source, intensity FROM peaks UNION ALL SELECT scan, 'features', peak_intensity FROM features) GROUP BY ALL", "peaks", "features"))

@@ -108,14 +108,14 @@ def nearest(spark, sf_dir):
     return spatial.nearest_label(A.tth_pixels(spark, sf_dir), A.reflections(spark, sf_dir), 1.0).select("gi", "y", "x", "nearest")
 
 
-@register("c17_nearest_neighbours", oracle(f"WITH {UNIQUE}, p AS (SELECT scan, brow, id, x, y FROM pk), d AS (SELECT a.scan, a.brow, a.id, b.id AS r_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.scan = b.scan AND a.brow = b.brow AND a.id <> b.id) SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, r_id) AS rank FROM d WHERE d <= 10 QUALIFY rank <= 3", "peaks"))
+@register("c17_nearest_neighbours", oracle(f"WITH {UNIQUE}, p AS (SELECT scan, brow, id, x, y FROM pk), d AS (SELECT a.scan, a.brow, a.id, b.id AS r_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.scan = b.scan AND a.brow = b.brow AND a.id <> b.id) SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, r_id) AS rank FROM d QUALIFY rank <= 3", "peaks"))
 def knn(spark, sf_dir):
-    return spatial.nearest_neighbours(unique_peaks(spark, sf_dir), 3, 10.0, ("scan", "brow"), within=10.0)
+    return spatial.nearest_neighbours(unique_peaks(spark, sf_dir), 3, 10.0, ("scan", "brow"))
 
 
-@register("d47_median_step", oracle(f"WITH {UNIQUE}, d AS (SELECT a.scan, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM pk a JOIN pk b ON a.scan = b.scan AND a.brow = b.brow AND a.id <> b.id GROUP BY a.scan, a.id) SELECT scan, round(median(d), 6) AS step FROM d WHERE d > 0 AND d <= 10 GROUP BY scan", "peaks"))
+@register("d47_median_step", oracle(f"WITH {UNIQUE}, d AS (SELECT a.scan, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM pk a JOIN pk b ON a.scan = b.scan AND a.brow = b.brow AND a.id <> b.id GROUP BY a.scan, a.id) SELECT scan, round(median(d), 6) AS step FROM d WHERE d > 0 GROUP BY scan", "peaks"))
 def median_step(spark, sf_dir):
-    return spatial.nearest_neighbours(unique_peaks(spark, sf_dir), 1, 10.0, ("scan", "brow"), within=10.0).filter("d > 0").groupBy("scan").agg(F.round(F.median("d"), 6).alias("step"))
+    return spatial.nearest_neighbours(unique_peaks(spark, sf_dir), 1, 10.0, ("scan", "brow")).filter("d > 0").groupBy("scan").agg(F.round(F.median("d"), 6).alias("step"))
 
 
 RANKED = f"{UNIQUE}, rk AS (SELECT *, row_number() OVER (PARTITION BY scan, brow ORDER BY snr DESC, id) AS rank FROM pk)"

@@ -268,11 +268,12 @@ def geometry(spark, sf_dir):
     return p.agg(F.lit(round(row, 3)).alias("beam_row"), F.lit(round(col, 3)).alias("beam_col"), F.lit(round(dist, 3)).alias("distance"), F.count("*").alias("n"))
 
 
-@register("c15_annotate_features", oracle(f"WITH {QMAP}, q0 AS (SELECT y, x, round(qz, 6) AS qz FROM qm WHERE gi = 0) SELECT feature_id, y, x, qz FROM (SELECT feature_id, greatest(0, least(7, round_even(detector_x / 8, 0)))::BIGINT AS x, greatest(0, least(7, round_even(detector_y / 8, 0)))::BIGINT AS y FROM features) JOIN q0 USING (y, x)", "pixels", "features"))
+@register("c15_annotate_features", oracle(f"WITH {QMAP}, q0 AS (SELECT y, x, round(avg(qx), 5) AS qx, round(avg(qz), 5) AS qz FROM qm GROUP BY y, x) SELECT feature_id, y, x, qx, qz FROM (SELECT feature_id, greatest(0, least(7, round_even(detector_x / 8, 0)))::BIGINT AS x, greatest(0, least(7, round_even(detector_y / 8, 0)))::BIGINT AS y FROM features) JOIN q0 USING (y, x)", "pixels", "features"))
 def annotate(spark, sf_dir):
+    """Features with the mean Q of all frames at their pixel."""
     f = A.features(spark, sf_dir).withColumn("detector_x", F.col("detector_x") / 8).withColumn("detector_y", F.col("detector_y") / 8)
-    q = qmap(spark, sf_dir).filter("gi = 0").select("y", "x", F.round("qz", 6).alias("qz"))
-    return qspace.at_pixels(f, q, 8, 8).select("feature_id", "y", "x", "qz")
+    q = qmap(spark, sf_dir).groupBy("y", "x").agg(F.round(F.avg("qx"), 5).alias("qx"), F.round(F.avg("qz"), 5).alias("qz"))
+    return qspace.at_pixels(f, q, 8, 8).select("feature_id", "y", "x", "qx", "qz")
 
 
 @register("h_scalars", oracle("""SELECT feature_id, round(12398.419843320026::DOUBLE / (10000 + sum_integrated), 9) AS wave, round(4 * pi() * sin(radians(detector_x) / 2) / 0.8, 6) AS q_mag, round(degrees(atan2(detector_y - 50, detector_x - 50)), 6) AS chi,
