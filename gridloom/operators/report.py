@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import upper_median
+from gridloom.operators import spatial, study
+from gridloom.session import cut
+
 
 def lineage(shapes: DataFrame, peaks: DataFrame) -> DataFrame:
     """shape, peak, by: the peak catalog of each shape catalog, by its recorded file, else the first of its bin size and tag."""
@@ -111,3 +115,42 @@ def supplement(have: DataFrame, extra: DataFrame, reach: float, keys: list[str])
     close = (F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 <= reach * reach
     covered = wide.join(old, [*keys, "gx", "gy"]).filter(close).select("id").distinct()
     return have.withColumn("added", F.lit(False)).unionByName(extra.join(covered, "id", "left_anti").withColumn("added", F.lit(True)))
+
+
+def prediction_report(features: DataFrame, first: str, second: str, tolerance: float, substrate: list[str]) -> DataFrame:
+    """section, item, metric and value: a study of tracked features over scans, assembled.
+
+    features: scan, theta, reflection, track, feature_id, center_row, center_col, chi_deg, peak_intensity.
+    Sections are scans (features of each), predicted (sampled angles inside recurrent tracks, those observed,
+    gaps and recall), repeatability (features of two scans of one orientation, matched one by one within
+    tolerance, and 2 m / (a + b)), retention by reflection, angles, rocking, and verdict: recall against
+    repeatability, 1 if it reaches it, 0 if not, null without either.
+    """
+    summary = cut(study.track_summary(features, ["track"], ["theta", "feature_id"]))
+    seen = study.predicted_vs_observed(features, summary, features.select("theta"), ["track"])
+    predicted = seen.agg(*[F.sum(c).cast("double").alias(c) for c in ("expected", "observed", "gaps")]).withColumn("recall", F.try_divide("observed", "expected"))
+    place = ["reflection", "feature_id", "center_row", "center_col"]
+    a, b = (features.filter(F.col("scan") == s).select(*place) for s in (first, second))
+    pairs = spatial.distance_join(a, b, tolerance, ("reflection",), ("center_row", "center_col"))
+    matched = spatial.serial_match(pairs.select(F.col("feature_id").alias("i"), F.col("r_feature_id").alias("j"), "d"), later_wins=True)
+    sizes = features.agg(F.count_if(F.col("scan") == first).cast("double").alias("first"), F.count_if(F.col("scan") == second).cast("double").alias("second"))
+    repeat = cut(sizes.crossJoin(matched.agg(F.count("*").cast("double").alias("matched"))).withColumn("reproducibility", F.try_divide(2 * F.col("matched"), F.col("first") + F.col("second"))))
+    predicted = cut(predicted)
+    steps = summary.agg(upper_median("chi_max_step").cast("double").alias("median_step"))
+    rocking = study.rocking_summary(summary, ["max_intensity"])
+    kept = study.retention(features, first, second, substrate)
+    verdict = predicted.crossJoin(repeat).select(F.when(F.col("recall") >= F.col("reproducibility"), 1.0).when(F.col("recall") < F.col("reproducibility"), 0.0).alias("meets_floor"))
+
+    def long(df: DataFrame, section: str, metrics: list[str], item: str | None = None) -> DataFrame:
+        cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+        return df.select(F.lit(section).alias("section"), (F.lit("all") if item is None else F.col(item)).alias("item"), cells.alias("c")).select("section", "item", "c.*")
+
+    parts = [
+        long(features.groupBy("scan").agg(F.count("*").alias("features")), "scans", ["features"], "scan"), long(predicted, "predicted", ["expected", "observed", "gaps", "recall"]),
+        long(repeat, "repeatability", ["first", "second", "matched", "reproducibility"]), long(kept, "retention", ["n_first", "n_second", "retention"], "reflection"), long(steps, "angles", ["median_step"]),
+        long(rocking, "rocking", ["max_intensity_n", "max_intensity_min", "max_intensity_median", "max_intensity_max"]), long(verdict, "verdict", ["meets_floor"]),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

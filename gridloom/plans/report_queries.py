@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import report, select
 from gridloom.plans.registry import register
-from gridloom.plans.study_queries import QMAP, TRACK, qmap, r6, tracked
+from gridloom.plans.study_queries import QMAP, SUMMARY, TRACK, qmap, r6, tracked
 from gridloom.sources import adapters as A
 
 oracle = A.oracle
@@ -260,3 +260,26 @@ def summed_frames(spark, sf_dir):
     p = A.pixels(spark, sf_dir)
     chosen = p.filter("gi % 3 > 0").select(F.col("label").alias("gallery"), "gi")
     return select.summed_frames(p.drop("label"), chosen).withColumn("v", F.round("v", 5) + F.lit(0.0))
+
+
+@register("d30_prediction_report", oracle(f"""
+WITH RECURSIVE {SUMMARY}, pe AS (SELECT track, t.theta FROM ts JOIN (SELECT DISTINCT theta FROM features) t ON t.theta BETWEEN theta_min - 1e-9 AND theta_max + 1e-9 WHERE recurrent),
+pp AS (SELECT count(*)::DOUBLE AS expected, count(seen)::DOUBLE AS observed FROM pe LEFT JOIN (SELECT DISTINCT track, theta, 1 AS seen FROM tk) USING (track, theta)),
+o AS MATERIALIZED (SELECT a.reflection, a.feature_id AS i, b.feature_id AS j, row_number() OVER (PARTITION BY a.reflection ORDER BY a.feature_id, sqrt((a.center_row - b.center_row) ** 2 + (a.center_col - b.center_col) ** 2), b.feature_id DESC) AS n
+  FROM features a JOIN features b ON a.scan = 'Scan_0001' AND b.scan = 'Scan_0002' AND a.reflection = b.reflection AND (a.center_row - b.center_row) ** 2 + (a.center_col - b.center_col) ** 2 <= 4),
+g(reflection, n, li, lj) AS (SELECT DISTINCT reflection, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM o UNION ALL
+  SELECT g.reflection, g.n + 1, CASE WHEN NOT list_contains(li, o.i) AND NOT list_contains(lj, o.j) THEN list_append(li, o.i) ELSE li END, CASE WHEN NOT list_contains(li, o.i) AND NOT list_contains(lj, o.j) THEN list_append(lj, o.j) ELSE lj END FROM g JOIN o ON o.reflection = g.reflection AND o.n = g.n + 1),
+rp AS (SELECT count_if(scan = 'Scan_0001')::DOUBLE AS a, count_if(scan = 'Scan_0002')::DOUBLE AS b, (SELECT coalesce(sum(len(l)), 0)::DOUBLE FROM (SELECT arg_max(li, n) AS l FROM g GROUP BY reflection)) AS m FROM features),
+re AS (SELECT reflection, count_if(scan = 'Scan_0001')::DOUBLE AS a, count_if(scan = 'Scan_0002')::DOUBLE AS b FROM features GROUP BY reflection),
+mi AS (SELECT list_sort(list(max_intensity)) AS a, list_sort(list(chi_max_step)) AS s, count(*) AS n FROM ts),
+u AS (SELECT 'scans' AS section, scan AS item, 'features' AS metric, count(*)::DOUBLE AS value FROM features GROUP BY scan
+  UNION ALL SELECT 'predicted', 'all', unnest(['expected', 'observed', 'gaps', 'recall']), unnest([expected, observed, expected - observed, observed / nullif(expected, 0)]) FROM pp
+  UNION ALL SELECT 'repeatability', 'all', unnest(['first', 'second', 'matched', 'reproducibility']), unnest([a, b, m, 2 * m / nullif(a + b, 0)]) FROM rp
+  UNION ALL SELECT 'retention', reflection, unnest(['n_first', 'n_second', 'retention']), unnest([a, b, b / nullif(a, 0)]) FROM re
+  UNION ALL SELECT 'angles', 'all', 'median_step', s[n // 2 + 1] FROM mi
+  UNION ALL SELECT 'rocking', 'all', unnest(['max_intensity_n', 'max_intensity_min', 'max_intensity_median', 'max_intensity_max']), unnest([n::DOUBLE, a[1], a[n // 2 + 1], a[n]]) FROM mi
+  UNION ALL SELECT 'verdict', 'all', 'meets_floor', CASE WHEN observed / nullif(expected, 0) >= 2 * m / nullif(a + b, 0) THEN 1.0 WHEN observed / nullif(expected, 0) < 2 * m / nullif(a + b, 0) THEN 0.0 END FROM pp, rp)
+SELECT section, item, metric, round(value, 5) AS value FROM u""", "features"))
+def prediction_report(spark, sf_dir):
+    out = report.prediction_report(tracked(spark, sf_dir), "Scan_0001", "Scan_0002", 2.0, ["view"])
+    return out.withColumn("value", F.round("value", 5))
