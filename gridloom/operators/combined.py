@@ -8,7 +8,7 @@ memory beside a batch of frames is one detector image.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +221,70 @@ def stacked_frames(sums: DataFrame, radius: int) -> DataFrame:
     return sums.groupBy("center_row", "center_col").agg(F.array_sort(F.collect_list(cell)).alias("_p"), F.max(f"n{radius}").alias("n")).select(F.col("center_row").alias("brow"), F.col("center_col").alias("bcol"), F.col("_p.v").alias("pixels"), "n")
 
 
+#: The named searches around centres by what tells them apart, as fixed values: stack radii and separation, cells a
+#: feature needs, least r2 and inner to outer ratio, and how far points move and must be apart.
+CENTRE_SEARCHES = {
+    "baseline": {"stacks": (), "least_r2": 0.30, "inner_outer": 1.15, "half": 0, "most": 0, "apart": 25.0},
+    "hybrid": {"stacks": (2,), "stack_apart": 15.0, "least_r2": 0.25, "inner_outer": 1.15, "half": 3, "most": 5, "apart": 25.0},
+    "tuned": {"stacks": (3,), "stack_apart": 15.0, "least_r2": 0.20, "inner_outer": 1.15, "half": 5, "most": 5, "apart": 20.0},
+    "concentric": {"stacks": (3, 5), "stack_apart": 14.0, "least_r2": 0.20, "inner_outer": 1.20, "half": 5, "most": 7, "apart": 20.0},
+}
+
+
+def centre_search(frames: DataFrame, centres: DataFrame, search: Search, kind: str = "hybrid", least_cells: int = 2) -> DataFrame:
+    """center_row, center_col, label, x, y, quality: verified spots of every centre cell, for all centres in one plan.
+
+    Frames near a centre are detected once, however many centres they are near; stacks
+    around the centres add what single frames hide. Features that reach a centre are probed
+    around it and verified, their strongest spot there moves to the centre of light of the centre's frame, and
+    of points that are close the better stays. centres: center_row, center_col, of any number.
+    """
+    rule = CENTRE_SEARCHES[kind]
+    background = shared_background(frames, search)
+    wanted = centres.select(F.col("center_row").cast("bigint").alias("center_row"), F.col("center_col").cast("bigint").alias("center_col")).distinct()
+    steps = F.sequence(F.lit(-search.radius), F.lit(search.radius))
+    near = wanted.withColumn("_r", F.explode(steps)).withColumn("_c", F.explode(steps)).select((F.col("center_row") + F.col("_r")).alias("brow"), (F.col("center_col") + F.col("_c")).alias("bcol")).distinct()
+    used = frames.join(near, ["brow", "bcol"], "left_semi")
+    found = cut(detect_frames(used, background, search))
+    if rule["stacks"]:
+        width = search.tth.shape[1]
+        flat = used.select("brow", "bcol", F.posexplode("pixels").alias("_p", "v"))
+        pixels = flat.select("brow", "bcol", F.floor(F.col("_p") / width).cast("int").alias("y"), (F.col("_p") % width).alias("x"), F.least(F.greatest("v", F.lit(0.0)), F.lit(CELL_LIMIT)).alias("v"))
+        found = merged_spots(found, stack_spots(pixels, wanted, search, rule["stacks"], separation=rule["stack_apart"]), rule["stack_apart"])
+    found = cut(found.withColumn("id", F.monotonically_increasing_id()))
+    members = cut(spatial.link_components(found, spatial.grid_links(found, search.link, ())))
+    at_centre = members.join(wanted, (F.col("brow") == F.col("center_row")) & (F.col("bcol") == F.col("center_col"))).drop("brow", "bcol")
+    best = F.struct("snr", -F.col("id"))
+    heads = at_centre.groupBy("component", "center_row", "center_col").agg(*[F.max_by(c, best).alias(c) for c in ("label", "x", "y")])
+    places = candidates(members, least_cells).select("component", "px", "py")
+    chosen = cut(heads.join(places, "component"))
+    # a component may reach several centres, and is a candidate of each
+    numbered = cut(chosen.withColumn("candidate", F.monotonically_increasing_id()))
+    asked = numbered.select(F.col("candidate").alias("component"), "center_row", "center_col", "px", "py")
+    rules = replace(search.rules, least_r2=rule["least_r2"], inner_outer=rule["inner_outer"])
+    verdict = voigt.verify(probe(used, asked, background, search.radius, search.aperture), ["component"], rules)
+    quality = F.coalesce("r2", "falling", F.lit(0.0)).alias("quality")
+    kept = numbered.join(verdict.filter("kept").select(F.col("component").alias("candidate"), quality), "candidate").select("candidate", "center_row", "center_col", "label", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "quality")
+    if rule["half"]:
+        light = cleaned_pixels(used.join(wanted.select(F.col("center_row").alias("brow"), F.col("center_col").alias("bcol")), ["brow", "bcol"], "left_semi"), background)
+        kept = refined(kept, light.withColumnsRenamed({"brow": "center_row", "bcol": "center_col"}), rule["half"], rule["most"], ("center_row", "center_col"))
+    return best_of_close(kept, rule["apart"], ("center_row", "center_col"), "quality", "candidate").drop("candidate")
+
+
+def cleaned_pixels(frames: DataFrame, background: np.ndarray) -> DataFrame:
+    """brow, bcol, y, x, v: the pixels of frames less the background."""
+    width = background.shape[1]
+
+    def run(batches):
+        for batch in batches:
+            clean = [(_image(flat, background.shape) - background).ravel().tolist() for flat in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(clean, pa.list_(pa.float64()))], ["brow", "bcol", "v"])
+
+    used = frames.filter(F.size("pixels") == background.size).select(F.col("brow").cast("bigint"), F.col("bcol").cast("bigint"), "pixels")
+    flat = used.mapInArrow(run, "brow bigint, bcol bigint, v array<double>").select("brow", "bcol", F.posexplode("v").alias("_p", "v"))
+    return flat.select("brow", "bcol", F.floor(F.col("_p") / width).alias("y"), (F.col("_p") % width).cast("bigint").alias("x"), "v")
+
+
 def merged_spots(first: DataFrame, more: DataFrame, separation: float) -> DataFrame:
     """first, and those of more that have none of first nearer than separation in their cell; more's own may be close."""
     near = spatial.distance_join(more, first.select("brow", "bcol", "x", "y"), separation, ("brow", "bcol"), strict=True)

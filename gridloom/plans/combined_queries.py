@@ -87,6 +87,23 @@ def full_scan_verdicts(spark, sf_dir):
     return combined.full_scan(cell_frames(spark, sf_dir), SMALL)[1]
 
 
+def _centre_spots(spark, sf_dir, kind: str) -> DataFrame:
+    """Around every fourth cell of every fourth row."""
+    f = cell_frames(spark, sf_dir)
+    centres = f.filter("brow % 4 = 0 and bcol % 4 = 0").select(F.col("brow").alias("center_row"), F.col("bcol").alias("center_col"))
+    return combined.centre_search(f, centres, SMALL, kind)
+
+
+@register("l8_hybrid_spots")
+def hybrid_spots(spark, sf_dir):
+    return _centre_spots(spark, sf_dir, "hybrid")
+
+
+@register("l10_concentric_spots")
+def concentric_spots(spark, sf_dir):
+    return _centre_spots(spark, sf_dir, "concentric")
+
+
 @register("d2_scan_sum", oracle("SELECT y * 8 + x AS pos, round(sum(greatest(v, 0)), 5) AS total, count(*) AS n FROM pixels GROUP BY ALL", "pixels"))
 def scan_sum(spark, sf_dir):
     out = combined.summed(cell_frames(spark, sf_dir), 64)

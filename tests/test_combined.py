@@ -174,3 +174,18 @@ def test_seeds_grow_through_connected_cells(spark):
     got = spatial.expand_seeds(peaks, peaks.filter(peaks.id.isin([s[0] for s in seeds])), 14.0).collect()
     assert {(r.seed, r.id, r.step) for r in got} == want and len(got) == len(want) > 20
     assert spatial.expand_seeds(peaks, peaks.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", sorted(combined.CENTRE_SEARCHES))
+def test_spots_of_centres(spark, frames, kind, monkeypatch):
+    """Three planted spots fade around their cells, a fourth is everywhere: each centre has its own, moved to its light."""
+    monkeypatch.setitem(combined.CENTRE_SEARCHES, kind, combined.CENTRE_SEARCHES[kind] | {"apart": 9.0})  # as the frames are small
+    centres = spark.createDataFrame([(3, 3), (8, 7), (8, 7), (6, 2), (11, 0)], "center_row int, center_col int")
+    out = {}
+    for r in combined.centre_search(frames, centres, SEARCH, kind).collect():
+        out.setdefault((r.center_row, r.center_col), []).append((r.x, r.y))
+    near = lambda cell, x, y: any(abs(a - x) <= 1 and abs(b - y) <= 1 for a, b in out.get(cell, []))
+    assert near((3, 3), 12, 10) and near((8, 7), 16, 18) and near((6, 2), 24, 4)
+    assert not any(near(c, 6, 22) for c in out) and not near((11, 0), 12, 10)
+    assert all(math.hypot(a[0] - b[0], a[1] - b[1]) >= 9 for p in out.values() for i, a in enumerate(p) for b in p[:i])
+    assert combined.centre_search(frames, centres.limit(0), SEARCH, kind).count() == 0
