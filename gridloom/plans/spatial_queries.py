@@ -143,24 +143,26 @@ def top_peaks(spark, sf_dir):
     return features.top_per_group(unique_peaks(spark, sf_dir), 3, ["scan", "brow", "bcol"], [F.desc("snr"), "id"]).select("id", "place")
 
 
-PAIRS = f"{UNIQUE}, pr AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pk a JOIN pk b ON a.brow = b.brow AND a.bcol = b.bcol AND a.scan = 1 AND b.scan = 2 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400)"
+# Each scan against the next.
+PAIRS = f"{UNIQUE}, pr AS (SELECT a.scan, a.scan * 10000 + a.brow * 100 + a.bcol AS cell, a.id AS i, b.id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pk a JOIN pk b ON a.brow = b.brow AND a.bcol = b.bcol AND b.scan = a.scan + 1 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400)"
 
 
 def candidate_pairs(spark, sf_dir) -> DataFrame:
+    """scan, i, j, d: peaks of every scan and of the next one, in one cell and close on the detector."""
     p = unique_peaks(spark, sf_dir)
-    pairs = spatial.distance_join(p.filter("scan = 1").drop("scan"), p.filter("scan = 2").drop("scan"), 20.0, ("brow", "bcol"))
-    return pairs.select(F.col("id").alias("i"), F.col("r_id").alias("j"), "d")
+    pairs = spatial.distance_join(p, p.withColumn("scan", F.col("scan") - 1), 20.0, ("scan", "brow", "bcol"))
+    return pairs.select("scan", F.col("id").alias("i"), F.col("r_id").alias("j"), "d")
 
 
 @register("c8_candidate_pairs", oracle(f"WITH {PAIRS} SELECT i, j, round(d, 6) AS d FROM pr", "peaks"))
 def pairs(spark, sf_dir):
-    return candidate_pairs(spark, sf_dir).withColumn("d", F.round("d", 6))
+    return candidate_pairs(spark, sf_dir).drop("scan").withColumn("d", F.round("d", 6))
 
 
 def _greedy_sql(order: str, key: str) -> str:
     """One pair after the other in the given order, per cell, as a recursion."""
     return f"""
-WITH RECURSIVE {PAIRS}, o AS (SELECT i, j, d, i // 10000000 % 40 * 40 + i // 1000 % 10000 % 40 AS cell, row_number() OVER (PARTITION BY i // 10000000 % 40 * 40 + i // 1000 % 10000 % 40 ORDER BY {order}) AS n FROM pr),
+WITH RECURSIVE {PAIRS}, o AS (SELECT i, j, d, cell, row_number() OVER (PARTITION BY cell ORDER BY {order}) AS n FROM pr),
 g(cell, n, li, lj) AS (SELECT DISTINCT cell, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM o UNION ALL
  SELECT g.cell, g.n + 1, CASE WHEN {key} THEN list_append(li, o.i) ELSE li END, CASE WHEN {key} THEN list_append(lj, o.j) ELSE lj END FROM g JOIN o ON o.cell = g.cell AND o.n = g.n + 1)
 SELECT unnest(li) AS i, unnest(lj) AS j FROM (SELECT arg_max(li, n) AS li, arg_max(lj, n) AS lj FROM g GROUP BY cell)"""
@@ -181,37 +183,39 @@ def repeatability(spark, sf_dir):
     return spatial.serial_match(candidate_pairs(spark, sf_dir), later_wins=True).select("i", "j")
 
 
-@register("c10_match_footprint", oracle(f"WITH {PAIRS}, n AS (SELECT i, j, d FROM pr QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1) SELECT count(*) AS matched, count(DISTINCT j) AS covered, round(avg(d), 6) AS mean_d FROM n", "peaks"))
+@register("c10_match_footprint", oracle(f"WITH {PAIRS}, n AS (SELECT scan, i, j, d FROM pr QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1) SELECT scan, count(*) AS matched, count(DISTINCT j) AS covered, round(avg(d), 6) AS mean_d FROM n GROUP BY scan", "peaks"))
 def footprint(spark, sf_dir):
     near = features.top_per_group(candidate_pairs(spark, sf_dir), 1, ["i"], ["d", "j"])
-    return near.agg(F.count("*").alias("matched"), F.countDistinct("j").alias("covered"), F.round(F.avg("d"), 6).alias("mean_d"))
+    return near.groupBy("scan").agg(F.count("*").alias("matched"), F.countDistinct("j").alias("covered"), F.round(F.avg("d"), 6).alias("mean_d"))
 
 
-@register("c23_nearest_only_f1", oracle(f"WITH {PAIRS}, n AS (SELECT i, j FROM pr QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1), c AS (SELECT count(DISTINCT j) AS tp FROM n), t AS (SELECT count_if(scan = 1) AS found, count_if(scan = 2) AS truth FROM pk) SELECT tp, found - tp AS fp, truth - tp AS fn, round(2 * tp / (found + truth)::DOUBLE, 6) AS f1 FROM c, t", "peaks"))
+@register("c23_nearest_only_f1", oracle(f"WITH {PAIRS}, n AS (SELECT scan, i, j FROM pr QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1), c AS (SELECT scan, count(DISTINCT j) AS tp FROM n GROUP BY scan), k AS (SELECT scan, count(*) AS n FROM pk GROUP BY scan), t AS (SELECT a.scan, a.n AS found, b.n AS truth FROM k a JOIN k b ON b.scan = a.scan + 1) SELECT scan, tp, found - tp AS fp, truth - tp AS fn, round(2 * tp / (found + truth)::DOUBLE, 6) AS f1 FROM c JOIN t USING (scan)", "peaks"))
 def nearest_f1(spark, sf_dir):
     from gridloom.functions.scalars import f_score
 
-    tp = features.top_per_group(candidate_pairs(spark, sf_dir), 1, ["i"], ["d", "j"]).agg(F.countDistinct("j").alias("tp"))
-    n = unique_peaks(spark, sf_dir).agg(F.count_if(F.col("scan") == 1).alias("found"), F.count_if(F.col("scan") == 2).alias("truth"))
-    both = n.crossJoin(tp).select("tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("truth") - F.col("tp")).alias("fn"))
+    tp = features.top_per_group(candidate_pairs(spark, sf_dir), 1, ["i"], ["d", "j"]).groupBy("scan").agg(F.countDistinct("j").alias("tp"))
+    n = unique_peaks(spark, sf_dir).groupBy("scan").agg(F.count("*").alias("found"))
+    two = n.join(n.select((F.col("scan") - 1).alias("scan"), F.col("found").alias("truth")), "scan")
+    both = two.join(tp, "scan").select("scan", "tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("truth") - F.col("tp")).alias("fn"))
     return both.withColumn("f1", F.round(f_score(F.col("tp"), F.col("fp"), F.col("fn")), 6))
 
 
 def _levels(spark, sf_dir):
+    """Every scan as the fine one, and the scan after it as its coarse one."""
     p = unique_peaks(spark, sf_dir).withColumn("cr", F.expr("brow div 2")).withColumn("cc", F.expr("bcol div 2"))
-    return p.filter("scan in (1, 2)"), p.filter("scan = 3")
+    return p, p.withColumn("scan", F.col("scan") - 1)
 
 
-@register("c9_novel_cells", oracle(f"WITH {UNIQUE} SELECT id FROM pk a WHERE scan IN (1, 2) AND NOT EXISTS (SELECT 1 FROM pk b WHERE b.scan = 3 AND b.label = a.label AND b.brow // 2 = a.brow // 2 AND b.bcol // 2 = a.bcol // 2)", "peaks"))
+@register("c9_novel_cells", oracle(f"WITH {UNIQUE} SELECT id FROM pk a WHERE NOT EXISTS (SELECT 1 FROM pk b WHERE b.scan = a.scan + 1 AND b.label = a.label AND b.brow // 2 = a.brow // 2 AND b.bcol // 2 = a.bcol // 2)", "peaks"))
 def novel(spark, sf_dir):
     fine, coarse = _levels(spark, sf_dir)
-    return spatial.covered(fine, coarse, ["label", "cr", "cc"], anti=True).select("id")
+    return spatial.covered(fine, coarse, ["scan", "label", "cr", "cc"], anti=True).select("id")
 
 
-@register("c9_covered_cells", oracle(f"WITH {UNIQUE} SELECT id FROM pk a WHERE scan IN (1, 2) AND EXISTS (SELECT 1 FROM pk b WHERE b.scan = 3 AND b.label = a.label AND b.brow // 2 = a.brow // 2 AND b.bcol // 2 = a.bcol // 2)", "peaks"))
+@register("c9_covered_cells", oracle(f"WITH {UNIQUE} SELECT id FROM pk a WHERE EXISTS (SELECT 1 FROM pk b WHERE b.scan = a.scan + 1 AND b.label = a.label AND b.brow // 2 = a.brow // 2 AND b.bcol // 2 = a.bcol // 2)", "peaks"))
 def covered(spark, sf_dir):
     fine, coarse = _levels(spark, sf_dir)
-    return spatial.covered(fine, coarse, ["label", "cr", "cc"]).select("id")
+    return spatial.covered(fine, coarse, ["scan", "label", "cr", "cc"]).select("id")
 
 
 @register("c11_matched_at_all_sizes", oracle(f"WITH {UNIQUE}, k AS (SELECT brow // 5 AS r, bcol // 5 AS c, label, x // 40 AS bx, y // 40 AS yb, scan, arg_max(id, row(snr, -id)) AS id FROM pk GROUP BY ALL) SELECT r, c, label, bx, yb, count(*) AS n, min(id) AS least FROM k GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT scan) FROM pk)", "peaks"))
