@@ -98,10 +98,11 @@ def spots(cleaned: np.ndarray, search: Search) -> list[tuple]:
             continue
         y, x = np.nonzero(band & (hat > level + search.k_sigma * sigma))
         part = detect.sparse_components(y, x)
-        for k in np.flatnonzero((counts := np.bincount(part, minlength=1)) >= search.min_pixels):
-            if counts[k] > search.max_pixels:
-                continue
-            py, px = y[part == k], x[part == k]
+        order, sizes = np.argsort(part, kind="stable"), np.bincount(part, minlength=1)
+        ends = np.cumsum(sizes)
+        for k in np.flatnonzero((sizes >= search.min_pixels) & (sizes <= search.max_pixels)).tolist():
+            mine = order[ends[k] - sizes[k] : ends[k]]
+            py, px = y[mine], x[mine]
             h, w = np.ptp(py) + 1, np.ptp(px) + 1
             compact = min(h, w) / max(h, w) * len(py) / (h * w)
             if compact < search.min_compactness:

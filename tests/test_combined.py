@@ -100,6 +100,18 @@ def test_probe_reads_the_frames_once(spark, frames, tmp_path):
     assert plan.count("FileScan") == 1 and out.groupBy("component").count().filter("count = 25").count() == 2
 
 
+def test_running_windows():
+    rng = np.random.default_rng(9)
+    for shape in ((30, 41), (7, 50), (64,)):
+        a = rng.normal(0, 1, shape)
+        for size in (1, 3, 5, 7, 13, 15):
+            for axis in range(a.ndim):
+                pad = [(size // 2, size // 2) if i == axis else (0, 0) for i in range(a.ndim)]
+                view = np.lib.stride_tricks.sliding_window_view(np.pad(a, pad, mode="symmetric"), size, axis=axis)
+                for fn in (np.min, np.max, np.mean):
+                    assert np.allclose(detect.running(a, size, axis, fn), fn(view, axis=-1), atol=1e-12)
+
+
 def test_labels_of_sparse_pixels():
     rng = np.random.default_rng(1)
     for share in (0.1, 0.4, 0.6, 0.9):
