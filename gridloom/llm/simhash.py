@@ -381,9 +381,12 @@ REACH = 8
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """BUCKET, fp, node, size: members (family, fp, node, size) in all buckets that hold more than one."""
-    dealt = _variants(members, "node", "size")
-    counts = dealt.groupBy("family", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    """BUCKET, fp, node, size: members (family, fp, node, size, component) in all buckets that hold more than one component.
+
+    Components only grow, so the pairs of a bucket of one component are settled for good.
+    """
+    dealt = _variants(members, "node", "size", "component")
+    counts = dealt.groupBy("family", "key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("family", "key", "n")
     byte = F.explode(F.when(F.col("n") > HOT_BUCKET, F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(-1)))).alias("byte")
     dealt = dealt.join(counts, ["family", "key"]).select("family", "key", "fp", "node", "size", _other().alias("other"), byte)
     value = F.when(F.col("byte") < 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(other, greatest(byte, 0) * 8) & 255"))
@@ -432,10 +435,11 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = verified(both)
     if members.limit(1).count():
         sizes = sets.select(F.col("doc_id").alias("node"), (F.octet_length("shingles") / 4).cast("bigint").alias("size"))
-        dealt = cut(_buckets(members.join(sizes, "node")))
+        parts = cut(connected_components(links))
+        dealt = cut(_buckets(members.join(sizes, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))))
         low, high = 1, REACH
         while True:
-            parts = connected_components(links)
+            release(texts.sparkSession)
             rows = dealt.join(parts, "node", "left").select(*BUCKET, "fp", "node", "size", F.coalesce("component", "node").alias("component"))
             rows = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "fp", "node")
             left_apart = cut(rows.mapInPandas(_apart(low, high, similarity), "src bigint, dst bigint"))
@@ -443,6 +447,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             links = links.unionByName(verified(fresh))
             if not left_apart.filter("dst is null").limit(1).count():
                 break
+            del rows, left_apart, fresh
+            parts = cut(connected_components(links))
             low, high = high, high * REACH
     return links.unionByName(equal)
 
