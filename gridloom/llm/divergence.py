@@ -24,7 +24,7 @@ SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP_TERMS = 200
 #: Bytes of text whose words a task expands at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 #: Partial counts that a task holds before it merges them, and those that it passes on at once.
 HELD_ROWS = 1_000_000
 #: Cells (sources by terms) of a shard.
@@ -81,6 +81,8 @@ def partial_counts(docs: DataFrame) -> DataFrame:
                         yield from held.pop().to_batches()
         if held:
             yield from _merged(held).to_batches()
+            held.clear()
+        pa.default_memory_pool().release_unused()  # pooled workers outlive their tasks
 
     return docs.select(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, COUNTS)
 
