@@ -31,3 +31,11 @@ def test_nearest_neighbours_of_a_crowd(spark, monkeypatch):
         near = sorted((math.dist(p[2:], q[2:]), q[1]) for q in pts if q[0] == p[0] and q[1] != p[1])[:3]
         want += [(p[1], q, n + 1) for n, (_, q) in enumerate(near)]
     assert got == sorted(want)
+
+
+def test_nearest_match_of_a_crowd(spark):
+    a, b = crowd(80, 2, 30), crowd(40, 3, 30) + [(7, 900, 1.0, 1.0)]
+    for most in (1.0, 4.0, 9.0):
+        got = sorted((r.i, r.j, r.d) for r in spatial.nearest_match(rows(spark, a), rows(spark, b), most, ("g",)).collect())
+        want = [(p[1], *min((math.dist(p[2:], q[2:]), q[1]) for q in b if q[0] == p[0])[::-1]) for p in a if any(q[0] == p[0] for q in b)]
+        assert got == sorted(w for w in want if w[2] <= most)
