@@ -39,3 +39,15 @@ def test_nearest_match_of_a_crowd(spark):
         got = sorted((r.i, r.j, r.d) for r in spatial.nearest_match(rows(spark, a), rows(spark, b), most, ("g",)).collect())
         want = [(p[1], *min((math.dist(p[2:], q[2:]), q[1]) for q in b if q[0] == p[0])[::-1]) for p in a if any(q[0] == p[0] for q in b)]
         assert got == sorted(w for w in want if w[2] <= most)
+
+
+def test_suppression_of_a_crowd(spark, monkeypatch):
+    no_pairs(monkeypatch)
+    for seed, distance in ((4, 2.0), (5, 5.0), (6, 7.5)):
+        pts = crowd(150, seed, 25)
+        kept = []
+        for p in pts:
+            if all(q[0] != p[0] or math.dist(p[2:], q[2:]) >= distance for q in kept):
+                kept.append(p)
+        df = rows(spark, pts).withColumnRenamed("id", "rank")
+        assert sorted(r["rank"] for r in spatial.suppress(df, distance, ("g",)).collect()) == [p[1] for p in kept]
