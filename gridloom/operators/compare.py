@@ -31,12 +31,13 @@ def quantile_summary(rows: DataFrame, keys: list[str], value: str, near: tuple[f
 
 
 def spearman(rows: DataFrame, a: str, b: str, partition: list[str]) -> DataFrame:
-    """Rank correlation of a and b per partition, ties by average rank."""
+    """Rank correlation of a and b per partition, ties by average rank; 0 where either is constant, for which corr divides by zero."""
     for c in (a, b):
         rank = F.rank().over(Window.partitionBy(*partition).orderBy(c))
         ties = F.count("*").over(Window.partitionBy(*partition, c))
         rows = rows.withColumn(f"_{c}", rank + (ties - 1) / 2)
-    return rows.groupBy(*partition).agg(F.coalesce(F.nanvl(F.corr(f"_{a}", f"_{b}"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    rho = F.try_divide(F.covar_pop(f"_{a}", f"_{b}"), F.stddev_pop(f"_{a}") * F.stddev_pop(f"_{b}"))
+    return rows.groupBy(*partition).agg(F.coalesce(rho, F.lit(0.0)).alias("rho"))
 
 
 def score_bins(counts: DataFrame, beta: float = 1.0) -> DataFrame:

@@ -3,7 +3,7 @@
 import math
 import random
 
-from gridloom.operators import spatial
+from gridloom.operators import compare, spatial
 
 
 def crowd(n, seed, places=6):
@@ -51,3 +51,9 @@ def test_suppression_of_a_crowd(spark, monkeypatch):
                 kept.append(p)
         df = rows(spark, pts).withColumnRenamed("id", "rank")
         assert sorted(r["rank"] for r in spatial.suppress(df, distance, ("g",)).collect()) == [p[1] for p in kept]
+
+
+def test_rank_correlation_of_a_constant(spark):
+    df = spark.createDataFrame([("a", 20, 1.0), ("a", 20, 2.0), ("b", 1, 1.0), ("b", 2, 3.0), ("b", 3, 2.0), ("c", 1, 1.0)], "g string, n long, v double")
+    got = {r.g: round(r.rho, 6) for r in compare.spearman(df, "n", "v", ["g"]).collect()}
+    assert got == {"a": 0.0, "b": 0.5, "c": 0.0}
