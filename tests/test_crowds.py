@@ -53,6 +53,21 @@ def test_suppression_of_a_crowd(spark, monkeypatch):
         assert sorted(r["rank"] for r in spatial.suppress(df, distance, ("g",)).collect()) == [p[1] for p in kept]
 
 
+def test_matches_of_a_crowd_equal_loops(spark, monkeypatch):
+    no_pairs(monkeypatch)
+    for places in (4, 15):
+        a, b = crowd(70, 8, places), [(g, k + 1000, x, y) for g, k, x, y in crowd(60, 9, places)]
+        pairs = [(math.dist(p[2:], q[2:]), p[1], q[1]) for p in a for q in b if p[0] == q[0] and math.dist(p[2:], q[2:]) <= 3.0]
+        orders = {"greedy": lambda t: t, "serial": lambda t: (t[1], t[0], t[2]), "serial_last": lambda t: (t[1], t[0], -t[2])}
+        for order, key in orders.items():
+            taken_i, taken_j, want = set(), set(), []
+            for d, i, j in sorted(pairs, key=key):
+                if i not in taken_i and j not in taken_j:
+                    taken_i.add(i), taken_j.add(j), want.append((i, j, d))
+            got = spatial.match_points(rows(spark, a), rows(spark, b), 3.0, ("g",), order).collect()
+            assert sorted((r.i, r.j, r.d) for r in got) == sorted(want)
+
+
 def test_rank_correlation_of_a_constant(spark):
     df = spark.createDataFrame([("a", 20, 1.0), ("a", 20, 2.0), ("b", 1, 1.0), ("b", 2, 3.0), ("b", 3, 2.0), ("c", 1, 1.0)], "g string, n long, v double")
     got = {r.g: round(r.rho, 6) for r in compare.spearman(df, "n", "v", ["g"]).collect()}
