@@ -116,7 +116,7 @@ def shapes_stage(tolerance: float, rules: voigt.Rules = voigt.Rules(flat_cv=0.05
 
     def run(_: str, done: dict[str, DataFrame]) -> DataFrame:
         peaks = done["peaks"].withColumn("intensity", F.col("snr"))
-        members = cut(spatial.link_components(peaks, spatial.grid_links(peaks, tolerance, ())))
+        members = cut(spatial.grid_components(peaks, tolerance, ()))
         shape = features.characterize(members, ("id",))
         verdict = voigt.verify_members(features.best_per_bin(members, ("id",)), ["component"], "intensity", rules)
         both = shape.join(verdict.select("component", "kept", "reason", "r2"), "component")

@@ -193,7 +193,7 @@ def full_scan(frames: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
     """
     background = shared_background(frames, search)
     found = cut(detect_frames(frames, background, search).withColumn("id", F.monotonically_increasing_id()))
-    members = cut(spatial.link_components(found, spatial.grid_links(found, search.link, ())))
+    members = cut(spatial.grid_components(found, search.link, ()))
     chosen = cut(candidates(members, search.min_cells))
     verdict = voigt.verify(probe(frames, chosen, background, search.radius, search.aperture), ["component"], search.rules)
     kept = members.join(verdict.filter("kept").select("component"), "component", "left_semi")
@@ -253,7 +253,7 @@ def centre_search(frames: DataFrame, centres: DataFrame, search: Search, kind: s
         pixels = flat.select("brow", "bcol", F.floor(F.col("_p") / width).cast("int").alias("y"), (F.col("_p") % width).alias("x"), F.least(F.greatest("v", F.lit(0.0)), F.lit(CELL_LIMIT)).alias("v"))
         found = merged_spots(found, stack_spots(pixels, wanted, search, rule["stacks"], separation=rule["stack_apart"]), rule["stack_apart"])
     found = cut(found.withColumn("id", F.monotonically_increasing_id()))
-    members = cut(spatial.link_components(found, spatial.grid_links(found, search.link, ())))
+    members = cut(spatial.grid_components(found, search.link, ()))
     at_centre = members.join(wanted, (F.col("brow") == F.col("center_row")) & (F.col("bcol") == F.col("center_col"))).drop("brow", "bcol")
     best = F.struct("snr", -F.col("id"))
     heads = at_centre.groupBy("component", "center_row", "center_col").agg(*[F.max_by(c, best).alias(c) for c in ("label", "x", "y")])

@@ -72,3 +72,26 @@ def test_rank_correlation_of_a_constant(spark):
     df = spark.createDataFrame([("a", 20, 1.0), ("a", 20, 2.0), ("b", 1, 1.0), ("b", 2, 3.0), ("b", 3, 2.0), ("c", 1, 1.0)], "g string, n long, v double")
     got = {r.g: round(r.rho, 6) for r in compare.spearman(df, "n", "v", ["g"]).collect()}
     assert got == {"a": 0.0, "b": 0.5, "c": 0.0}
+
+
+def test_components_of_a_crowd_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "grid_links", None)
+    rng = random.Random(11)
+    for n, tolerance, span in ((120, 2.0, 60.0), (400, 5.0, 100.0), (300, 3.0, 8.0)):
+        pts = [(rng.randrange(2), rng.randrange(12), rng.randrange(20), round(rng.uniform(-5, span), 1), float(rng.randrange(int(span))), k) for k in range(n)]
+        pts += [(*p[:5], n + k) for k, p in enumerate(pts[:30])] + [(0, 11, 19, 700.0, 0.0, 3), (1, 3, 3, float("nan"), 1.0, 5000), (1, 3, None, 1.0, 1.0, 5001)]
+        root = {p[5]: p[5] for p in pts}
+
+        def top(k, root=root):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for p in pts:
+            for q in pts:
+                if p[0] == q[0] and None not in (p[2], q[2]) and p[1:3] != q[1:3] and max(abs(p[1] - q[1]), abs(p[2] - q[2])) <= 1 and (p[3] - q[3]) ** 2 + (p[4] - q[4]) ** 2 <= tolerance**2:
+                    a, b = top(p[5]), top(q[5])
+                    root[max(a, b)] = min(a, b)
+        df = spark.createDataFrame(pts, "scan int, brow long, bcol long, x double, y double, id long")
+        got = spatial.grid_components(df, tolerance).collect()
+        assert sorted((r.id, r.component) for r in got) == sorted((p[5], top(p[5])) for p in pts)
