@@ -95,3 +95,17 @@ def test_components_of_a_crowd_without_pairs(spark, monkeypatch):
         df = spark.createDataFrame(pts, "scan int, brow long, bcol long, x double, y double, id long")
         got = spatial.grid_components(df, tolerance).collect()
         assert sorted((r.id, r.component) for r in got) == sorted((p[5], top(p[5])) for p in pts)
+
+
+def test_boxes_of_a_crowd_equal_loops(spark):
+    rng = random.Random(12)
+    for n, span in ((300, 40), (6000, 12)):
+        boxes = [(rng.randrange(2), k, x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 9)) for k, x, y in ((k, rng.randrange(-span, span), rng.randrange(span)) for k in range(n))]
+        want, kept = [], {0: set(), 1: set()}
+        for g, k, *b in boxes:
+            if not any(o[0] <= b[0] and o[1] <= b[1] and o[2] >= b[2] and o[3] >= b[3] for o in kept[g]):
+                kept[g].add(tuple(b))
+                want.append(k)
+        got = spatial.containing_boxes(spark.createDataFrame(boxes, "g int, rank long, x0 long, y0 long, x1 long, y1 long"), ("g",))
+        assert sorted(r["rank"] for r in got.collect()) == want
+        assert "explode(sequence" not in got._jdf.queryExecution().logical().toString()
