@@ -33,8 +33,11 @@ class Batch:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _note(self, scan: str, stage: str, state: str, note: str | None = None, path: str | None = None) -> None:
-        row = [(scan, stage, state, note, path, datetime.now(UTC))]
-        self.spark.createDataFrame(row, STATUS).coalesce(1).write.mode("append").parquet(f"{self.folder}/status")
+        self._notes([scan], stage, state, note, path)
+
+    def _notes(self, scans: list[str], stage: str, state: str, note: str | None = None, path: str | None = None) -> None:
+        rows = [(scan, stage, state, note, path, datetime.now(UTC)) for scan in scans]
+        self.spark.createDataFrame(rows, STATUS).coalesce(1).write.mode("append").parquet(f"{self.folder}/status")
 
     def _exists(self) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/status")
@@ -49,7 +52,7 @@ class Batch:
 
     def output(self, stage: str) -> DataFrame | None:
         """All scans' output of a stage, with their scan; None if no scan has one."""
-        paths = [r.path for r in self.status().filter((F.col("stage") == stage) & (F.col("state") == "done")).select("path").collect()]
+        paths = [r.path for r in self.status().filter((F.col("stage") == stage) & (F.col("state") == "done")).select("path").distinct().collect()]
         return self.spark.read.parquet(*paths) if paths else None
 
     def run(self, scans: list[str], stages: list[Stage], ready: Callable[[str], str | None] | None = None) -> DataFrame:
@@ -76,7 +79,40 @@ class Batch:
                         self._note(scan, name, "failed", f"{type(e).__name__}: {e}"[:500])
                         break
                     self._note(scan, name, "done", None, path)
-                done[name] = self.spark.read.parquet(path)
+                done[name] = self.spark.read.parquet(path).filter(F.col("scan") == scan)
+        return self.status()
+
+    def run_together(self, scans: list[str], stages: list[Stage]) -> DataFrame:
+        """Run the stages that are not done yet, each for all its scans in one job; returns the status.
+
+        A stage is a function of a list of scans and the outputs of earlier stages for these, and keeps their scan. If it
+        fails it is tried on halves of the list, so a failing scan costs a few jobs and leaves the others alone.
+        """
+        known = {(r.scan, r.stage): r.path for r in self.status().filter("state = 'done'").collect()}  # a few rows a scan
+        live = list(scans)
+        for number, (name, stage) in enumerate(stages):
+            parts, failed = [[s for s in live if (s, name) not in known]], set()
+            while parts:
+                part = parts.pop()
+                if not part:
+                    continue
+                path = f"{self.folder}/out/{name}/{uuid.uuid4().hex}"
+                try:
+                    done = {}
+                    for before, _ in stages[:number]:
+                        own = self.spark.createDataFrame([(s,) for s in part], "scan string")
+                        done[before] = self.spark.read.parquet(*sorted({known[s, before] for s in part})).join(F.broadcast(own), "scan", "left_semi")
+                    stage(part, done).write.parquet(path)
+                except Exception as e:  # whatever a scan's data does must not end the others
+                    if len(part) == 1:
+                        self._notes(part, name, "failed", f"{type(e).__name__}: {e}"[:500])
+                        failed |= set(part)
+                    else:
+                        parts += [part[: len(part) // 2], part[len(part) // 2 :]]
+                    continue
+                self._notes(part, name, "done", None, path)
+                known |= {(s, name): path for s in part}
+            live = [s for s in live if s not in failed]
         return self.status()
 
 
@@ -92,6 +128,19 @@ def grid_stage(frames: DataFrame, **options) -> Stage:
     return "grid", run
 
 
+def grids_stage(frames: DataFrame, **options) -> Stage:
+    """grid_stage of many scans in one plan, for run_together."""
+
+    def run(scans: list[str], _: dict[str, DataFrame]) -> DataFrame:
+        out = cut(mapping.grid_mapping(frames.filter(F.col("scan").isin(scans)), **options))
+        lost = [r.scan for r in out.filter("coordinate_source = 'none'").select("scan").distinct().limit(5).collect()]
+        if lost:
+            raise ValueError(f"{', '.join(lost)} have neither positions nor one file a row")
+        return out
+
+    return "grid", run
+
+
 def bins_stage(images: DataFrame, size: int) -> Stage:
     """Summed images of size by size cells: brow, bcol, pixels, n."""
 

@@ -331,11 +331,11 @@ def grid_mapping(spark, sf_dir):
 WITH f AS (SELECT (file_idx // 100)::VARCHAR AS scan, gi, file_idx - file_idx // 100 * 100 AS row, within_idx, file_idx % 2 AS odd, v, count(*) OVER (PARTITION BY file_idx) AS n, row_number() OVER (PARTITION BY file_idx ORDER BY within_idx) - 1 AS rk FROM frames)
 SELECT scan, row // 5 AS brow, (CASE WHEN odd = 0 THEN rk ELSE n - 1 - rk END) // 5 AS bcol, round(sum(v), 5) AS total, count(*) AS n_frames FROM f GROUP BY ALL""", "frames"))
 def batch_bins(spark, sf_dir):
-    """Scans of 100 files laid out and binned one after the other as a resumable batch."""
+    """Scans of 100 files laid out and binned as a resumable batch, a job a stage for all scans."""
     f = A.frames(spark, sf_dir)
     frames = f.select(F.expr("file_idx div 100").cast("string").alias("scan"), "gi", "file_idx", "within_idx", "x_um", "y_um", F.lit(False).alias("recreated"), "v")
     scans = [r.scan for r in frames.select("scan").distinct().orderBy("scan").collect()]  # names of scans, a few hundred frames each at least
-    bins = ("bins", lambda scan, done: grid.bin_sum(done["grid"], 5))
+    bins = ("bins", lambda _, done: grid.bin_sum(done["grid"], 5, ("scan",)))
     work = batch.Batch(spark, f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}")
-    work.run(scans, [batch.grid_stage(frames), bins])
+    work.run_together(scans, [batch.grids_stage(frames), bins])
     return work.output("bins").select("scan", "brow", "bcol", F.round("total", 5).alias("total"), "n_frames")

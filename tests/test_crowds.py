@@ -109,3 +109,48 @@ def test_boxes_of_a_crowd_equal_loops(spark):
         got = spatial.containing_boxes(spark.createDataFrame(boxes, "g int, rank long, x0 long, y0 long, x1 long, y1 long"), ("g",))
         assert sorted(r["rank"] for r in got.collect()) == want
         assert "explode(sequence" not in got._jdf.queryExecution().logical().toString()
+
+
+def test_batch_runs_scans_together(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import batch
+
+    calls = []
+
+    def one(scans, _):
+        calls.append(len(scans))
+        if "bad" in scans:
+            raise RuntimeError("broken")
+        return spark.createDataFrame([(s, k) for s in scans for k in range(3)], "scan string, k int")
+
+    def two(scans, done):
+        assert {r.scan for r in done["one"].collect()} == set(scans)
+        return done["one"].groupBy("scan").agg(F.sum("k").alias("k"))
+
+    names = [f"s{n}" for n in range(15)] + ["bad"]
+    work = batch.Batch(spark, str(tmp_path / "b"))
+    state = {(r.scan, r.stage): r.state for r in work.run_together(names, [("one", one), ("two", two)]).collect()}
+    assert state["bad", "one"] == "failed" and ("bad", "two") not in state and sum(v == "done" for v in state.values()) == 30
+    assert len(calls) <= 9 and sorted((r.scan, r.k) for r in work.output("two").collect()) == sorted((n, 3) for n in names[:15])
+    calls.clear()
+    work.run_together(names[:15], [("one", one), ("two", two)])
+    assert calls == []
+
+
+def test_small_tiles_and_rings_cost_no_call_each(spark):
+    from gridloom.operators import regions
+
+    rng = random.Random(13)
+    px = spark.createDataFrame([(g, y, x, rng.random()) for g in range(40) for y in range(7) for x in range(7) if rng.random() < 0.9], "gi long, y long, x long, v double")
+    plan = regions.annular_snr(px.selectExpr("gi", "y as py", "x as px"), px, 1.4, 3)._jdf.queryExecution().logical().toString()
+    assert "explode(array(struct" not in plan
+    v = {(r.gi, r.y, r.x): r.v for r in px.collect()}
+    got = {(r.gi, r.py, r.px): r.snr for r in regions.annular_snr(px.selectExpr("gi", "y as py", "x as px"), px, 1.4, 3).collect()}
+    assert set(got) == set(v)
+    middle = lambda s: (s[(len(s) + 1) // 2 - 1] + s[len(s) // 2]) / 2
+    for (g, y, x), own in v.items():
+        ring = sorted(v[g, b, a] for b in range(7) for a in range(7) if (g, b, a) in v and 1.4**2 <= (a - x) ** 2 + (b - y) ** 2 <= 9)
+        m = middle(ring) if ring else 0
+        want = (own - m) / max(1.4826 * middle(sorted(abs(q - m) for q in ring)), 0.01) if len(ring) >= 10 else 0.0
+        assert abs(got[g, y, x] - want) < 1e-9
