@@ -20,6 +20,8 @@ from gridloom.operators.graph import connected_components
 from gridloom.session import cut
 
 TILE = 256
+#: Parts that tiles and bands are dealt to; thousands of small ones cost a call each otherwise.
+BUCKETS = 128
 REGION = ["gi", "root_y", "root_x"]
 
 
@@ -29,14 +31,16 @@ def pixel_components(hot: DataFrame, tile: int = TILE) -> DataFrame:
     tiled = places.withColumn("ty", F.floor(F.col("y") / tile)).withColumn("tx", F.floor(F.col("x") / tile))
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
+        pdf = pdf.assign(n=pdf.groupby(["gi", "ty", "tx"], sort=False, dropna=False).ngroup()).sort_values(["n", "y", "x"], ignore_index=True)
         y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
-        part = sparse_components(y - y.min(), x - x.min())
+        # tiles lie below each other with an empty row between them
+        part = sparse_components(pdf.n.to_numpy() * (tile + 1) + y - pdf.ty.to_numpy() * tile, x - pdf.tx.to_numpy() * tile)
         first = np.unique(part, return_index=True)[1][part]
         return pdf.assign(ry=y[first], rx=x[first])[["gi", "y", "x", "ry", "rx"]]
 
     gi = dict(hot.dtypes)["gi"]
-    own = cut(tiled.groupBy("gi", "ty", "tx").applyInPandas(label, f"gi {gi}, y bigint, x bigint, ry bigint, rx bigint"))
+    dealt = tiled.withColumn("_bucket", F.pmod(F.xxhash64("gi", "ty", "tx"), F.lit(BUCKETS))).groupBy("_bucket")
+    own = cut(dealt.applyInPandas(label, f"gi {gi}, y bigint, x bigint, ry bigint, rx bigint"))
     node = lambda p="": F.struct(F.col("gi"), F.col(f"{p}ry").alias("y"), F.col(f"{p}rx").alias("x"))
     over = own.select("gi", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("ry").alias("o_ry"), F.col("rx").alias("o_rx"))
     right = own.filter(F.pmod("x", F.lit(tile)) == tile - 1).withColumns({"ny": F.col("y"), "nx": F.col("x") + 1})
@@ -104,17 +108,45 @@ def annular_snr(points: DataFrame, pixels: DataFrame, inner: float, outer: float
     """
     far = int(outer)
     offsets = [(a, b) for a in range(-far, far + 1) for b in range(-far, far + 1) if inner**2 <= a * a + b * b <= outer**2]
-    ring = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets]))
-    own = points.select("gi", "py", "px").distinct()
-    places = own.withColumn("_o", ring).select("gi", "py", "px", (F.col("py") + F.col("_o.a")).alias("y"), (F.col("px") + F.col("_o.b")).alias("x"))
-    # the ring of a point is bounded, so its values travel as one array and both medians need one shuffle
-    values = places.join(pixels.select("gi", "y", "x", "v"), ["gi", "y", "x"]).groupBy("gi", "py", "px").agg(F.array_sort(F.collect_list("v")).alias("_v"))
-    median = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)) / 2
-    values = values.withColumn("_m", median(F.col("_v"))).withColumn("_d", F.array_sort(F.transform("_v", lambda v: F.abs(v - F.col("_m")))))
-    scale = values.select("gi", "py", "px", F.size("_v").alias("_n"), "_m", F.greatest(MAD_SIGMA * median(F.col("_d")), F.lit(floor)).alias("_s"))
-    at = own.join(pixels.select("gi", F.col("y").alias("py"), F.col("x").alias("px"), "v"), ["gi", "py", "px"])
-    snr = F.when(F.col("_n") >= least, (F.col("v") - F.col("_m")) / F.col("_s")).otherwise(0.0)
-    return at.join(scale, ["gi", "py", "px"], "left").select("gi", "py", "px", F.coalesce(snr, F.lit(0.0)).alias("snr"))
+    # pixels are dealt to tiles with a rim as wide as the ring, so the ring's values never travel
+    rim = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - far) / TILE), F.floor((F.col(c) + far) / TILE))))
+    bucket = lambda gi: F.pmod(F.xxhash64(gi, "_ty", "_tx"), F.lit(BUCKETS)).alias("_bucket")
+    held = pixels.select(F.col("gi").alias("_gi"), F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col("v").cast("double").alias("v"))
+    held = held.withColumn("_ty", rim("y")).withColumn("_tx", rim("x")).select("*", bucket("_gi"))
+    own = points.select("gi", F.col("py").cast("bigint").alias("py"), F.col("px").cast("bigint").alias("px")).distinct()
+    own = own.withColumns({"_ty": F.floor(F.col("py") / TILE), "_tx": F.floor(F.col("px") / TILE)}).select("*", bucket("gi"))
+    side = TILE + 2 * far + 2
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"gi": [], "py": [], "px": [], "snr": []})
+        b = b.rename(columns={"_gi": "gi"})
+        tile = pd.concat([a[["gi", "_ty", "_tx"]], b[["gi", "_ty", "_tx"]]]).groupby(["gi", "_ty", "_tx"], sort=False).ngroup().to_numpy()
+        place = lambda p, n, y, x: (n * side + p[y].to_numpy() - p["_ty"].to_numpy() * TILE + far) * side + p["_tx"].to_numpy() * -TILE + p[x].to_numpy() + far
+        seek, code = place(a, tile[: len(a)], "py", "px"), place(b, tile[len(a) :], "y", "x")
+        order = np.argsort(code, kind="stable")
+        code, v = code[order], b["v"].to_numpy(dtype=float)[order]
+        steps = np.array([i * side + j for i, j in offsets], dtype=np.int64)
+
+        def look(want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            hit = code[at] == want
+            return hit, np.where(hit, v[at], np.nan)
+
+        out = np.zeros(len(a))
+        there, value = look(seek)
+        for m in range(0, len(a), step := max(1, 1_000_000 // len(steps))):
+            hit, ring = look(seek[m : m + step, None] + steps)
+            n = hit.sum(axis=1)
+            row, low, high = np.arange(len(n)), np.maximum((n + 1) // 2 - 1, 0), np.minimum(n // 2, len(steps) - 1)
+            middle = lambda s, row=row, low=low, high=high: (s[row, low] + s[row, high]) / 2
+            m0 = middle(np.sort(ring, axis=1))
+            scale = np.fmax(MAD_SIGMA * middle(np.sort(np.abs(ring - m0[:, None]), axis=1)), floor)
+            out[m : m + step] = np.where(n >= least, (value[m : m + step] - m0) / scale, 0.0)
+        return a[["gi", "py", "px"]].assign(snr=out)[there]
+
+    found = own.groupBy("_bucket").cogroup(held.groupBy("_bucket")).applyInPandas(run, f"gi {dict(points.dtypes)['gi']}, py bigint, px bigint, snr double")
+    return found.withColumn("snr", F.coalesce("snr", F.lit(0.0)))
 
 
 def band_levels(pixels: DataFrame, keys: list[str], k: float = 5.0, rounds: int = 3, least: int = 100, fewest: int = 50) -> DataFrame:
@@ -125,8 +157,7 @@ def band_levels(pixels: DataFrame, keys: list[str], k: float = 5.0, rounds: int
     """
     kinds = dict(pixels.dtypes)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.v.to_numpy(dtype=float)
+    def one(key: tuple, v: np.ndarray) -> list[tuple]:
         scale = lambda: (m := float(np.median(v)), MAD_SIGMA * d if (d := float(np.median(np.abs(v - m)))) > 0 else float(v.std()))
         level = sigma = 0.0
         if len(v) >= least:
@@ -137,10 +168,14 @@ def band_levels(pixels: DataFrame, keys: list[str], k: float = 5.0, rounds: int
                     break
                 v = v[under]
             level, sigma = scale()
-        return pd.DataFrame([(*key, level, sigma)] if sigma > 0 else [], columns=[*keys, "level", "sigma"])
+        return [(*key, level, sigma)] if sigma > 0 else []
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [row for key, v in pdf.groupby(keys, sort=False, dropna=False)["v"] for row in one(key, v.to_numpy(dtype=float))]
+        return pd.DataFrame(rows, columns=[*keys, "level", "sigma"])
 
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
-    return pixels.select(*keys, "v").groupBy(*keys).applyInPandas(run, f"{fields}, level double, sigma double")
+    return pixels.select(*keys, "v", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")).groupBy("_bucket").applyInPandas(run, f"{fields}, level double, sigma double")
 
 
 def _labelled(stats: DataFrame, pixels: DataFrame, labels: DataFrame, most: float | None) -> DataFrame:
