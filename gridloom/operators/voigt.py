@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import MAD_SIGMA
 from gridloom.operators.fit import levenberg
-from gridloom.session import cut
+from gridloom.session import cut, default_parallelism
 
 TINY = 1e-10
-#: Pairs of cells compared at once by the falling-off rule.
+#: Pairs of cells up to which the falling-off rule compares them directly.
 PAIRS = 1_000_000
 
 
@@ -114,25 +114,59 @@ def falling_share(dist: np.ndarray, norm: np.ndarray, apart: float = 0.1) -> tup
     """Pairs of cells whose distances differ by apart, and the share of them whose nearer cell is brighter."""
     order = np.argsort(dist, kind="stable")
     d, v = dist[order], norm[order]
-    pairs = falls = 0
-    step = max(1, PAIRS // max(1, len(d)))
-    for a in range(0, len(d), step):
-        part = slice(a, a + step)
-        far = d[None, :] - d[part, None] >= apart
-        pairs += int(far.sum())
-        falls += int((far & (v[None, :] < v[part, None])).sum())
+    if len(d) ** 2 <= PAIRS:
+        far = d[None, :] - d[:, None] >= apart
+        pairs = int(far.sum())
+        return pairs, int((far & (v[None, :] < v[:, None])).sum()) / pairs if pairs else 0.0
+    # the cells further out are the tail of the order from `tail` on, the same one for equal distances
+    each, first, at = np.unique(d, return_index=True, return_inverse=True)
+    to = np.searchsorted(each, each + apart)
+    while (back := (to > 0) & (each[np.maximum(to - 1, 0)] - each >= apart)).any():
+        to -= back
+    while (on := (to < len(each)) & (each[np.minimum(to, len(each) - 1)] - each < apart)).any():
+        to += on
+    tail = np.r_[first, len(d)][to][at]
+    pairs = int((len(d) - tail).sum())
+    # a tail is a few blocks of powers of two; in each, sorted by rank, the fainter cells are counted by bisection
+    rank, n = np.unique(v, return_inverse=True)[1].astype(np.int64), 1 << len(d).bit_length()
+    falls, size, low = 0, 1, tail.copy()
+    padded = np.concatenate([rank, np.full(n - len(d), len(d), dtype=np.int64)])
+    while size <= n:
+        odd = np.flatnonzero((low & size > 0) & (low < len(d)))
+        if len(odd):
+            block = low[odd] // size
+            keys = (np.sort(padded.reshape(-1, size), axis=1) + np.arange(n // size)[:, None] * (len(d) + 1)).ravel()
+            falls += int((np.searchsorted(keys, block * (len(d) + 1) + rank[odd]) - block * size).sum())
+            low[odd] += size
+        if size == n:
+            whole = np.flatnonzero(tail == 0)
+            falls += int(np.searchsorted(np.sort(rank), rank[whole]).sum())
+        size *= 2
     return pairs, falls / pairs if pairs else 0.0
 
 
+def _folded(dist: np.ndarray, norm: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """dist, norm and w with the cells of one distance as one of the same weighted squares, and the squares that no model of the distance explains."""
+    each, at = np.unique(dist, return_inverse=True)
+    if len(each) == len(dist):
+        return dist, norm, w, 0.0
+    weight = np.bincount(at, w * w)
+    mean = np.bincount(at, w * w * norm) / weight
+    return each, mean, np.sqrt(weight), float(((w * (norm - mean[at])) ** 2).sum())
+
+
 def fit_profile(dist: np.ndarray, norm: np.ndarray, n_signal: int, rules: Rules) -> tuple:
     """(kept, reason, r2, sigma, gamma, falling) of one profile; bright cells weigh more, by their norm."""
     reach, w = float(dist.max()) + 1, np.maximum(norm, 0.05)
     low, high = np.array([0.1, 0.1, 0.01, -0.3]), np.array([2.0, 2 * reach, 2 * reach, 0.7])
-    model = lambda p: w * (p[3] + pseudo_voigt(dist, p[0], p[1], p[2]))
+    d, v, weight, rest = _folded(dist, norm, w)
+    aside = [math.sqrt(rest)] if rest else []  # keeps the cost that of all cells
+    goal = np.concatenate([weight * v, aside])
+    model = lambda p: np.concatenate([weight * (p[3] + pseudo_voigt(d, p[0], p[1], p[2])), [0.0] * len(aside)])
     starts = ([1.0, reach / 3, reach / 3, 0.0], [1.0, reach / 6, 0.05, 0.0], [1.0, 0.3, reach / 6, 0.0])
-    fits = [levenberg(model, np.array(s), low, high, w * norm, rounds=300) for s in starts]
-    p = min(fits, key=lambda q: float(((model(q) - w * norm) ** 2).sum()))
-    left = float(((model(p) - w * norm) ** 2).sum())
+    fits = [levenberg(model, np.array(s), low, high, goal, rounds=300) for s in starts]
+    p = min(fits, key=lambda q: float(((model(q) - goal) ** 2).sum()))
+    left = float(((model(p) - goal) ** 2).sum())
     r2 = 1 - left / (float((((norm - norm.mean()) * w) ** 2).sum()) + TINY)
     sigma, gamma = float(p[1]), float(p[2])
     if sigma > rules.widest and gamma > rules.widest:
@@ -159,7 +193,9 @@ def _fitted(rows: DataFrame, keys: list[str], rules: Rules, passed: list[str]) -
 
     kinds = dict(rows.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *passed])
-    return rows.select(*keys, *passed, "norm", "dist").mapInPandas(run, f"{fields}, {FITTED}")
+    # few rows of much work each: dealt by count, as their bytes would leave them in one task
+    dealt = rows.select(*keys, *passed, "norm", "dist").repartition(default_parallelism(rows.sparkSession), *keys)
+    return dealt.mapInPandas(run, f"{fields}, {FITTED}")
 
 
 def verify(probes: DataFrame, keys: list[str], rules: Rules = Rules()) -> DataFrame:  # noqa: B008

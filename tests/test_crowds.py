@@ -154,3 +154,38 @@ def test_small_tiles_and_rings_cost_no_call_each(spark):
         m = middle(ring) if ring else 0
         want = (own - m) / max(1.4826 * middle(sorted(abs(q - m) for q in ring)), 0.01) if len(ring) >= 10 else 0.0
         assert abs(got[g, y, x] - want) < 1e-9
+
+
+def test_graph_links_meet_by_place(spark):
+    pts = rows(spark, [(g, k, x * 7, y * 7) for g, k, x, y in crowd(60, 21, 12)]).withColumnRenamed("g", "tid")
+    edges = spark.createDataFrame([(0, 1)], "a int, b int")
+    links = spatial.graph_links(pts, edges, 8.0)
+    assert "cx" in links._jdf.queryExecution().optimizedPlan().toString()
+    p = pts.collect()
+    assert sorted(map(tuple, links.collect())) == sorted((a.id, b.id) for a in p for b in p if a.id < b.id and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 64)
+
+
+def test_falling_pairs_of_a_crowd_are_counted_without_comparing_them(monkeypatch):
+    import numpy as np
+
+    from gridloom.operators import voigt
+
+    monkeypatch.setattr(voigt, "PAIRS", 0)
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 8, 65, 300):
+        d, v = rng.integers(0, 9, n) * 0.1, rng.integers(0, 5, n) / 4
+        far = d[None, :] - d[:, None] >= 0.1
+        falls = (far & (v[None, :] < v[:, None])).sum()
+        assert voigt.falling_share(d, v) == (far.sum(), falls / far.sum() if far.sum() else 0.0)
+    assert voigt.falling_share(rng.random(200_000), rng.random(200_000))[0] > 1e10
+
+
+def test_fit_of_repeated_distances_is_folded():
+    import numpy as np
+
+    from gridloom.operators import voigt
+
+    d, v, w = np.array([0.0, 1, 1, 1, 2]), np.array([1.0, 0.5, 0.7, 0.2, 0.1]), np.array([1.0, 0.5, 0.7, 0.2, 0.1])
+    each, mean, weight, rest = voigt._folded(d, v, w)
+    f = lambda r: 0.9 * np.exp(-r)
+    assert len(each) == 3 and abs(((weight * (f(each) - mean)) ** 2).sum() + rest - ((w * (f(d) - v)) ** 2).sum()) < 1e-12
