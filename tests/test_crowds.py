@@ -189,3 +189,22 @@ def test_fit_of_repeated_distances_is_folded():
     each, mean, weight, rest = voigt._folded(d, v, w)
     f = lambda r: 0.9 * np.exp(-r)
     assert len(each) == 3 and abs(((weight * (f(each) - mean)) ** 2).sum() + rest - ((w * (f(d) - v)) ** 2).sum()) < 1e-12
+
+
+def banded(spark, n, seed, span):
+    rng = random.Random(seed)
+    pts = [(rng.randrange(2), k, rng.randrange(14), rng.randrange(30), rng.choice([rng.uniform(-span, span), float(rng.randrange(4))]), rng.uniform(0, span)) for k in range(n)]
+    return pts, spark.createDataFrame([*pts, (0, 9000, 1, 1, math.nan, 0.0), (1, 9001, None, 1, 1.0, 1.0)], "scan int, id long, brow long, bcol long, x double, y double")
+
+
+def near(a, b, tolerance):
+    return a[0] == b[0] and (a[4] - b[4]) ** 2 + (a[5] - b[5]) ** 2 <= tolerance**2
+
+
+def test_row_reach_links_deal_no_point_to_nine_cells(spark):
+    for n, span in ((500, 90.0), (400, 3.0)):
+        pts, df = banded(spark, n, 31, span)
+        links = spatial.row_reach_links(df, 3.0, 16)
+        assert "Join" not in links._jdf.queryExecution().optimizedPlan().toString()
+        want = [(a[0], a[1], b[1]) for a in pts for b in pts if near(a, b, 3.0) and abs(a[3] - b[3]) <= 16 and (b[2] == a[2] + 1 or b[2] == a[2] and a[3] < b[3])]
+        assert sorted(map(tuple, links.collect())) == sorted(want)
