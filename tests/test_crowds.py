@@ -208,3 +208,12 @@ def test_row_reach_links_deal_no_point_to_nine_cells(spark):
         assert "Join" not in links._jdf.queryExecution().optimizedPlan().toString()
         want = [(a[0], a[1], b[1]) for a in pts for b in pts if near(a, b, 3.0) and abs(a[3] - b[3]) <= 16 and (b[2] == a[2] + 1 or b[2] == a[2] and a[3] < b[3])]
         assert sorted(map(tuple, links.collect())) == sorted(want)
+
+
+def test_candidate_pairs_deal_no_point_to_nine_cells(spark, data):
+    from gridloom.plans import spatial_queries
+
+    assert "Join" not in spatial_queries.candidate_pairs(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    pts, df = banded(spark, 400, 34, 30.0)
+    got = spatial.banded_pairs(df.select("id", "x", "y", "brow", "bcol", "scan").withColumnsRenamed({"brow": "row", "bcol": "col"}), ((1, 0, 0),), 20.0, ("scan",)).collect()
+    assert sorted((r.src, r.dst, r.d) for r in got) == sorted((a[1], b[1], math.sqrt((a[4] - b[4]) ** 2 + (a[5] - b[5]) ** 2)) for a in pts for b in pts if near(a, b, 20.0) and b[2] == a[2] + 1 and b[3] == a[3])
