@@ -210,6 +210,15 @@ def test_row_reach_links_deal_no_point_to_nine_cells(spark):
         assert sorted(map(tuple, links.collect())) == sorted(want)
 
 
+def test_grid_links_deal_no_point_to_nine_cells(spark):
+    for n, span in ((500, 90.0), (400, 3.0)):
+        pts, df = banded(spark, n, 33, span)
+        links = spatial.grid_links(df, 5.0)
+        assert "Join" not in links._jdf.queryExecution().optimizedPlan().toString()
+        want = [(a[0], a[1], b[1]) for a in pts for b in pts if near(a, b, 5.0) and (b[2] - a[2], b[3] - a[3]) in ((0, 1), (1, -1), (1, 0), (1, 1))]
+        assert sorted(map(tuple, links.collect())) == sorted(want)
+
+
 def test_candidate_pairs_deal_no_point_to_nine_cells(spark, data):
     from gridloom.plans import spatial_queries
 
