@@ -68,11 +68,14 @@ def occupancy(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def fill_gaps(rows: DataFrame, value: str, order: str, partition: str) -> DataFrame:
-    """value with nulls replaced by linear interpolation over order, held at the ends."""
-    run = Window.partitionBy(partition).orderBy(order)
-    back, ahead = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(0, Window.unboundedFollowing)
+    """value with nulls replaced by linear interpolation over order, held at the ends.
+
+    The value ahead is sought from the end backwards, as a window that runs to the end of its group is read anew for every row.
+    """
+    run = Window.partitionBy(partition)
+    back, ahead = run.orderBy(order).rowsBetween(Window.unboundedPreceding, 0), run.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    out = rows.withColumn("_a", F.last(known, ignorenulls=True).over(back)).withColumn("_b", F.first(known, ignorenulls=True).over(ahead))
+    out = rows.withColumn("_b", F.last(known, ignorenulls=True).over(ahead)).withColumn("_a", F.last(known, ignorenulls=True).over(back))
     span = F.col("_b.o") - F.col("_a.o")
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * F.try_divide(F.col(order) - F.col("_a.o"), span)
     return out.withColumn(value, F.coalesce(F.col(value), line, F.col("_a.v"), F.col("_b.v"))).drop("_a", "_b")

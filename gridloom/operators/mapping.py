@@ -7,19 +7,28 @@ their rasters, and what orders the frames of one scan is a window over that scan
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import file_rows, fill_gaps, regular_grid, serpentine_rows
+from gridloom.session import default_parallelism
 
 KEY = "scan"
+#: Frames that a task takes, about, besides those of a scan that is larger.
+FRAMES_PER_TASK = 250_000
 LOW, HIGH = 0.002, 0.998
 LEAST_SPAN = 1e-9
 
 
-def _corr(a: str, b: str | Column) -> Column:
+def _dealt(frames: DataFrame) -> DataFrame:
+    """frames by scan in parts of a bounded number of frames: their bytes shrink so well that Spark would join the parts to a few."""
+    return frames.repartition(max(default_parallelism(frames.sparkSession), -(-frames.count() // FRAMES_PER_TASK)), KEY)
+
+
+def _corr(a: str, b: str, over: WindowSpec | None = None) -> Column:
     """Correlation, 0 where either is constant or the rest is float noise."""
-    r = F.corr(a, b) if isinstance(b, str) else F.corr(F.col(a), b)
+    r = F.corr(a, b)
+    r = r if over is None else r.over(over)
     return F.round(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), 9)
 
 
@@ -43,23 +52,28 @@ def faithful_grid(frames: DataFrame, native: bool = False, reach: int = 50, box:
     the rows that turns of x give, so the map keeps its orientation. Positions are scaled by
     their 0.2 to 99.8 percentile span; a scan without a span has one column.
     """
-    base = positioned(frames)
-    turned = serpentine_rows(base, reach, box, partition=KEY).withColumnsRenamed({"row": "serp_row", "col": "serp_col"})
+    return _faithful(_dealt(frames.select(*frames.columns)), native, reach, box)
+
+
+def _faithful(frames: DataFrame, native: bool, reach: int, box: int) -> DataFrame:
+    """faithful_grid of frames that are dealt by scan. What a scan tells is a window over it, so its frames are laid out once."""
+    turned = serpentine_rows(positioned(frames), reach, box, partition=KEY).withColumnsRenamed({"row": "serp_row", "col": "serp_col"})
     rows = file_rows(turned, keys=(KEY,)).drop("col")
-    axis = rows.groupBy(KEY).agg((F.abs(_corr("row", "x_um")) >= F.abs(_corr("row", "y_um"))).alias("_rx"))
-    told = rows.join(axis, KEY).withColumn("_rv", F.when(F.col("_rx"), F.col("x_um")).otherwise(F.col("y_um"))).withColumn("_cv", F.when(F.col("_rx"), F.col("y_um")).otherwise(F.col("x_um")))
-    ends = lambda c: F.percentile(c, F.array(F.lit(LOW), F.lit(HIGH)))
-    stats = told.groupBy(KEY).agg(
-        F.min("row").alias("_r0"), F.max("row").alias("_r1"), ends("_rv").alias("_re"), ends("_cv").alias("_ce"), _corr("serp_col", "_cv").alias("_sc"),
-        _corr("row", "_rv").alias("_s1"), _corr("serp_row", "_rv").alias("_s2"),
-    )
-    sizes = frames.groupBy(KEY, "file_idx").agg(F.count("*").alias("n")).groupBy(KEY).agg(F.floor(F.median("n")).alias("_median"), F.count("*").alias("_files"))
+    scan = Window.partitionBy(KEY)
+    told = rows.withColumn("_rx", F.abs(_corr("row", "x_um", scan)) >= F.abs(_corr("row", "y_um", scan)))
+    told = told.withColumn("_rv", F.when(F.col("_rx"), F.col("x_um")).otherwise(F.col("y_um"))).withColumn("_cv", F.when(F.col("_rx"), F.col("y_um")).otherwise(F.col("x_um")))
+    ends = lambda c: F.percentile(c, F.array(F.lit(LOW), F.lit(HIGH))).over(scan)
+    stats = {
+        "_r0": F.min("row").over(scan), "_r1": F.max("row").over(scan), "_re": ends("_rv"), "_ce": ends("_cv"), "_sc": _corr("serp_col", "_cv", scan),
+        "_s1": _corr("row", "_rv", scan), "_s2": _corr("serp_row", "_rv", scan),
+    }
+    sizes = frames.groupBy(KEY, "file_idx").agg(F.count("*").alias("n")).groupBy(KEY).agg(F.floor(F.median("n")).alias("_median"))
     n_rows = F.col("_r1") - F.col("_r0") + 1
     span = lambda e: F.greatest(F.get(e, F.lit(1)) - F.get(e, F.lit(0)), F.lit(LEAST_SPAN))
     square = F.rint(1 + (n_rows - 1) * span("_ce") / span("_re"))
     n_cols = F.greatest(F.lit(1), F.col("_median") if native else square).cast("bigint")
-    shaped = stats.join(sizes, KEY).select(KEY, "_r0", "_r1", n_rows.alias("n_rows"), n_cols.alias("n_cols"), F.get("_ce", F.lit(0)).alias("_lo"), F.get("_ce", F.lit(1)).alias("_hi"), (F.col("_sc") < 0).alias("_back"), (F.col("_s1") * F.col("_s2") < 0).alias("_turn"))
-    both = told.join(shaped, KEY)
+    shape = {"n_rows": n_rows, "n_cols": n_cols, "_lo": F.get("_ce", F.lit(0)), "_hi": F.get("_ce", F.lit(1)), "_back": F.col("_sc") < 0, "_turn": F.col("_s1") * F.col("_s2") < 0}
+    both = told.withColumns(stats).join(sizes, KEY).withColumns(shape)
     share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_cv") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     place = F.rint(F.when(F.col("_back") & (F.col("_hi") > F.col("_lo")), 1 - share).otherwise(share) * (F.col("n_cols") - 1))
     col = F.greatest(F.lit(0), F.least(F.col("n_cols") - 1, place)).cast("bigint")
@@ -125,7 +139,7 @@ def grid_mapping(frames: DataFrame, method: str = "commanded", deskew: bool = Tr
     Each scan goes the way that grid_sources names. Rows start at 0 in every scan; frames of a raster of n_cols
     run back and forth in order of gi, which starts at 0 in every scan.
     """
-    frames = frames.select(*frames.columns)
+    frames = _dealt(frames.select(*frames.columns))
     routed = frames.join(grid_sources(frames, method, deskew, n_cols=n_cols).select(KEY, "coordinate_source"), KEY)
     of = lambda *names: routed.filter(F.col("coordinate_source").isin(*names))
     cells = lambda df: df.select(*routed.columns, F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
@@ -133,7 +147,7 @@ def grid_mapping(frames: DataFrame, method: str = "commanded", deskew: bool = Tr
     least = by_file.groupBy(KEY).agg(F.min("row").alias("_r0"))
     parts = [
         cells(by_file.join(least, KEY).withColumn("row", F.col("row") - F.col("_r0"))), cells(_snapped(of("positions_xy"), reach, box)), cells(serpentine_rows(positioned(of("serpentine")), reach, box, partition=KEY)),
-        cells(faithful_grid(of("positions_faithful"), False, reach, box)), cells(faithful_grid(of("positions_faithful_native"), True, reach, box)), cells(_offset_rows(of("perrow_offset"))),
+        cells(_faithful(of("positions_faithful"), False, reach, box)), cells(_faithful(of("positions_faithful_native"), True, reach, box)), cells(_offset_rows(of("perrow_offset"))),
         cells(of("none").withColumns({"row": F.lit(None), "col": F.lit(None)})),
     ]
     if n_cols:

@@ -97,3 +97,25 @@ def test_sources_and_mapping(spark):
     shifted = {r.gi: (r.row, r.col) for r in mapping.grid_mapping(frames.filter("scan = 'fpr'"), "perrow_offset").collect()}
     assert len(shifted) == 160 and min(shifted.values()) >= (0, 0)
     assert mapping.grid_mapping(frames.filter("scan = 'lost'")).filter("row is null and coordinate_source = 'none'").count() == len(scans["lost"])
+
+
+def test_gaps_are_filled_without_a_window_to_the_end(spark):
+    from gridloom.operators import grid
+
+    values = [None, 2.0, None, None, 8.0, None, 5.0, None]
+    df = spark.createDataFrame([(s, k, None if s == "c" else v) for s in "abc" for k, v in enumerate(values)], "scan string, gi int, v double")
+    out = grid.fill_gaps(df, "v", "gi", "scan")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = [2.0, 2.0, 4.0, 6.0, 8.0, 6.5, 5.0, 5.0]
+    got = {(r.scan, r.gi): r.v for r in out.collect()}
+    assert got == {(s, k): None if s == "c" else want[k] for s in "abc" for k in range(8)}
+
+
+def test_frames_are_laid_out_once_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(mapping, "FRAMES_PER_TASK", 20)
+    frames = spark.createDataFrame([r for s in SCANS for r in s], FIELDS)
+    for out in (mapping.faithful_grid(frames, reach=20, box=10), mapping.grid_mapping(frames, reach=20, box=10)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert f"RepartitionByExpression [scan#{frames._jdf.queryExecution().analyzed().output().head().exprId().id()}], {-(-frames.count() // 20)}" in plan
+    plan = mapping.faithful_grid(frames, reach=20, box=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sum(x_um") <= 1
