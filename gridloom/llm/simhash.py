@@ -327,9 +327,11 @@ def _similar(similarity: float):
     return run
 
 
-def _apart(low: int, high: int, similarity: float):
+def _apart(low: int, high: int, similarity: float, hot_bucket: int | None):
     """Pairs of different components in the buckets of a partition that is sorted by BUCKET, fp and node.
 
+    Buckets of one component are settled. Of those over hot_bucket the rows come back, to be dealt again by bytes.
+
     A pair is taken in one bucket of those it shares, and where its places in the bucket
     are low to high - 1 apart; a row without dst says that pairs further apart are left.
     Pairs whose sizes alone rule the similarity out are not candidates.
@@ -367,9 +369,13 @@ def _apart(low: int, high: int, similarity: float):
             mixed = np.minimum.reduceat(parts[: ends[-1]], starts) != np.maximum.reduceat(parts[: ends[-1]], starts)
             fps, nodes, sizes = rows.fp.to_numpy().view(np.uint64), rows.node.to_numpy(), rows["size"].to_numpy()
             for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                if hot_bucket and e - s > hot_bucket:
+                    yield rows.iloc[s:e][["family", "key", "fp", "node", "size", "component"]].assign(src=None, dst=None)[APART_COLUMNS]
+                    continue
                 for src, dst in pairs(int(where[s, 1]), int(where[s, 2]), fps[s:e], nodes[s:e], sizes[s:e], parts[s:e]):
                     if len(src):
-                        yield pd.DataFrame({"src": src, "dst": pd.array([None] * len(src) if dst is None else dst, "Int64")})
+                        found = pd.DataFrame({"src": src, "dst": pd.array([None] * len(src) if dst is None else dst, "Int64")})
+                        yield found.reindex(columns=APART_COLUMNS)
 
     return run
 
@@ -380,17 +386,28 @@ BUCKET = ["family", "key", "byte", "value"]
 REACH = 8
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """BUCKET, fp, node, size: members (family, fp, node, size, component) in all buckets that hold more than one component.
+#: Rows of a round: pairs, or a src alone where pairs further apart are left, or rows of hot buckets.
+APART = "src bigint, dst bigint, family int, key bigint, fp bigint, node bigint, size bigint, component bigint"
+APART_COLUMNS = [f.split()[0] for f in APART.split(", ")]
+
+
+def _open_pairs(members: DataFrame, low: int, high: int, similarity: float) -> DataFrame:
+    """src, dst: what _apart gives for members (family, fp, node, size, component).
 
-    Components only grow, so the pairs of a bucket of one component are settled for good.
+    Members are dealt to their buckets with their component at hand, so the rows of buckets meet no other table.
     """
-    dealt = _variants(members, "node", "size", "component")
-    counts = dealt.groupBy("family", "key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("family", "key", "n")
-    byte = F.explode(F.when(F.col("n") > HOT_BUCKET, F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(-1)))).alias("byte")
-    dealt = dealt.join(counts, ["family", "key"]).select("family", "key", "fp", "node", "size", _other().alias("other"), byte)
-    value = F.when(F.col("byte") < 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(other, greatest(byte, 0) * 8) & 255"))
-    return dealt.select("family", "key", F.col("byte").cast("bigint").alias("byte"), value.cast("bigint").alias("value"), "fp", "node", "size")
+
+    def taken(dealt: DataFrame, hot_bucket: int | None) -> DataFrame:
+        rows = dealt.select(*BUCKET, "fp", "node", "size", "component").repartition(*BUCKET).sortWithinPartitions(*BUCKET, "fp", "node")
+        return cut(rows.mapInPandas(_apart(low, high, similarity, hot_bucket), APART))
+
+    found = taken(_variants(members, "node", "size", "component").withColumns({"byte": F.lit(-1).cast("bigint"), "value": F.lit(0).cast("bigint")}), HOT_BUCKET)
+    hot = found.filter("key is not null")
+    if hot.limit(1).count():
+        byte = F.explode(F.expr("sequence(0L, 3L)")).alias("byte")
+        dealt = hot.select("family", "key", "fp", "node", "size", "component", _other().alias("other"), byte)
+        found = found.filter("key is null").unionByName(taken(dealt.withColumn("value", F.expr("shiftrightunsigned(other, cast(byte * 8 as int)) & 255")), None))
+    return found.select("src", "dst")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -436,13 +453,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if members.limit(1).count():
         sizes = sets.select(F.col("doc_id").alias("node"), (F.octet_length("shingles") / 4).cast("bigint").alias("size"))
         parts = cut(connected_components(links))
-        dealt = cut(_buckets(members.join(sizes, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))))
+        members = cut(members.join(sizes, "node"))
         low, high = 1, REACH
         while True:
             release(texts.sparkSession)
-            rows = dealt.join(parts, "node", "left").select(*BUCKET, "fp", "node", "size", F.coalesce("component", "node").alias("component"))
-            rows = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "fp", "node")
-            left_apart = cut(rows.mapInPandas(_apart(low, high, similarity), "src bigint, dst bigint"))
+            rows = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            left_apart = _open_pairs(rows, low, high, similarity)
             fresh = left_apart.filter("dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
             links = links.unionByName(verified(fresh))
             if not left_apart.filter("dst is null").limit(1).count():

@@ -432,3 +432,16 @@ def test_benchmark_seeds_are_slim_and_texts_of_one_id_stay_apart(spark, monkeypa
     for most, times in ((decontam.BROADCAST_BYTES, 1), (1 << 14, 1)):
         found = {r.doc_id: sorted(x.item for x in r.leaks) for r in decontam.find_leaks(docs, items, broadcast_bytes=most).collect()}
         assert found == {1: [7], 2: [7], 3: [8], 4: []} and len(looked_up) == times
+
+
+def test_open_pairs_join_members_and_not_their_buckets(spark, monkeypatch):
+    """All texts have one fingerprint, so their pairs are left to the rounds."""
+    texts = [" ".join(f"{g}w{j}" if j != 40 + k else "z" for j in range(60)) for g in range(2) for k in range(3)]
+    families, plans, cut = simhash._families, [], simhash.cut
+    monkeypatch.setattr(simhash, "FAMILIES", 1)
+    monkeypatch.setattr(simhash, "_families", lambda docs: families(docs).withColumn("f0", F.lit(0).cast("bigint")))
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    links = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(r.node, r.component) for r in simhash.connected_components(links).collect()} == {(k, k // 3 * 3) for k in range(6)}
+    dealt = [p[: p.index("Generate explode")] for p in plans if "[place#" in p]
+    assert len(dealt) > 1 and not any("Join" in p for p in dealt)
