@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import detect, spatial, voigt
-from gridloom.session import cut
+from gridloom.session import cut, default_parallelism
 
 CELL_LIMIT = 1e9
 
@@ -118,6 +118,12 @@ def spots(cleaned: np.ndarray, search: Search) -> list[tuple]:
     return kept[: search.most]
 
 
+def _dealt(frames: DataFrame, *columns: Column | str) -> DataFrame:
+    """brow, bcol and columns of frames, dealt by count: little to read and much work each, so files and bytes would leave them in a few tasks."""
+    cells = [F.col(c).cast("bigint").alias(c) for c in ("brow", "bcol")]
+    return frames.select(*cells, *columns).repartition(default_parallelism(frames.sparkSession), "brow", "bcol")
+
+
 SPOTS = "brow bigint, bcol bigint, label string, x int, y int, snr double, npix int, compactness double"
 
 
@@ -136,7 +142,7 @@ def detect_frames(frames: DataFrame, background: np.ndarray, search: Search, sca
 
     used = frames.filter(F.size("pixels") == search.tth.size)
     times = (F.lit(1.0) if scale is None else scale).cast("double")
-    return used.select(F.col("brow").cast("bigint"), F.col("bcol").cast("bigint"), "pixels", times.alias("times")).mapInArrow(run, SPOTS)
+    return _dealt(used, "pixels", times.alias("times")).mapInArrow(run, SPOTS)
 
 
 def candidates(members: DataFrame, least: int) -> DataFrame:
@@ -321,7 +327,7 @@ def detect_stacks(frames: DataFrame, search: Search) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], k) for i, k in enumerate(kinds)], names)
 
     used = frames.filter(F.size("pixels") == search.tth.size)
-    return used.select(F.col("brow").cast("bigint"), F.col("bcol").cast("bigint"), "pixels").mapInArrow(run, SPOTS)
+    return _dealt(used, "pixels").mapInArrow(run, SPOTS)
 
 
 def refined(points: DataFrame, pixels: DataFrame, half: int, most: int, keys: tuple[str, ...] = ("gi",)) -> DataFrame:

@@ -17,19 +17,21 @@ ROCKING = "status string, theta0 double, fwhm double, amplitude double, backgrou
 def levenberg(model, start: np.ndarray, low: np.ndarray, high: np.ndarray, y: np.ndarray, rounds: int = 80) -> np.ndarray:
     """Bounded Levenberg-Marquardt with a forward-difference Jacobian."""
     p, damp = np.clip(start, low, high), 1e-2
-    cost = float(((model(p) - y) ** 2).sum())
+    at, normal, slope = model(p), None, None
+    cost = float(((at - y) ** 2).sum())
     for _ in range(rounds):
-        r = y - model(p)
-        step = np.maximum(1e-7, 1e-6 * np.abs(p))
-        jac = np.stack([(model(p + step * (np.arange(len(p)) == k)) - model(p)) / step[k] for k in range(len(p))], axis=1)
-        normal = jac.T @ jac
-        move = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-12), jac.T @ r, rcond=None)[0]
+        if normal is None:  # a refused move leaves the place, and so its Jacobian, as they were
+            step = np.maximum(1e-7, 1e-6 * np.abs(p))
+            jac = np.stack([(model(p + step * (np.arange(len(p)) == k)) - at) / step[k] for k in range(len(p))], axis=1)
+            normal, slope = jac.T @ jac, jac.T @ (y - at)
+        move = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-12), slope, rcond=None)[0]
         new = np.clip(p + move, low, high)
-        new_cost = float(((model(new) - y) ** 2).sum())
+        new_at = model(new)
+        new_cost = float(((new_at - y) ** 2).sum())
         if new_cost < cost:
             if cost - new_cost < 1e-14 * max(cost, 1e-30):
                 return new
-            p, cost, damp = new, new_cost, damp * 0.3
+            p, at, cost, damp, normal = new, new_at, new_cost, damp * 0.3, None
         else:
             damp *= 5
             if damp > 1e12:

@@ -92,6 +92,14 @@ def test_full_scan_equals_a_loop_over_frames(spark, frames, scan):
     assert combined.full_scan(frames.limit(0), SEARCH)[0].count() == 0
 
 
+def test_frames_of_one_small_file_are_searched_in_all_tasks(spark, frames, scan):
+    one, background = frames.coalesce(1), np.full((H, W), 20.0)
+    found = combined.detect_frames(one, background, SEARCH)
+    assert found.rdd.getNumPartitions() == combined.detect_stacks(one, SEARCH).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = sorted((*k, *s[:3]) for k, i in scan.items() for s in combined.spots(np.clip(i, 0, 1e9) - background, SEARCH))
+    assert want and sorted((r.brow, r.bcol, r.label, r.x, r.y) for r in found.collect()) == want
+
+
 def test_probe_reads_the_frames_once(spark, frames, tmp_path):
     frames.write.parquet(str(tmp_path / "f"))
     found = spark.createDataFrame([(1, 10, 12, 3, 3), (2, 20, 25, 8, 7)], "component long, px int, py int, center_row int, center_col int")

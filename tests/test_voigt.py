@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from gridloom.operators import voigt
+from gridloom.operators.fit import levenberg
 
 FIELDS = "c long, center_row int, center_col int, brow int, bcol int, net double"
 
@@ -74,3 +75,18 @@ def test_members_rule(spark):
     rows += [(5, r, k, float(v)) for _, _, _, r, k, v in spot(0, 1.5, 0.4)]
     out = {r.f: (r.kept, r.reason, r.n) for r in voigt.verify_members(spark.createDataFrame(rows, "f long, brow int, bcol int, intensity double"), ["f"]).collect()}
     assert out == {1: (False, "isolated", 1), 2: (True, "compact", 2), 3: (False, "neg", 2), 4: (False, "flat", 3), 5: (True, "voigt", 121)}
+
+
+def test_a_fit_asks_the_model_once_a_place():
+    t, places = np.linspace(0, 6, 30), []
+    truth = lambda p: p[2] + p[0] * np.exp(-((t / p[1]) ** 2))
+
+    def model(p):
+        places.append(tuple(p))
+        return truth(p)
+
+    y = truth(np.array([1.0, 2.0, 0.1])) + np.random.default_rng(2).normal(0, 0.1, len(t))
+    bounds = np.array([0.5, 1.0, 0.0]), np.array([0.1, 0.1, -1.0]), np.array([2.0, 9.0, 1.0])
+    levenberg(model, *bounds, y, rounds=3)
+    assert 4 < len(places) == len(set(places)) <= 1 + 3 * 4
+    assert levenberg(truth, *bounds, y, rounds=300) == pytest.approx([1.0, 2.0, 0.1], abs=0.15)
