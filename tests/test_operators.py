@@ -130,6 +130,23 @@ def test_territories_hold_every_point(spark, data):
     assert max(sum(1 for r in got if r.tid == t) for t in {r.tid for r in got}) <= 12
 
 
+def test_territories_find_their_neighbours_in_their_task(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(s), int(i), float(x), float(y)) for s in range(3) for i, (x, y) in enumerate(rng.integers(0, (9, 30)[s % 2], (120, 2)) * 0.5)]
+    rows += [(3, 0, 1.0, 1.0), (4, 0, 1.0, 1.0), (4, 1, 90.0, 1.0), (4, 2, None, 1.0), (5, 0, 2.0, 2.0), (5, 1, 2.0, 2.0), (5, 2, 2.0, 2.0), (6, 1, 0.0, 0.0), (6, 2, 5e3, 0.0), (6, 3, 5e3, 7.0)]
+    pts = spark.createDataFrame(rows, "scan int, id long, x double, y double")
+    for k in (3, 8):
+        want = {(r.scan, r.id, r.r_id) for r in spatial.nearest_neighbours(pts, k, 2.5, ("scan",)).collect()}
+        got = set()
+        for s in range(7):
+            own = [r for r in rows if r[0] == s]
+            ids, x, y = np.array([r[1] for r in own]), np.array([r[2] for r in own], dtype=float), np.array([r[3] for r in own], dtype=float)
+            got |= {(s, int(ids[a]), int(ids[b])) for a, b in zip(*territory.near_pairs(ids, x, y, k, 2.5), strict=True)}
+        assert got == want
+    plan = territory.grow(pts, 12, 1.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 @pytest.mark.parametrize("mode", ["update", "complete"])
 def test_stream_equals_batch(spark, data, tmp_path, mode):
     src = str(tmp_path / "in")
