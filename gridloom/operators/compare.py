@@ -30,14 +30,14 @@ def quantile_summary(rows: DataFrame, keys: list[str], value: str, near: tuple[f
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"), (100 * F.count_if(inside) / F.count("*")).alias("near_pct"))
 
 
-def spearman(rows: DataFrame, a: str, b: str, partition: list[str]) -> DataFrame:
-    """Rank correlation of a and b per partition, ties by average rank; 0 where either is constant, for which corr divides by zero."""
+def spearman(rows: DataFrame, a: str, b: str, partition: list[str], constant: float = 0.0) -> DataFrame:
+    """Rank correlation of a and b per partition, ties by average rank, nulls last; constant where either does not vary, for which corr divides by zero."""
     for c in (a, b):
-        rank = F.rank().over(Window.partitionBy(*partition).orderBy(c))
+        rank = F.rank().over(Window.partitionBy(*partition).orderBy(F.asc_nulls_last(c)))
         ties = F.count("*").over(Window.partitionBy(*partition, c))
         rows = rows.withColumn(f"_{c}", rank + (ties - 1) / 2)
     rho = F.try_divide(F.covar_pop(f"_{a}", f"_{b}"), F.stddev_pop(f"_{a}") * F.stddev_pop(f"_{b}"))
-    return rows.groupBy(*partition).agg(F.coalesce(rho, F.lit(0.0)).alias("rho"))
+    return rows.groupBy(*partition).agg(F.coalesce(rho, F.lit(float(constant))).alias("rho"))
 
 
 def score_bins(counts: DataFrame, beta: float = 1.0) -> DataFrame:

@@ -74,6 +74,29 @@ def test_rank_correlation_of_a_constant(spark):
     assert got == {"a": 0.0, "b": 0.5, "c": 0.0}
 
 
+def test_rank_correlation_equals_sql_where_every_patch_is_full(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from gridloom.plans import registry
+
+    start, rng, rows = datetime.datetime(2024, 1, 1), random.Random(14), []
+    for day in range(6):
+        for hour in range(4):
+            for user in range(5):
+                for kind in ("full", "gaps"):
+                    if kind == "full" or rng.random() < 0.3 + 0.1 * day:
+                        rows.append((len(rows), start + datetime.timedelta(days=day, hours=hour), user, kind, None if kind == "gaps" and day == 5 else rng.random(), '{"k": 1}'))
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.sql(registry.oracle_sql()["d46_spearman"]).fetchall())
+    got = {r.reflection: r.rho for r in registry.queries()["d46_spearman"](spark, str(tmp_path)).collect()}
+    assert math.isnan(want["full"]) and math.isnan(got["full"])
+    assert abs(want["gaps"]) < 1 and abs(got["gaps"] - want["gaps"]) < 1e-9
+
+
 def test_components_of_a_crowd_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(spatial, "grid_links", None)
     rng = random.Random(11)
