@@ -285,7 +285,7 @@ def odd_items(spark, folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["c1_grid_links", "c3_row_reach_links"])
+@pytest.mark.parametrize("name", ["c1_grid_links", "c3_row_reach_links", "c8_candidate_pairs"])
 def test_links_of_peaks_without_a_place_equal_sql(spark, tmp_path, name):
     from conftest import same_as_oracle
 
