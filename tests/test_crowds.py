@@ -285,7 +285,7 @@ def odd_items(spark, folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["c1_grid_links", "c3_row_reach_links", "c8_candidate_pairs"])
+@pytest.mark.parametrize("name", ["c1_grid_links", "c3_row_reach_links", "c8_candidate_pairs", "c2_graph_links"])
 def test_links_of_peaks_without_a_place_equal_sql(spark, tmp_path, name):
     from conftest import same_as_oracle
 
@@ -294,3 +294,19 @@ def test_links_of_peaks_without_a_place_equal_sql(spark, tmp_path, name):
     con = odd_items(spark, str(tmp_path))
     assert len(con.sql(registry.oracle_sql()[name]).fetchall()) > 100
     same_as_oracle(spark, con, str(tmp_path), registry.queries()[name], registry.oracle_sql()[name])
+
+
+def test_graph_links_deal_no_peak_to_nine_cells(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(37)
+    monkeypatch.setattr(spatial, "PAIR_PARTS", 3)
+    pts = [(rng.randrange(6), rng.randrange(500), rng.uniform(-40, 300) if k % 2 else float(rng.randrange(5)), float(rng.randrange(8))) for k in range(500)]
+    edges = [(0, 1), (1, 0), (1, 2), (3, 3), (4, 9), (5, 0), (None, 2)]
+    df = spark.createDataFrame([*pts, (None, 900, 1.0, 1.0), (2, 901, math.nan, 1.0)], "tid int, id long, x double, y double")
+    links = spatial.graph_links(df, spark.createDataFrame(edges, "a int, b int"), 3.0)
+    assert "explode(sequence(-1, 1" not in links._jdf.queryExecution().logical().toString().lower()
+    beside = {(a, a) for a in range(6)} | {(a, b) for a, b in edges} | {(b, a) for a, b in edges}
+    want = [(a[1], b[1]) for a in pts for b in pts if a[1] < b[1] and (a[0], b[0]) in beside and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 9]
+    got = links.withColumn("part", F.spark_partition_id()).collect()
+    assert len(want) > 1000 and sorted(r[:2] for r in got) == sorted(want)
